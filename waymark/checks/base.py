@@ -215,6 +215,35 @@ SELECT o_orderkey AS row_key,
     ELSE 'other' END AS band_text
 FROM {{orders}}"""
 
+VIEWS["b_entity_query"] = f"""
+SELECT o_orderkey AS row_key,
+  CASE o_orderkey % 12 WHEN 0 THEN r_name WHEN 1 THEN 'Zaire'
+    WHEN 2 THEN concat(n_name, ':Somewhere|', {_s('o_custkey % 5')})
+    WHEN 3 THEN concat('NATION_', {_s('(n_nationkey + 1) % 25')}) WHEN 4 THEN 'Atlantis'
+    WHEN 5 THEN 'unknown' WHEN 6 THEN ' nation  ' WHEN 7 THEN 'First  Nation'
+    WHEN 8 THEN lower(n_name) ELSE n_name END AS name_in,
+  CASE o_orderkey % 7 WHEN 0 THEN 'NA' WHEN 1 THEN 'xx' WHEN 2 THEN NULL
+    WHEN 3 THEN concat('r-', {_s('n_regionkey')}) ELSE {_s('n_nationkey')} END AS code_in
+FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey
+  JOIN {{region}} ON n_regionkey = r_regionkey"""
+
+VIEWS["b_area"] = f"""
+SELECT DISTINCT concat({_s('c_nationkey')}, '-', c_mktsegment) AS area_id,
+  concat('N', {_s('c_nationkey')}) AS parent_id,
+  CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment END AS name_en,
+  CASE WHEN c_nationkey % 3 = 1 THEN lower(c_mktsegment) END AS name,
+  CASE WHEN c_nationkey % 3 = 2 THEN
+    CASE WHEN c_mktsegment = 'FURNITURE' THEN 'BUILDING' ELSE c_mktsegment END END AS name_alt,
+  CAST(c_nationkey + length(c_mktsegment) AS double) / 4 AS latitude,
+  CAST(c_nationkey * 5 - length(c_mktsegment) AS double) / 4 AS longitude
+FROM {{customer}}"""
+
+VIEWS["b_update"] = f"""
+SELECT o_orderkey + CASE WHEN o_orderkey % 200 = 4 THEN 100000000 ELSE 0 END AS row_key,
+  CASE WHEN o_orderkey % 44 = 0 THEN 'X' ELSE concat('B', {_s('o_orderkey')}) END AS record_id,
+  concat('L', {_s('o_orderkey % 3')}) AS assigned_label
+FROM {{orders}} WHERE o_orderkey % 4 = 0"""
+
 VIEWS["b_journal"] = f"""
 SELECT event_id AS seq, {_s('user_id')} AS query_name,
   CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS request_status,

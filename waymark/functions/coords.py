@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import tokens as T
-from waymark.functions.text import _col, null_tokens, strip
+from waymark.functions.text import _col, let, null_tokens, strip
 
 # Accepted coordinate notations.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -38,21 +38,32 @@ def parse_coord(c: Column | str, wkt_lon_lat: bool = True) -> Column:
 
     The pair form reads latitude first, unless the first number can only be a longitude.
     """
-    text = null_tokens(c, T.COORD)
-    is_wkt = text.rlike(WKT_POINT)
-    a = F.when(is_wkt, F.regexp_extract(text, WKT_POINT, 1).try_cast("double"))
-    b = F.when(is_wkt, F.regexp_extract(text, WKT_POINT, 2).try_cast("double"))
-    found = F.regexp_extract_all(text, F.lit(LOOSE_NUMBER), 0)
-    p = F.get(found, 0).try_cast("double")
-    q = F.get(found, 1).try_cast("double")
-    swapped = (F.abs(p) > 90) & (F.abs(q) <= 90)
-    wkt = F.struct((b if wkt_lon_lat else a).alias("lat"), (a if wkt_lon_lat else b).alias("lon"))
-    pair = F.struct(
-        F.when(swapped, q).otherwise(p).alias("lat"),
-        F.when(swapped, p).otherwise(q).alias("lon"),
-    )
-    point = F.when(is_wkt, wkt).otherwise(pair)
-    return F.when(valid_coord(point["lat"], point["lon"]), point)
+    first, second = (2, 1) if wkt_lon_lat else (1, 2)
+
+    def numbers(text: Column) -> Column:
+        wkt = text.rlike(WKT_POINT)
+        ends = F.array(
+            F.regexp_extract(text, WKT_POINT, first), F.regexp_extract(text, WKT_POINT, second)
+        )
+        return F.struct(
+            wkt.alias("wkt"),
+            F.transform(
+                F.when(wkt, ends).otherwise(F.regexp_extract_all(text, F.lit(LOOSE_NUMBER), 0)),
+                lambda n: n.try_cast("double"),
+            ).alias("found"),
+        )
+
+    def ordered(n: Column) -> Column:
+        p, q = F.get(n["found"], 0), F.get(n["found"], 1)
+        swapped = ~n["wkt"] & (F.abs(p) > 90) & (F.abs(q) <= 90)
+        return F.when(swapped, F.struct(q.alias("lat"), p.alias("lon"))).otherwise(
+            F.struct(p.alias("lat"), q.alias("lon"))
+        )
+
+    def usable(point: Column) -> Column:
+        return F.when(valid_coord(point["lat"], point["lon"]), point)
+
+    return let(let(let(null_tokens(c, T.COORD), numbers), ordered), usable)
 
 
 # Coordinate columns by precedence.
@@ -67,9 +78,9 @@ def original_coordinates(
 ) -> DataFrame:
     """Original coordinates from whichever columns the table has, text column first."""
     if "coord" in df.columns:
-        point = parse_coord("coord")
-        return df.withColumn("_point", point).select(
-            *df.columns, F.col("_point.lat").alias(lat), F.col("_point.lon").alias(lon)
+        return df.withColumn("_point", parse_coord("coord")).select(
+            *[F.col(f"`{c}`") for c in df.columns],
+            F.col("_point.lat").alias(lat), F.col("_point.lon").alias(lon),
         )
     for lat_col, lon_col in COORDINATE_COLUMNS:
         if lat_col in df.columns and lon_col in df.columns:

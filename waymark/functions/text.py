@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value written and evaluated once, however often body uses it.
+
+    Filters on a computed column are pushed below the projection by inlining it; without
+    this, nested expressions that repeat their input grow exponentially.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(_col(c), _EDGE_WS, "")

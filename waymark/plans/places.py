@@ -18,6 +18,7 @@ from waymark.operators.lookup import (
     pending, prepare_centroids, prepare_lookup, resolve_alias, resolve_entity, screen_admin,
 )
 from waymark.operators.ranking import number_rows
+from waymark.session import cut_lineage
 
 SITE_COLUMNS = ("site_success", "site_source", "site_latitude", "site_longitude")
 
@@ -119,8 +120,12 @@ def admin_queries(records: DataFrame) -> DataFrame:
 def standardise_admin(
     queries: DataFrame, ref_codes: DataFrame, ref_names: DataFrame
 ) -> DataFrame:
-    """Queries with resolved country, folded and relaxed province keys and readiness."""
-    resolved = resolve_entity(queries, "country_iso", "country", ref_codes, ref_names)
+    """Queries with resolved country, folded and relaxed province keys and readiness.
+
+    The queries are an aggregate over all records that several steps read, so they are
+    written once.
+    """
+    resolved = resolve_entity(cut_lineage(queries), "country_iso", "country", ref_codes, ref_names)
     folded = fold_key(resolved, "province_state", "province_key")
     checked = null_tokens("province_state", T.ADMIN, collapse=True)
     missing = checked.isNull()
@@ -147,6 +152,7 @@ def fill_centroids(
     queries come from standardise_admin; area_centroids(area, latitude, longitude);
     country_centroids(entity, latitude, longitude).
     """
+    queries = cut_lineage(queries)
     provinces = number_rows(
         queries.where(F.col("target_level") == "province"),
         [F.col(c).asc_nulls_first() for c in ("country", "country_iso", "province_state", "identifier_source")],
