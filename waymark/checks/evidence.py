@@ -266,17 +266,6 @@ AND NOT EXISTS (SELECT 1 FROM o_hidden h WHERE h.cluster_id = e.cluster_id AND h
 
 VIEWS["o_rest_count"] = "SELECT cluster_id, true_label, count(*) AS n FROM o_rest WHERE true_label IS NOT NULL GROUP BY ALL"
 VIEWS["o_rest_summary"] = """
-SELECT t.cluster_id, t.locations_n, coalesce(a.assigned_n, 0) AS assigned_n, t.locations_n - coalesce(a.assigned_n, 0) AS unassigned_n,
-  coalesce(a.labels_n, 0) AS labels_n, a.dominant_label, coalesce(a.dominant_n, 0) AS dominant_n, coalesce(a.tied_n, 0) AS tied_n,
-  CAST(a.dominant_n AS double) / a.assigned_n AS dominant_proportion,
-  CAST(coalesce(a.assigned_n, 0) AS double) / t.locations_n AS overlay_coverage, coalesce(a.composition_json, '{}') AS composition_json
-FROM (SELECT cluster_id, count(*) AS locations_n FROM o_rest GROUP BY cluster_id) t
-LEFT JOIN (SELECT cluster_id, CAST(sum(n) AS bigint) AS assigned_n, count(*) AS labels_n, max(n) AS dominant_n,
-    list_aggregate(list_filter(list(n), lambda x: x = list_max(list(n))), 'count') AS tied_n,
-    (array_agg(true_label ORDER BY n DESC, true_label))[1] AS dominant_label,
-    concat('{', string_agg(concat('"', true_label, '":', CAST(n AS varchar)), ',' ORDER BY true_label), '}') AS composition_json
-  FROM o_rest_count GROUP BY cluster_id) a ON a.cluster_id = t.cluster_id"""
-VIEWS["o_rest_summary"] = """
 SELECT t.cluster_id, t.locations_n, coalesce(a.assigned_n, 0) AS assigned_n, t.locations_n - coalesce(a.assigned_n, 0) AS unassigned_n,
   coalesce(a.labels_n, 0) AS labels_n, a.dominant_label, coalesce(a.dominant_n, 0) AS dominant_n, coalesce(b.tied_n, 0) AS tied_n,
   CAST(a.dominant_n AS double) / a.assigned_n AS dominant_proportion,
