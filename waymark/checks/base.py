@@ -244,6 +244,19 @@ SELECT o_orderkey + CASE WHEN o_orderkey % 200 = 4 THEN 100000000 ELSE 0 END AS
   concat('L', {_s('o_orderkey % 3')}) AS assigned_label
 FROM {{orders}} WHERE o_orderkey % 4 = 0"""
 
+VIEWS["b_taxon"] = f"""
+SELECT p_partkey AS taxon_key,
+  concat('Genus', substr({_ALPHABET}, CAST(p_partkey % 26 AS int) + 1, 1),
+         ' species', substr({_ALPHABET}, CAST(p_partkey % 11 AS int) + 1, 1),
+         CASE WHEN p_partkey % 7 = 0 THEN ' | Other name' ELSE '' END) AS input_names,
+  CASE p_partkey % 286 % 6 WHEN 0 THEN 'AFRICA' WHEN 1 THEN ' america' WHEN 2 THEN 'Asia' WHEN 3 THEN 'europe'
+    WHEN 4 THEN 'Middle  East' ELSE 'ocean' END AS dominant_label,
+  CASE p_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'Low' ELSE 'no_realm_evidence' END AS taxon_confidence,
+  CAST(50 + p_partkey % 51 AS double) AS dominant_proportion,
+  CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE p_partkey % 61 END AS assigned_records_n,
+  CAST(40 + p_partkey % 61 AS double) / 100 AS overlay_coverage
+FROM {{part}} WHERE p_partkey % 7 <> 0 OR p_partkey % 286 % 6 = 0"""
+
 VIEWS["b_journal"] = f"""
 SELECT event_id AS seq, {_s('user_id')} AS query_name,
   CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS request_status,
