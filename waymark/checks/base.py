@@ -62,8 +62,20 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _plan(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Reuse a scan's plan (never its data) within a session, to infer each schema once."""
+    key = (spark.sparkContext.applicationId, id(spark), *key)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def table(spark: SparkSession, sf: str, name: str, cols: list[str] | None = None) -> DataFrame:
-    return scan(spark, f"{sf}/{name}.parquet", cols=cols)
+    df = _plan(spark, ("table", sf, name), lambda: scan(spark, f"{sf}/{name}.parquet"))
+    return df.select(*cols) if cols else df
 
 
 _ALPHABET = "'abcdefghijklmnopqrstuvwxyz'"
@@ -272,7 +284,10 @@ def bridge(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A derived table as a DataFrame over the given tables."""
     text = _TEMPLATES[name]
     used = [t for t in TABLES if f"{{{t}}}" in text]
-    return spark.sql(text, **{t: table(spark, sf, t) for t in used})
+    return _plan(
+        spark, ("bridge", sf, name),
+        lambda: spark.sql(text, **{t: table(spark, sf, t) for t in used}),
+    )
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from waymark.checks.scalars import nulled
 from waymark.functions import tokens as T
 from waymark.operators.regions import (
     _E, _E2, _QP, _RADIUS, EQUAL_EARTH, NEWTON_STEPS, POOL_STATUS, TAXON_STATUS, build_areas,
-    build_cover, label_distinct_points, label_points, match_points, region_centroids,
+    label_distinct_points, label_points, match_points, region_centroids,
     representative_region, roll_up_overlay,
 )
 from waymark.operators.reporting import facets, inventory, value_counts
@@ -84,9 +84,9 @@ def _(spark, sf):
 
 @check("j08_point_in_region", "SELECT row_key, region FROM o_hit")
 def _(spark, sf):
-    edges, _ = regions(spark, sf)
+    edges, attrs = regions(spark, sf)
     points = placed(spark, sf).select("row_key", "final_latitude", "final_longitude")
-    matched = match_points(points, build_cover(edges), "final_latitude", "final_longitude")
+    matched = match_points(points, edges, attrs, "final_latitude", "final_longitude")
     return matched.select("row_key", "region")
 
 
@@ -127,9 +127,9 @@ def _(spark, sf):
 def _(spark, sf):
     edges, attrs = regions(spark, sf)
     points = placed(spark, sf).select("row_key", "final_latitude", "final_longitude")
-    matched = match_points(points, build_cover(edges), "final_latitude", "final_longitude")
     some = attrs.withColumn("label", F.when(F.col("region") % 5 != 0, F.col("label")))
-    return roll_up_overlay(matched.join(some, "region"), ["row_key"], TAXON_STATUS).drop("candidate_list")
+    matched = match_points(points, edges, some, "final_latitude", "final_longitude")
+    return roll_up_overlay(matched, ["row_key"], TAXON_STATUS).drop("candidate_list")
 
 
 @check(
@@ -140,11 +140,10 @@ def _(spark, sf):
 def _(spark, sf):
     edges, attrs = regions(spark, sf)
     points = placed(spark, sf).select("row_key", "final_latitude", "final_longitude")
-    matched = match_points(points, build_cover(edges), "final_latitude", "final_longitude")
     some = attrs.withColumn("label", F.when(F.col("region") % 5 != 0, F.col("label")))
-    return representative_region(matched.join(some, "region"), ["row_key"], "label", "eco").select(
-        "row_key", "label", "eco"
-    )
+    matched = match_points(points, edges, some, "final_latitude", "final_longitude")
+    named = matched.join(attrs.select("region", "eco"), "region")
+    return representative_region(named, ["row_key"], "label", "eco").select("row_key", "label", "eco")
 
 
 @check(

@@ -21,7 +21,7 @@ def to_number(c: Column | str) -> Column:
 
 
 def in_range(lat: Column | str, lon: Column | str) -> Column:
-    return F.coalesce(_col(lat).between(-90, 90) & _col(lon).between(-180, 180), F.lit(False))
+    return F.coalesce((F.abs(_col(lat)) <= 90) & (F.abs(_col(lon)) <= 180), F.lit(False))
 
 
 def valid_coord(

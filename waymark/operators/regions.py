@@ -1,13 +1,15 @@
 """Point-in-region labelling, overlay roll-up and region centroids over edge tables.
 
 A region layer is edges(region, x0, y0, x1, y1), one row per directed boundary segment of
-any ring, plus attributes(region, ...). Rings are combined by crossing parity, so holes
-and multiple parts need no geometry type.
-
-Labelling is an equi-join on grid cells. The cover table says for every cell and region
-whether the cell lies inside the region (no test needed) or is touched by its boundary;
-boundary cells carry the segments of their latitude band that lie in or right of the cell.
-Its size depends on the layer and the cell size, never on the points.
+any ring, plus attributes(region, label, ...). Rings are combined by crossing parity, so
+holes and multiple parts need no geometry type.
+
+Labelling is one left equi-join of the points with a cell table. A cell lists the regions
+that reach it: either the cell lies wholly inside (no test needed) or the boundary touches
+it, and then the entry carries the segments of its latitude band that lie in or right of
+the cell. The table's size depends on the layer and the cell size, never on the points: it
+is broadcast only if Spark measures it small, else both sides are shuffled by cell and hot
+cells are split at run time. Points are neither deduplicated nor regrouped.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators.ranking import null_safe, pick_one
+from waymark.functions.text import let
+from waymark.operators.ranking import pick_one
 
 
 def _cell(c: Column | str, degrees: float) -> Column:
@@ -44,54 +47,73 @@ def _touches(e: Column, x: Column, y: Column) -> Column:
 
 def build_cover(edges: DataFrame, degrees: float = 1.0) -> DataFrame:
     """(cx, cy, region, inside, segments) for every cell a region reaches."""
-    seg = F.struct("x0", "y0", "x1", "y1")
     left, right = F.least("x0", "x1"), F.greatest("x0", "x1")
-    spread = edges.select(
-        "region", seg.alias("e"), left.alias("left"), right.alias("right"),
+    bands = edges.select(
+        "region", F.struct("x0", "y0", "x1", "y1").alias("e"), left.alias("left"), right.alias("right"),
         F.explode(
             F.sequence(_cell(F.least("y0", "y1"), degrees), _cell(F.greatest("y0", "y1"), degrees))
         ).alias("cy"),
     )
-    # the reach of a region in one latitude band, and which of its cells a segment touches
-    reach = spread.groupBy("region", "cy").agg(
-        _cell(F.min("left"), degrees).alias("c0"), _cell(F.max("right"), degrees).alias("c1")
-    )
-    touched = spread.select(
-        "region", "cy",
-        F.explode(F.sequence(_cell("left", degrees), _cell("right", degrees))).alias("cx"),
-    ).distinct().withColumn("touched", F.lit(True))
-    cells = reach.select(
-        "region", "cy", F.explode(F.sequence("c0", "c1")).alias("cx")
-    ).join(touched, ["region", "cy", "cx"], "left")
-    # segments can only be crossed from cells at or left of them
-    met = cells.join(spread, ["region", "cy"]).where(
-        F.col("right") >= F.col("cx") * F.lit(degrees)
-    )
+    # the segments of one region in one latitude band, and the cells between its extremes
+    cells = bands.groupBy("region", "cy").agg(
+        _cell(F.min("left"), degrees).alias("c0"), _cell(F.max("right"), degrees).alias("c1"),
+        F.collect_list("e").alias("band"),
+    ).select("region", "cy", "band", F.explode(F.sequence("c0", "c1")).alias("cx"))
+    x0, x1 = F.col("cx") * F.lit(degrees), (F.col("cx") + 1) * F.lit(degrees)
     mid_x = (F.col("cx") + 0.5) * F.lit(degrees)
     mid_y = (F.col("cy") + 0.5) * F.lit(degrees)
-    grouped = met.groupBy("region", "cy", "cx").agg(
-        F.max(F.coalesce("touched", F.lit(False))).alias("touched"),
-        F.sum(_crosses(F.col("e"), mid_x, mid_y).cast("int")).alias("_n"),
-        F.collect_list(F.when(F.col("touched"), F.col("e"))).alias("segments"),
+    touched = F.exists(
+        "band", lambda e: (F.least(e["x0"], e["x1"]) < x1) & (F.greatest(e["x0"], e["x1"]) >= x0)
     )
-    inside = ~F.col("touched") & (F.col("_n") % 2 == 1)
-    return grouped.where(F.col("touched") | inside).select(
-        "cx", "cy", "region", inside.alias("inside"), "segments"
+    odd = F.size(F.filter("band", lambda e: _crosses(e, mid_x, mid_y))) % 2 == 1
+    ahead = F.filter("band", lambda e: F.greatest(e["x0"], e["x1"]) >= x0)
+    seen = cells.withColumn("touched", touched)
+    return seen.select(
+        "cx", "cy", "region", (~F.col("touched") & odd).alias("inside"),
+        F.when(F.col("touched"), ahead).alias("segments"),
+    ).where(F.col("inside") | F.col("segments").isNotNull())
+
+
+def cell_table(cover: DataFrame, attrs: DataFrame, label: str = "label") -> DataFrame:
+    """(cx, cy, candidates): the regions reaching each cell, with their labels."""
+    named = cover.join(attrs.select("region", F.col(label).alias("label")), "region", "left")
+    return named.groupBy("cx", "cy").agg(
+        F.collect_list(F.struct("region", "label", "inside", "segments")).alias("candidates")
     )
 
 
+def _hits(candidates: Column, x: Column, y: Column) -> Column:
+    """Candidates that contain the point; the boundary counts as inside."""
+    def contains(c: Column) -> Column:
+        odd = F.size(F.filter(c["segments"], lambda e: _crosses(e, x, y))) % 2 == 1
+        return c["inside"] | odd | F.exists(c["segments"], lambda e: _touches(e, x, y))
+
+    return F.filter(candidates, contains)
+
+
+def _join_cells(
+    points: DataFrame, cells: DataFrame, lat: str, lon: str, degrees: float, how: str
+) -> DataFrame:
+    """Points with the candidates of their cell. Points without a place get spread keys."""
+    spread = -1000 - F.pmod(F.xxhash64(*points.columns), F.lit(4096)).cast("int")
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    keyed = points.withColumns(
+        {"cx": F.when(placed, _cell(lon, degrees)).otherwise(spread), "cy": F.when(placed, _cell(lat, degrees)).otherwise(0)}
+    )
+    return keyed.join(cells, ["cx", "cy"], how).drop("cx", "cy")
+
+
 def match_points(
-    points: DataFrame, cover: DataFrame, lat: str, lon: str, degrees: float = 1.0
+    points: DataFrame, edges: DataFrame, attrs: DataFrame, lat: str, lon: str,
+    degrees: float = 1.0, label: str = "label",
 ) -> DataFrame:
-    """One row per (point row, containing region); the boundary counts as inside."""
-    x, y = F.col(lon), F.col(lat)
-    placed = points.where(x.isNotNull() & y.isNotNull()).withColumns(
-        {"cx": _cell(lon, degrees), "cy": _cell(lat, degrees)}
+    """One row per (point row, containing region), with the region's label."""
+    cells = cell_table(build_cover(edges, degrees), attrs, label)
+    met = _join_cells(points, cells, lat, lon, degrees, "inner")
+    hit = F.explode(_hits(F.col("candidates"), F.col(lon), F.col(lat))).alias("_hit")
+    return met.select(*points.columns, hit).select(
+        *points.columns, F.col("_hit.region").alias("region"), F.col("_hit.label").alias("label")
     )
-    crossings = F.size(F.filter("segments", lambda e: _crosses(e, x, y)))
-    on_line = F.exists("segments", lambda e: _touches(e, x, y))
-    hit = F.when(F.col("inside"), True).otherwise((crossings % 2 == 1) | on_line)
-    return placed.join(cover, ["cx", "cy"]).where(hit).drop("cx", "cy", "inside", "segments")
 
 
 # Status words of the three overlay vocabularies, by outcome.
@@ -128,35 +150,54 @@ def roll_up_overlay(
     )
 
 
+def _overlay(hits: Column, words: dict[str, str]) -> Column:
+    """The roll-up of one point's containing regions as a struct."""
+    def rolled(h: Column) -> Column:
+        labels = F.filter(F.transform(h, lambda c: c["label"]), lambda v: v.isNotNull())
+        return F.struct(
+            F.size(h).cast("bigint").alias("matched_regions_n"),
+            F.size(labels).cast("bigint").alias("labelled_regions_n"),
+            F.array_sort(F.array_distinct(labels)).alias("labels"),
+        )
+
+    def worded(r: Column) -> Column:
+        n = F.size(r["labels"])
+        return F.struct(
+            r["matched_regions_n"].alias("matched_regions_n"),
+            r["labelled_regions_n"].alias("labelled_regions_n"),
+            n.cast("bigint").alias("matched_labels_n"),
+            F.array_join(r["labels"], "|").alias("candidate_list"),
+            F.when(n == 1, F.get(r["labels"], 0)).alias("assigned_label"),
+            F.when(n == 0, words["none"]).when(n > 1, words["many"])
+            .when(r["labelled_regions_n"] > 1, words["same"]).otherwise(words["one"])
+            .alias("overlay_status"),
+        )
+
+    return let(let(hits, rolled), worded)
+
+
+def label_points(
+    points: DataFrame, lat: str, lon: str, edges: DataFrame, attrs: DataFrame,
+    words: dict[str, str] = DIRECT_STATUS, degrees: float = 1.0, label: str = "label",
+) -> DataFrame:
+    """Overlay columns for every point row."""
+    cells = cell_table(build_cover(edges, degrees), attrs, label)
+    met = _join_cells(points, cells, lat, lon, degrees, "left")
+    none = F.array().cast(met.schema["candidates"].dataType)
+    hits = F.coalesce(_hits(F.col("candidates"), F.col(lon), F.col(lat)), none)
+    found = met.withColumn("_o", _overlay(hits, words))
+    return found.select(*[F.col(f"`{c}`") for c in points.columns], "_o.*")
+
+
 def label_distinct_points(
     points: DataFrame, lat: str, lon: str, edges: DataFrame, attrs: DataFrame,
     words: dict[str, str], degrees: float = 1.0, label: str = "label",
 ) -> DataFrame:
-    """(lat, lon, overlay columns) for every distinct location of the points."""
+    """(lat, lon, overlay columns) for every distinct location, for points that repeat a lot."""
     places = points.select(lat, lon).where(
         F.col(lat).isNotNull() & F.col(lon).isNotNull()
     ).distinct()
-    matched = match_points(places, build_cover(edges, degrees), lat, lon, degrees)
-    rolled = roll_up_overlay(matched.join(attrs, "region", "left"), [lat, lon], words, label)
-    zero = F.lit(0).cast("bigint")
-    return places.join(rolled, [lat, lon], "left").withColumns(
-        {
-            "matched_regions_n": F.coalesce("matched_regions_n", zero),
-            "labelled_regions_n": F.coalesce("labelled_regions_n", zero),
-            "matched_labels_n": F.coalesce("matched_labels_n", zero),
-            "candidate_list": F.coalesce("candidate_list", F.lit("")),
-            "overlay_status": F.coalesce("overlay_status", F.lit(words["none"])),
-        }
-    )
-
-
-def label_points(
-    points: DataFrame, lat: str, lon: str, edges: DataFrame, attrs: DataFrame,
-    words: dict[str, str] = DIRECT_STATUS, degrees: float = 1.0, label: str = "label",
-) -> DataFrame:
-    """Overlay columns for every point row, computed once per distinct location."""
-    located = label_distinct_points(points, lat, lon, edges, attrs, words, degrees, label)
-    return null_safe(points, located, [lat, lon], "left")
+    return label_points(places, lat, lon, edges, attrs, words, degrees, label)
 
 
 def representative_region(
