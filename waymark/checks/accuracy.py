@@ -15,7 +15,6 @@ from waymark.operators.validation import confusion_with_totals, join_truth
 from waymark.plans.accuracy import (
     band_audit, prepare_predictions, species_metrics, threshold_report, truth_rows,
 )
-from waymark.session import cut_lineage
 
 SEED = 20260727
 DIGITS = 9
@@ -276,7 +275,7 @@ def _(spark, sf):
     JOIN o_grid_holdout h ON h.share_threshold = c.share_threshold AND h.count_threshold = c.count_threshold AND h.coverage_threshold = c.coverage_threshold""",
 )
 def _(spark, sf):
-    return threshold_report(cut_lineage(metrics(spark, sf))).select(
+    return threshold_report(metrics(spark, sf)).select(
         "band", "selection_status", "share_threshold", "count_threshold", "coverage_threshold", "species_n", "accuracy",
         "holdout_species_n", "holdout_coverage", "holdout_accuracy",
     )

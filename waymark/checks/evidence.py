@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waymark.checks.base import VIEWS, bridge, check, records, regions, table
 from waymark.checks.lookups import placed
 from waymark.checks.scalars import nulled
-from waymark.checks.spatial import direct
+from waymark.checks import spatial  # noqa: F401  (derived tables)
 from waymark.functions import tokens as T
 from waymark.operators.evidence import (
     CONFIDENCE_ORDER, cluster_locations, composition, dominant, names_per_group,
@@ -21,7 +21,7 @@ from waymark.operators.validation import (
     accuracy, assemble, confusion, exclude, keep_keys, key_diff, leakage, pivot_confusion,
 )
 from waymark.plans.labels import (
-    automatic_updates, cluster_predictions, draw_holdout, effective_labels, evidence_pool,
+    automatic_updates, cluster_predictions, direct_labels, draw_holdout, effective_labels, evidence_pool,
     holdout_candidates, pool_eligibility, record_predictions, score_hidden, update_table,
 )
 from waymark.session import cut_lineage
@@ -166,10 +166,9 @@ WHERE e.inference_class = 'target'"""
 
 
 def effective(spark, sf):
-    base = placed(spark, sf)
+    # the stages before read the records once; their result is written and read twice
+    base = cut_lineage(placed(spark, sf))
     edges, attrs = regions(spark, sf)
-    from waymark.plans.labels import direct_labels
-
     return effective_labels(base, update_table(direct_labels(base, edges, attrs)))
 
 

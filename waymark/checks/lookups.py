@@ -285,11 +285,9 @@ GROUP BY q.country, q.country_iso, q.province_state, q.identifier_source, q.prov
     CASE WHEN candidates_n = 1 THEN area_id END AS area FROM o_area_hits""",
 )
 def _(spark, sf):
-    queries = standard_queries(spark, sf).where("target_level = 'province'").withColumn(
-        "query_id", F.concat_ws("/", F.coalesce("country", F.lit("~")), "country_iso", "province_state", "identifier_source")
-    )
+    queries = standard_queries(spark, sf).where("target_level = 'province'")
     out = resolve_alias(
-        queries, area_aliases(spark, sf), "query_id", "entity", "province_key",
+        queries, area_aliases(spark, sf), "entity", "province_key",
         F.col("province_status") == "ready_for_matching",
     )
     return out.select(

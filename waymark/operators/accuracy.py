@@ -81,12 +81,14 @@ def bootstrap_mean(
     group = by or "_g"
     named = df.withColumn("_g", F.lit("all")) if by is None else df
     named = named.where(F.col(value).isNotNull() & ~F.isnan(value)).select(group, key, value)
-    sizes = named.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     # positions follow the key inside each group
     ordered = number_rows(named, [F.col(group).asc_nulls_first(), F.col(key).asc()], "_row")
-    starts = ordered.groupBy(group).agg(F.min("_row").alias("_first"))
-    placed = null_safe(null_safe(ordered, sizes, [group], "inner"), starts, [group], "inner")
-    placed = placed.withColumn("_pos", F.col("_row") - F.col("_first"))
+    ranges = ordered.groupBy(group).agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    placed = null_safe(ordered, ranges, [group], "inner").select(
+        group, "_n", value, (F.col("_row") - F.col("_first")).alias("_pos")
+    )
     draws = placed.select(
         group, "_n", "_pos", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep")
     )
@@ -102,7 +104,7 @@ def bootstrap_mean(
     bounds = means.groupBy(group).agg(
         F.percentile("_mean", 0.025).alias("ci_low"), F.percentile("_mean", 0.975).alias("ci_high")
     )
-    base = named.groupBy(group).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    base = placed.groupBy(group).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     out = null_safe(base, bounds, [group], "left")
     return out.drop("_g") if by is None else out
 

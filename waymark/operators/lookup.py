@@ -337,22 +337,25 @@ def alias_table(
 
 
 def resolve_alias(
-    queries: DataFrame, aliases: DataFrame, query_id: str, parent: str, name_key: str,
-    ready: Column,
+    queries: DataFrame, aliases: DataFrame, parent: str, name_key: str, ready: Column
 ) -> DataFrame:
-    """Match folded names to areas using the best alias field that matches at all."""
-    asked = queries.select(
-        query_id, F.col(parent).alias("parent"), F.col(name_key).alias("name_key")
-    )
-    met = asked.join(aliases, ["parent", "name_key"])
-    per_query = met.groupBy(query_id, "priority").agg(
+    """Match folded names to areas using the best alias field that matches at all.
+
+    A match depends on the key alone, so the alias table is reduced to one row per key
+    before the queries meet it.
+    """
+    per_field = aliases.groupBy("parent", "name_key", "priority").agg(
         F.count_distinct("area").alias("candidates_n"), F.min("area").alias("area"),
         F.min("field").alias("alias_field"),
     )
-    best = pick_one(per_query, [query_id], [F.col("priority").asc()]).drop("priority")
-    out = queries.join(best, query_id, "left").withColumn(
-        "candidates_n", F.coalesce("candidates_n", F.lit(0)).cast("bigint")
+    best = pick_one(per_field, ["parent", "name_key"], [F.col("priority").asc()]).select(
+        F.col("parent").alias("_parent"), F.col("name_key").alias("_name_key"),
+        "candidates_n", "area", "alias_field",
     )
+    met = queries.join(
+        best, (F.col(parent) == F.col("_parent")) & (F.col(name_key) == F.col("_name_key")), "left"
+    ).drop("_parent", "_name_key")
+    out = met.withColumn("candidates_n", F.coalesce("candidates_n", F.lit(0)).cast("bigint"))
     one = F.col("candidates_n") == 1
     return out.withColumns(
         {

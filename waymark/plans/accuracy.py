@@ -16,6 +16,7 @@ from waymark.operators.accuracy import (
 from waymark.operators.ranking import pick_one
 from waymark.operators.sampling import split
 from waymark.operators.validation import join_truth
+from waymark.session import cut_lineage
 
 CALIBRATION_FRACTION = 0.70
 
@@ -63,14 +64,18 @@ def species_metrics(
     records: DataFrame, predictions: DataFrame, seed: int = BOOTSTRAP_SEED,
     fraction: float = CALIBRATION_FRACTION,
 ) -> DataFrame:
-    """Validation metrics per species with its calibration or holdout side."""
+    """Validation metrics per species with its calibration or holdout side.
+
+    Only this step reads the records. Its one row per species feeds several later steps,
+    so it is written once.
+    """
     usable = predictions.where(F.col("predicted_label").isNotNull())
     joined = join_truth(usable, truth_rows(records), ["species_key"])
     metrics = entity_metrics(
         joined, "species_key",
         ["band", "dominant_proportion", "assigned_records_n", "overlay_coverage"],
     )
-    return split(metrics, "band", fraction, ["species_key"], seed)
+    return split(cut_lineage(metrics), "band", fraction, ["species_key"], seed)
 
 
 def threshold_report(metrics: DataFrame) -> DataFrame:

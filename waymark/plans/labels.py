@@ -20,6 +20,7 @@ from waymark.operators.regions import (
 from waymark.operators.sampling import allocate, one_per_group, stratified_sample
 from waymark.operators.validation import exclude, keep_keys, score_holdout
 from waymark.functions.hashing import draw_key
+from waymark.session import cut_lineage
 
 # Assignment method and provenance confidence by coordinate source.
 SOURCE_METHOD = {
@@ -143,7 +144,8 @@ def draw_holdout(
             "location_longitude_e4": F.rint(F.col("location_longitude") * 10000.0).cast("bigint"),
         }
     )
-    single = one_per_group(keyed, ["cluster_id"], key, seed)
+    # one row per cluster, read by the allocation and by the draw
+    single = cut_lineage(one_per_group(keyed, ["cluster_id"], key, seed))
     if mode == "unstratified":
         picked = single.withColumn("_draw", draw_key(seed + 1, "cluster_id")).orderBy(
             "_draw", "cluster_id"

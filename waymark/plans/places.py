@@ -153,13 +153,9 @@ def fill_centroids(
     country_centroids(entity, latitude, longitude).
     """
     queries = cut_lineage(queries)
-    provinces = number_rows(
-        queries.where(F.col("target_level") == "province"),
-        [F.col(c).asc_nulls_first() for c in ("country", "country_iso", "province_state", "identifier_source")],
-        "query_id",
-    )
     ready = F.col("province_status") == "ready_for_matching"
-    matched = resolve_alias(provinces, aliases, "query_id", "entity", "province_key", ready)
+    provinces = queries.where(F.col("target_level") == "province")
+    matched = resolve_alias(provinces, aliases, "entity", "province_key", ready)
     child = prepare_centroids(
         matched.where(F.col("match_status") == "matched").join(area_centroids, "area"),
         ["country", "country_iso", "province_state"],

@@ -16,6 +16,7 @@ from waymark.functions.text import map_values, null_tokens, squash
 from waymark.operators.ranking import cumulative_share, pick_one, priority_band
 from waymark.operators.reporting import merge_by_key, species_counters, species_evidence
 from waymark.operators.sampling import equal_per_stratum
+from waymark.session import cut_lineage
 
 PILOT_SEED = 20260722
 PILOT_N = 200
@@ -55,7 +56,9 @@ def pilot_summary(records: DataFrame) -> DataFrame:
 
 
 def pilot_sample(summary: DataFrame, n: int = PILOT_N, seed: int = PILOT_SEED) -> DataFrame:
-    return equal_per_stratum(summary, "sampling_band", n, ["species"], seed)
+    """Pilot species, equally many per band. The summary is an aggregate over all records
+    that the draw reads more than once, so it is written first."""
+    return equal_per_stratum(cut_lineage(summary), "sampling_band", n, ["species"], seed)
 
 
 def candidate_records(effective: DataFrame, predictions: DataFrame) -> DataFrame:
