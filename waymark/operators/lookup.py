@@ -6,6 +6,7 @@ otherwise shuffles, splitting hot keys at run time.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -246,6 +247,7 @@ def resolve_entity(
         .when(F.col("_c_n") > 1, "ambiguous").otherwise("invalid")
     )
     key = F.col("name_key")
+    known_alias = F.map_contains_key(F.from_json(F.lit(json.dumps(aliases)), "map<string,string>"), key)
     name_status = (
         F.when(key == "", "missing")
         .when(key.isin(list(review_terms)), "needs_manual_review")
@@ -257,7 +259,7 @@ def resolve_entity(
     name_method = (
         F.when(key == "", "")
         .when(key.isin(list(review_terms)), "historical_or_special_name")
-        .when((F.col("_n_n") == 1) & key.isin(list(aliases)), "exact_alias")
+        .when((F.col("_n_n") == 1) & known_alias, "exact_alias")
         .when(F.col("_n_n") == 1, "exact_name")
         .when(F.col("_n_n") > 1, "multiple_name_matches")
         .when(F.col("_h_n") == 1, "exact_prefix_before_locality")
@@ -308,8 +310,9 @@ def resolve_entity(
 
 def _follow(ref_codes: DataFrame, aliases: dict[str, str], key: str) -> DataFrame:
     """Alias rows whose target code means exactly one entity."""
-    pairs = F.array(
-        *[F.struct(F.lit(a).alias("alias"), F.lit(t).alias("target")) for a, t in aliases.items()]
+    pairs = F.from_json(
+        F.lit(json.dumps([{"alias": a, "target": t} for a, t in aliases.items()])),
+        "array<struct<alias:string,target:string>>",
     )
     wanted = ref_codes.where(F.col("code").isin(sorted(set(aliases.values()))))
     single = wanted.groupBy("code").agg(
