@@ -260,7 +260,8 @@ def _(spark, sf):
 @check("x07_clean_place_query", "SELECT row_key, cleaned FROM o_clean")
 def _(spark, sf):
     df = bridge(spark, sf, "b_raw_query")
-    return df.select("row_key", X.clean_place_query("raw_query").alias("cleaned"))
+    once = X.on_distinct(df, "raw_query", "cleaned", X.clean_place_query)
+    return once.select("row_key", F.coalesce("cleaned", F.lit("")).alias("cleaned"))
 
 
 @check(

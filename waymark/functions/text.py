@@ -75,26 +75,26 @@ def _ascii_words_udf(names: pd.Series) -> pd.Series:
     return names.map(_ascii_words, na_action="ignore")
 
 
+def on_distinct(df: DataFrame, col: str, out: str, fn: Callable[[str], Column]) -> DataFrame:
+    """Add fn(col), worked out once per distinct text and joined back.
+
+    Worth it for costly expressions over texts that repeat a lot; fn never sees nulls.
+    """
+    texts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    return df.join(texts.select(col, fn(col).alias(out)), col, "left")
+
+
 def fold_key(
     df: DataFrame, col: str, out: str, tokens: Iterable[str] = T.ADMIN
 ) -> DataFrame:
     """Accent-insensitive key of a name column.
 
     Unicode decomposition has no built-in expression, so each distinct name passes once
-    through an Arrow batch and is joined back.
+    through an Arrow batch.
     """
     cleaned = df.withColumn("_fold_in", null_tokens(col, tokens, collapse=True))
-    names = (
-        cleaned.where(F.col("_fold_in").isNotNull())
-        .groupBy("_fold_in")
-        .agg(F.count(F.lit(1)).alias("_fold_n"))
-        .select("_fold_in", _ascii_words_udf("_fold_in").alias(out))
-    )
-    return (
-        cleaned.join(names, "_fold_in", "left")
-        .withColumn(out, F.coalesce(F.col(out), F.lit("")))
-        .drop("_fold_in")
-    )
+    folded = on_distinct(cleaned, "_fold_in", out, _ascii_words_udf)
+    return folded.withColumn(out, F.coalesce(F.col(out), F.lit(""))).drop("_fold_in")
 
 
 def relaxed_key(
@@ -234,17 +234,17 @@ def canonical_label(
     drop: Iterable[str] = NOT_TERRESTRIAL,
 ) -> Column:
     """Canonical region label; labels that are not terrestrial become null."""
-    text = null_tokens(c, T.TRUTH, collapse=True)
-    key = squash(F.regexp_replace(F.lower(text), r"[_\-]+", " "))
     pairs = [F.lit(x) for item in synonyms.items() for x in item]
-    known = F.try_element_at(F.create_map(*pairs), key)
-    # every letter that follows a non-letter starts a word
-    words = F.regexp_replace(F.lower(text), r"(?U)(?<=[^\p{L}])(?=\p{L})", "\x00")
-    titled = F.replace(
-        F.array_join(F.transform(F.split(words, "\x00"), lambda w: F.initcap(w)), "\x00"),
-        F.lit("\x00"),
-    )
-    return F.when(~key.isin(list(drop)), F.coalesce(known, titled))
+
+    def named(text: Column) -> Column:
+        key = squash(F.regexp_replace(F.lower(text), r"[_\-]+", " "))
+        # every letter that follows a non-letter starts a word
+        words = F.regexp_replace(F.lower(text), r"(?U)(?<=[^\p{L}])(?=\p{L})", "\x00")
+        titled = F.array_join(F.transform(F.split(words, "\x00"), lambda w: F.initcap(w)), "")
+        known = F.try_element_at(F.create_map(*pairs), key)
+        return F.when(~key.isin(list(drop)), F.coalesce(known, titled))
+
+    return let(null_tokens(c, T.TRUTH, collapse=True), named)
 
 
 def canonical_band(c: Column | str) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from waymark.functions.coords import round_half_even, valid_coord
 from waymark.functions.stats import ratio
-from waymark.operators.ranking import pick_one
 from waymark.operators.regions import VALID_STATUSES
 
 # Support and purity thresholds of the confidence classes.
@@ -191,34 +190,51 @@ def taxon_confidence(
     """Evidence summary and confidence per taxon.
 
     Shares are over evidence units summed by label, so a unit holding two labels counts
-    for both.
+    for both. The records are read once: counts per (taxon, label, unit, ...) feed sums per
+    label, and those the taxon row, so a very common taxon is spread until its last step.
     """
-    base = records.groupBy(taxon).agg(
+    usable = F.col(label).isNotNull() & F.col(status).isin(list(VALID_STATUSES))
+    unusable = F.col(status).isin(
+        "outside_terrestrial_ecoregions", "ambiguous_realm_boundary", "invalid_coordinate"
+    )
+    cells = records.withColumns(
+        {"_usable": usable, "_unusable": unusable, "_valid": F.col(coord_ok) == "valid"}
+    ).groupBy(taxon, label, "_usable", "_unusable", "_valid", unit).agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.min(F.nullif(F.trim(c), F.lit(""))).alias(c) for c in first_of],
-        F.count(F.lit(1)).alias("records_n"),
-        F.count_if(F.col(coord_ok) == "valid").alias("valid_records_n"),
-        F.count(label).alias("assigned_records_n"),
-        F.count_if(
-            F.col(status).isin(
-                "outside_terrestrial_ecoregions", "ambiguous_realm_boundary", "invalid_coordinate"
-            )
-        ).alias("unusable_records_n"),
-    )
-    comp = taxon_composition(records, taxon, label, status, unit)
-    lead = pick_one(
-        comp, [taxon],
-        [F.col("unit_share").desc(), F.col("records_n").desc(), F.col(label).asc()],
-    ).select(
-        taxon, F.col(label).alias("dominant_label"), F.col("unit_share").alias("dominant_proportion"),
-        F.col("units_total").alias("assigned_units_n"), "labels_n",
-    )
-    out = base.join(lead, taxon, "left").withColumns(
+    )
+
+    def total(cond: str) -> Column:
+        return F.sum(F.when(F.col(cond), F.col("n")).otherwise(0))
+
+    per_label = cells.groupBy(taxon, label).agg(
+        F.sum("n").alias("n"), total("_valid").alias("valid"), total("_unusable").alias("unusable"),
+        total("_usable").alias("used"),
+        F.count_distinct(F.when(F.col("_usable"), F.col(unit))).alias("units"),
+        *[F.min(c).alias(c) for c in first_of],
+    )
+    shared = per_label.withColumn(
+        "unit_share", ratio("units", F.sum("units").over(Window.partitionBy(taxon)))
+    )
+    lead = F.min(
+        F.when(
+            F.col("used") > 0,
+            F.struct((-F.col("unit_share")).alias("s"), (-F.col("used")).alias("u"), F.col(label).alias("label")),
+        )
+    )
+    out = shared.groupBy(taxon).agg(
+        *[F.min(c).alias(c) for c in first_of],
+        F.sum("n").alias("records_n"), F.sum("valid").alias("valid_records_n"),
+        F.sum(F.when(F.col(label).isNotNull(), F.col("n")).otherwise(0)).alias("assigned_records_n"),
+        F.sum("unusable").alias("unusable_records_n"), lead.alias("_lead"),
+        F.sum("units").alias("assigned_units_n"), F.count_if(F.col("used") > 0).alias("labels_n"),
+    ).withColumns(
         {
-            "assigned_units_n": F.coalesce("assigned_units_n", F.lit(0)),
-            "labels_n": F.coalesce("labels_n", F.lit(0)),
+            "dominant_label": F.col("_lead.label"),
+            "dominant_proportion": -F.col("_lead.s"),
             "assignment_coverage": ratio("assigned_records_n", "records_n"),
         }
-    )
+    ).drop("_lead")
     units, share = F.col("assigned_units_n"), F.col("dominant_proportion")
     return out.withColumn(
         "taxon_confidence",

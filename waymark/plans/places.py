@@ -11,7 +11,7 @@ from waymark.functions import tokens as T
 from waymark.functions.coords import original_coordinates, to_number, valid_coord
 from waymark.functions.text import (
     audit_clean, clean_place_query, fold_key, has_text, is_abbreviation, parse_bool,
-    place_query, relaxed_key, admin_match_key, null_tokens,
+    place_query, relaxed_key, admin_match_key, null_tokens, on_distinct,
 )
 from waymark.operators.lookup import (
     cascade, coalesce_coords, hierarchical_lookup, lookup_left, lookup_ready, next_step,
@@ -36,7 +36,9 @@ def unique_places(records: DataFrame, cols: Sequence[str]) -> DataFrame:
 def second_round_queries(responses: DataFrame, raw: str, success: str, results: DataFrame) -> DataFrame:
     """Cleaned queries of failed lookups that have no completed second-round result."""
     failed = responses.where(~parse_bool(success, T.TRUE_LOOKUP))
-    cleaned = audit_clean(failed.withColumn("clean_query", clean_place_query(raw)), raw, "clean_query")
+    once = on_distinct(failed, raw, "clean_query", clean_place_query)
+    filled = once.withColumn("clean_query", F.coalesce("clean_query", F.lit("")))
+    cleaned = audit_clean(filled, raw, "clean_query")
     return pending(cleaned, results, ["clean_query"], F.lit(True))
 
 

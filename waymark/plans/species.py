@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -12,7 +12,7 @@ from waymark.functions.names import (
     REVIEW_ACTIONS, evidence_band, first_present, is_binomial, match_decision, name_class,
     preferred_key, review_type, screen_name,
 )
-from waymark.functions.text import map_values, null_tokens, squash
+from waymark.functions.text import let, map_values, null_tokens, squash
 from waymark.operators.ranking import cumulative_share, pick_one, priority_band
 from waymark.operators.reporting import merge_by_key, species_counters, species_evidence
 from waymark.operators.sampling import equal_per_stratum
@@ -109,14 +109,16 @@ def match_names(
     flat = flatten_response(responses, body).withColumns(
         {"name_flag": screen_name(name), "query_name": squash(F.coalesce(F.col(name), F.lit("")))}
     )
-    answer = {
-        "match_type": F.col("matchType"), "rank": F.col("rank"), "status": F.col("status"),
-        "kingdom": F.col("kingdom"), "order": F.col("order"), "confidence": F.col("confidence"),
-        "usage_key": F.col("usageKey"), "accepted_key": F.col("acceptedUsageKey"),
-    }
-    decided = flat.withColumn(
-        "_d", match_decision("name_flag", status, answer, min_confidence)
-    )
+
+    def decide(a: Column) -> Column:
+        answer = {
+            "match_type": a["matchType"], "rank": a["rank"], "status": a["status"],
+            "kingdom": a["kingdom"], "order": a["order"], "confidence": a["confidence"],
+            "usage_key": a["usageKey"], "accepted_key": a["acceptedUsageKey"],
+        }
+        return match_decision("name_flag", status, answer, min_confidence)
+
+    decided = flat.withColumn("_d", let(F.from_json(body, ANSWER_SCHEMA), decide))
     return decided.withColumns(
         {
             "match_decision": F.col("_d.decision"), "match_reason": F.col("_d.reason"),
