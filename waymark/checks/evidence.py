@@ -15,14 +15,14 @@ from waymark.operators.evidence import (
 )
 from waymark.operators.reporting import inventory
 from waymark.operators.sampling import (
-    allocate, equal_per_stratum, hash_sample, one_per_group, split, stratified_sample,
+    allocate, equal_per_stratum, hash_sample, split, stratified_sample,
 )
 from waymark.operators.validation import (
     accuracy, assemble, confusion, exclude, keep_keys, key_diff, leakage, pivot_confusion,
 )
 from waymark.plans.labels import (
     automatic_updates, cluster_predictions, direct_labels, draw_holdout, effective_labels, evidence_pool,
-    holdout_candidates, pool_eligibility, record_predictions, score_hidden, update_table,
+    holdout_candidates, one_candidate_per_cluster, pool_eligibility, record_predictions, score_hidden, update_table,
 )
 from waymark.session import cut_lineage
 
@@ -295,9 +295,7 @@ FROM (SELECT h.hidden_id, h.cluster_id, h.true_label, h.records_at_location_n AS
 
 def hidden_and_evidence(spark, sf):
     pool = cut_lineage(evidence(spark, sf))
-    candidates = holdout_candidates(pool, pool_eligibility(records(spark, sf), pool))
-    clusters = candidates.select("cluster_id").distinct().count()
-    return pool, draw_holdout(candidates, min(HIDDEN_N, clusters), SEED)
+    return pool, draw_holdout(pool, pool_eligibility(records(spark, sf), pool), HIDDEN_N, SEED, strict=False)
 
 
 def scored(spark, sf):
@@ -324,13 +322,15 @@ def _(spark, sf):
 )
 def _(spark, sf):
     pool = evidence(spark, sf)
-    candidates = holdout_candidates(pool, pool_eligibility(records(spark, sf), pool))
-    keyed = candidates.withColumns(
-        {"a": F.rint(F.col("location_latitude") * 10000.0).cast("bigint"),
-         "b": F.rint(F.col("location_longitude") * 10000.0).cast("bigint")}
-    )
-    return one_per_group(keyed, ["cluster_id"], ["cluster_id", "a", "b"], SEED).select(
-        "cluster_id", "location_latitude", "location_longitude", "true_label"
+    single = one_candidate_per_cluster(pool, pool_eligibility(records(spark, sf), pool), SEED)
+    return single.select("cluster_id", "location_latitude", "location_longitude", "true_label")
+
+
+@check("l11_holdout_candidates", "SELECT cluster_id, location_latitude, location_longitude, cluster_locations_n FROM o_candidate")
+def _(spark, sf):
+    pool = evidence(spark, sf)
+    return holdout_candidates(pool, pool_eligibility(records(spark, sf), pool)).select(
+        "cluster_id", "location_latitude", "location_longitude", "cluster_locations_n"
     )
 
 

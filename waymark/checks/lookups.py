@@ -17,6 +17,7 @@ from waymark.plans.places import (
     admin_queries, fill_centroids, recover_coordinates, recovery_metrics, second_round_queries,
     site_lookup, standardise_admin,
 )
+from waymark.session import cut_lineage
 
 SITE_KEYS = ["country", "site"]
 
@@ -339,9 +340,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     areas = bridge(spark, sf, "b_area").select(F.col("area_id").alias("area"), "latitude", "longitude")
-    out = fill_centroids(
-        placed(spark, sf), standard_queries(spark, sf), area_aliases(spark, sf), areas, country_centroids(spark, sf)
-    )
+    # the recovered records are written once; the queries and the fill both read them
+    base = cut_lineage(placed(spark, sf))
+    queries = standardise_admin(admin_queries(base), *entity_refs(spark, sf))
+    out = fill_centroids(base, queries, area_aliases(spark, sf), areas, country_centroids(spark, sf))
     return out.select("row_key", "final_latitude", "final_longitude", "final_source")
 
 

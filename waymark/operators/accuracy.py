@@ -39,15 +39,17 @@ def majority(df: DataFrame, ks: Sequence[str], label: str) -> DataFrame:
 def entity_metrics(
     records: DataFrame, key: str, carried: Sequence[str],
     predicted: str = "predicted_label", observed: str = "observed_label",
+    weight: str | None = None,
 ) -> DataFrame:
     """Validation counts, match rate and observed majority per entity.
 
     Records are summed per (entity, observed label) first, so a very common entity meets
-    the per-entity step as a handful of rows.
+    the per-entity step as a handful of rows. weight holds the count of rows already summed.
     """
+    n = F.lit(1) if weight is None else F.col(weight)
+    right = F.col(observed) == F.col(predicted)
     per_label = records.groupBy(key, observed).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(observed) == F.col(predicted)).alias("good"),
+        F.sum(n).alias("n"), F.sum(F.when(right, n).otherwise(0)).alias("good"),
         *[F.min(c).alias(c) for c in [predicted, *carried]],
     )
     leader = F.min(

@@ -70,10 +70,13 @@ def species_metrics(
     so it is written once.
     """
     usable = predictions.where(F.col("predicted_label").isNotNull())
-    joined = join_truth(usable, truth_rows(records), ["species_key"])
+    # summed before the join, so a very common species is never gathered in one task
+    truth = truth_rows(records).groupBy("species_key", "observed_label").agg(
+        F.count(F.lit(1)).alias("n")
+    )
     metrics = entity_metrics(
-        joined, "species_key",
-        ["band", "dominant_proportion", "assigned_records_n", "overlay_coverage"],
+        join_truth(usable, truth, ["species_key"]), "species_key",
+        ["band", "dominant_proportion", "assigned_records_n", "overlay_coverage"], weight="n",
     )
     return split(cut_lineage(metrics), "band", fraction, ["species_key"], seed)
 

@@ -122,30 +122,58 @@ def pool_eligibility(
 
 def holdout_candidates(evidence: DataFrame, eligibility: DataFrame, min_remaining: int = 3) -> DataFrame:
     """Locations that may be hidden: labelled ones of clusters with enough evidence."""
-    clusters = eligibility.where(
-        F.col("eligible") & (F.col("locations_n") >= min_remaining + 1)
-    ).select("cluster_id", F.col("locations_n").alias("cluster_locations_n"))
+    return _eligible(_hideable(evidence), eligibility, min_remaining)
+
+
+def _hideable(evidence: DataFrame) -> DataFrame:
     label = strip("true_label")
-    return evidence.join(clusters, "cluster_id").where(
+    return evidence.where(
         F.col("overlay_status").isin(list(VALID_STATUSES))
         & in_range("location_latitude", "location_longitude")
         & label.isNotNull() & ~label.isin(list(T.VALID_EXACT[:-1]))
     )
 
 
-def draw_holdout(
-    candidates: DataFrame, n: int, seed: int, mode: str = "proportional"
+def _eligible(places: DataFrame, eligibility: DataFrame, min_remaining: int) -> DataFrame:
+    clusters = eligibility.where(
+        F.col("eligible") & (F.col("locations_n") >= min_remaining + 1)
+    ).select("cluster_id", F.col("locations_n").alias("cluster_locations_n"))
+    return places.join(clusters, "cluster_id")
+
+
+def one_candidate_per_cluster(
+    evidence: DataFrame, eligibility: DataFrame, seed: int, min_remaining: int = 3
 ) -> DataFrame:
-    """n hidden locations, at most one per cluster, allocated over labels."""
+    """One drawn location per eligible cluster.
+
+    Whether a cluster is eligible does not depend on the location, so the draw comes first
+    and the join sees one row per cluster.
+    """
     key = ["cluster_id", "location_latitude_e4", "location_longitude_e4"]
-    keyed = candidates.withColumns(
+    keyed = _hideable(evidence).withColumns(
         {
             "location_latitude_e4": F.rint(F.col("location_latitude") * 10000.0).cast("bigint"),
             "location_longitude_e4": F.rint(F.col("location_longitude") * 10000.0).cast("bigint"),
         }
     )
+    single = one_per_group(keyed, ["cluster_id"], key, seed).drop(*key[1:])
+    return _eligible(single, eligibility, min_remaining)
+
+
+def draw_holdout(
+    evidence: DataFrame, eligibility: DataFrame, n: int, seed: int,
+    mode: str = "proportional", min_remaining: int = 3, strict: bool = True,
+) -> DataFrame:
+    """n hidden locations, at most one per cluster, allocated over labels.
+
+    Asking for more than there are eligible clusters is an error unless strict is off.
+    """
     # one row per cluster, read by the allocation and by the draw
-    single = cut_lineage(one_per_group(keyed, ["cluster_id"], key, seed))
+    single = cut_lineage(one_candidate_per_cluster(evidence, eligibility, seed, min_remaining))
+    available = single.count()
+    if strict and n > available:
+        raise ValueError(f"asked for {n} locations, but only {available} clusters are eligible")
+    n = min(n, available)
     if mode == "unstratified":
         picked = single.withColumn("_draw", draw_key(seed + 1, "cluster_id")).orderBy(
             "_draw", "cluster_id"
