@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,10 +66,15 @@ def match_text(c: Column | str) -> Column:
     return F.lower(squash(F.coalesce(_col(c), F.lit(""))))
 
 
+@cache
+def _combining_marks() -> dict[int, None]:
+    return {cp: None for cp in range(sys.maxunicode + 1) if unicodedata.combining(chr(cp))}
+
+
 def _ascii_words(text: str) -> str:
-    decomposed = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text))
-    base = "".join(ch for ch in decomposed if not unicodedata.combining(ch))
-    return " ".join(re.findall("[a-z0-9]+", base.casefold().replace("&", " and ")))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(_combining_marks())
+    return " ".join(re.findall("[a-z0-9]+", text.casefold().replace("&", " and ")))
 
 
 @F.pandas_udf(StringType())
