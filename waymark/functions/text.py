@@ -51,10 +51,14 @@ def null_tokens(
     collapse: bool = False,
 ) -> Column:
     """Null for cells whose trimmed text is a missing token, else the trimmed text."""
-    text = squash(c) if collapse else strip(c)
     words = [t for t in tokens if t not in set(keep)]
-    probe = F.lower(text) if fold else text
-    return F.when(~probe.isin(words), text)
+
+    def kept(text: Column) -> Column:
+        probe = F.lower(text) if fold else text
+        return F.when(~probe.isin(words), text)
+
+    # collapsing scans the whole text, so its result is bound once
+    return let(squash(c), kept) if collapse else kept(strip(c))
 
 
 def has_text(c: Column | str, tokens: Iterable[str], keep: Iterable[str] = ()) -> Column:
