@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import stored
 from waymark.llm.components import components
 
+#: Nodes that a node is compared with in the first round.
+PIVOTS = 8
+
 
 def band_members(banded: DataFrame) -> DataFrame:
     """(key, node, p1, p2) of every node in a band group of two or more different nodes; p1
@@ -35,16 +38,18 @@ def link_groups(
     (a, b) that are linked; `may_link` is a cheap condition on two structs of the light
     columns that linked pairs fulfil.
 
-    Every node is compared with two nodes of each of its groups, other ones in every band, and
-    the links are closed to components. What is left to compare in a group are nodes of
+    Every node is first compared with up to `PIVOTS` of the smallest and largest nodes of its
+    groups, and the links are closed to components. What is left to compare in a group are nodes of
     different components: those outside its largest component with all others. Nothing is
     left in most groups, and no pair inside a component is looked at again.
     """
     facts = F.struct(*(c for c in light.columns if c != "node"))
     x, y = light.select(F.col("node").alias("a"), facts.alias("x")), light.select(F.col("node").alias("b"), facts.alias("y"))
-    stars = members.select(F.col("p1").alias("a"), F.col("node").alias("b")).unionByName(
-        members.select(F.col("p2").alias("a"), F.col("node").alias("b"))
-    ).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    picks = members.select("node", F.explode(F.array("p1", "p2")).alias("pivot")).where("node <> pivot").distinct()
+    some = Window.partitionBy("node").orderBy(F.xxhash64("pivot"), "pivot")
+    stars = picks.withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= PIVOTS).select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+    ).distinct()
     likely = stars.join(x, "a").join(y, "b").where(may_link("x", "y")).select("a", "b")
     group = components(stored(verify(likely), "star-links"))
 
