@@ -113,6 +113,20 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def _line_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles): 64-bit hashes of the distinct shingles of the lines' keys."""
+    def sets(batches):
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            keys = (t.strip().lower() for t in batch.column("line").to_pylist())
+            found = [[digest(x) - (1 << 63) for x in {k[i:i + SHINGLE] for i in range(max(1, len(k) - SHINGLE + 1))}] for k in keys]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.mapInArrow(sets, "node long, shingles array<long>")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines' full shingle sets reach the similarity."""
     both = (
@@ -151,7 +165,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     settle(docs.sparkSession)
     group = link_groups(
         members, first.select("node", "sketch"), lambda pairs: _verified(pairs, texts),
-        lambda x, y: sketch_difference(x, y, 1) <= SKETCH_MOST_DIFF,
+        lambda x, y: sketch_difference(x, y, 1) <= SKETCH_MOST_DIFF, _line_sets(texts), PERCENT,
     )
     named = lines.select("doc_id", "content", "place", "node").join(group, "node", "left").select(
         "doc_id", "content", "place", F.coalesce("component", "node").alias("component")

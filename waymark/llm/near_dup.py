@@ -219,7 +219,7 @@ def link_components(
 
     roots = link_groups(
         members, light, lambda pairs: _verified(pairs, sets, percent),
-        lambda x, y: _may_link(x, y, percent, slots),
+        lambda x, y: _may_link(x, y, percent, slots), sets, percent,
     )
     roots = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
 

@@ -91,21 +91,30 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, n
     return b"".join(out), offsets
 
 
-def unpack_block(body: memoryview, offset: int) -> np.ndarray:
-    """The ids of the block that starts at `offset`."""
-    n, low, width, odd = struct.unpack_from(_BLOCK, body, offset)
-    at = offset + _BLOCK_SIZE
-    length = BLOCK * width // 8
-    if width:
-        flags = np.unpackbits(np.frombuffer(body, np.uint8, length, at), bitorder="little")
-        values = flags.reshape(BLOCK, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-    else:
-        values = np.zeros(BLOCK, np.int64)
-    at += length
-    if odd:
-        pos = np.frombuffer(body, "<u2", odd, at)
-        values[pos] |= np.frombuffer(body, "<u4", odd, at + 2 * odd).astype(np.int64) << width
-    return (values + low)[:n]
+def unpack_blocks(body: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the blocks at `offsets`, one after the other, and each block's number of ids.
+    Blocks of one width are unpacked together."""
+    data = np.frombuffer(body, np.uint8)
+    count = len(offsets)
+    at = offsets[:, None] + np.arange(_BLOCK_SIZE)
+    heads = data[at].reshape(-1).view(np.dtype([("n", "<u2"), ("low", "<u4"), ("width", "u1"), ("odd", "<u2")]))
+    values = np.zeros((count, BLOCK), np.int64)
+    for w in np.unique(heads["width"]).tolist():
+        if not w:
+            continue
+        rows = np.flatnonzero(heads["width"] == w)
+        packed = data[(offsets[rows] + _BLOCK_SIZE)[:, None] + np.arange(BLOCK * w // 8)]
+        flags = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        for k in range(w):
+            values[rows] |= flags[:, :, k].astype(np.int64) << k
+    for row in np.flatnonzero(heads["odd"]):
+        odd, w = int(heads["odd"][row]), int(heads["width"][row])
+        here = int(offsets[row]) + _BLOCK_SIZE + BLOCK * w // 8
+        pos = np.frombuffer(body, "<u2", odd, here)
+        values[row, pos] |= np.frombuffer(body, "<u4", odd, here + 2 * odd).astype(np.int64) << w
+    values += heads["low"].astype(np.int64)[:, None]
+    sizes = heads["n"].astype(np.int64)
+    return values[np.arange(BLOCK) < sizes[:, None]], sizes
 
 
 def write_bytes(ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -130,12 +139,14 @@ class TokenFile:
         if end <= start:
             return np.zeros(0, np.int64)
         first, last = start // BLOCK, (end - 1) // BLOCK
-        got = np.concatenate([unpack_block(self.body, self.offsets[b]) for b in range(first, last + 1)])
+        got = unpack_blocks(self.body, self.offsets[first:last + 1])[0]
         return got[start - first * BLOCK:end - first * BLOCK]
 
+    def end(self, k: int) -> int:
+        return int(self.starts[k + 1]) if k + 1 < len(self.starts) else self.n
+
     def document(self, k: int) -> np.ndarray:
-        end = self.starts[k + 1] if k + 1 < len(self.starts) else self.n
-        return self.ids(int(self.starts[k]), int(end))
+        return self.ids(int(self.starts[k]), self.end(k))
 
 
 # ---------------------------------------------------------------- tokenizer
@@ -146,6 +157,13 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: with one space before it, or white space as the pattern splits it.
 _PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
+_LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+_STEM = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@\\[-`{-~]+)")
+#: Characters that the byte-level vocabulary writes bytes with: printable Latin-1 ones stand
+#: for themselves, the others follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class PieceEncoder:
     """Ids of texts, piece by piece: the tokenizers library sees each distinct piece once.
@@ -168,17 +186,25 @@ class PieceEncoder:
         if len(cache) > CACHE:
             cache.clear()
         new = [p for p in pieces if p not in cache]
-        # a full stop or comma after an ASCII letter is a token of its own
-        stems = {p[:-1] for p in new if p[-1] in ".," and p[-2:-1].isascii() and p[-2:-1].isalpha()}
-        plain = [p for p in {*new, *stems} if p not in cache and not (p[:-1] in stems and p[-1] in ".,")]
-        plain += [x for x in ".," if x not in cache]
-        for i in range(0, len(plain), 20_000):
-            part = plain[i:i + 20_000]
+        # a run of ASCII punctuation after letters is a token sequence of its own
+        cut = {p: m.groups() for p in new if (m := _STEM.fullmatch(p))}
+        parts = {x for pair in cut.values() for x in pair}.union(p for p in new if p not in cut)
+        rest = []
+        tokenize = self.tokenizer.model.tokenize
+        for p in parts:
+            if p in cache:
+                continue
+            if _LETTERS.fullmatch(p):  # one word to the pre-tokenizer: straight to the merges
+                word = p.encode().decode("latin-1").translate(_BYTES)
+                cache[p] = np.array([t.id for t in tokenize(word)], "<u4").tobytes()
+            else:
+                rest.append(p)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i:i + 20_000]
             for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
                 cache[p] = np.array(e.ids, "<u4").tobytes()
-        for p in new:
-            if p not in cache:
-                cache[p] = cache[p[:-1]] + cache[p[-1]]
+        for p, (stem, tail) in cut.items():
+            cache[p] = cache[stem] + cache[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
@@ -258,11 +284,13 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 tokens = TokenFile(read_file(file))
                 for at in range(0, len(names), 500):
                     some = range(at, min(at + 500, len(names)))
-                    ids = [tokens.document(k) for k in some]
+                    low, high = int(tokens.starts[some.start]), tokens.end(some.stop - 1)
+                    block = tokens.ids(low, high).astype("<u4")
+                    ids = [block[tokens.starts[k] - low:tokens.end(k) - low] for k in some]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([names[k] for k in some], pa.int64()),
                          pa.array(tokens.starts[some.start:some.stop] + first),
-                         pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                         pa.array([x.tobytes() for x in ids], pa.binary()),
                          pa.array([len(x) for x in ids], pa.int64())],
                         ["doc_id", "start", "ids", "n_tokens"],
                     )
