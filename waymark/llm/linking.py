@@ -18,7 +18,7 @@ PIVOTS = 8
 #: Further rounds, each against other nodes of a group's largest component.
 ROUNDS = 1
 #: Open band groups up to this size become pairs, larger ones meet in blocks of about `BLOCK`.
-SMALL, BLOCK = 32, 128
+SMALL, BLOCK = 32, 512
 
 
 def band_members(banded: DataFrame) -> DataFrame:
