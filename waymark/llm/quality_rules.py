@@ -34,7 +34,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     its own buckets before the shuffle, so what moves is at most `buckets` rows per task.
     """
     flagged = docs.select("doc_id", "text").join(
-        trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("in_target", F.lit(True)),
+        # both grow with the corpus: one plan, merged on doc_id, at every size
+        trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("in_target", F.lit(True)).hint("merge"),
         "doc_id", "left",
     ).select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
 
