@@ -201,7 +201,7 @@ def _(spark, sf):
 
 @check(
     "x44_caution_flag",
-    "SELECT seq, CASE WHEN status_ = 'DOUBTFUL' THEN 'REGISTER_DOUBTFUL' ELSE '' END AS caution FROM o_match",
+    "SELECT seq, CASE WHEN status_ = 'DOUBTFUL' THEN 'GBIF_DOUBTFUL' ELSE '' END AS caution FROM o_match",
 )
 def _(spark, sf):
     return matched(spark, sf).select("seq", caution("status").alias("caution"))

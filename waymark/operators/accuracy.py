@@ -21,8 +21,10 @@ BOOTSTRAP_SEED = 20260727
 
 
 def as_fraction(df: DataFrame, col: str) -> DataFrame:
-    """Percentages become fractions when the column's upper quartile exceeds one."""
-    q = df.agg(F.percentile(F.when(~F.isnan(col), F.col(col)), 0.75).alias("q"))
+    """Percentages become fractions when the column's upper quartile exceeds one.
+
+    Only finite values count for the quartile."""
+    q = df.agg(F.percentile(F.when(~F.isnan(col) & (F.abs(F.col(col)) < float("inf")), F.col(col)), 0.75).alias("q"))
     scale = F.when(q.scalar() > 1.0, 100.0).otherwise(1.0)
     value = F.col(col) / scale
     return df.withColumn(

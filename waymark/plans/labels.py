@@ -41,7 +41,8 @@ SOURCE_CONFIDENCE = {
     "country_centroid": "Low",
     "missing_source": "Insufficient",
 }
-CLUSTER_METHOD = "cluster_label_inference"
+# Fixed value: the method name that consumers of the update table filter on.
+CLUSTER_METHOD = "PTP_cluster_realm_inference"
 
 
 def standard_source(c: str) -> Column:
