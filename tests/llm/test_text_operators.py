@@ -140,10 +140,13 @@ def test_license_phrases_and_spans(spark, docs, none):
     assert (row.n_base, row.base_labels, row.score) == (4, "apache,cc-by,mit", 1.0)
     assert (row.first_word, row.last_word) == (3, 13)
     assert got[1].n_words == 0 and got[1].first_word is None and got[1].labels == ""
-    notice = license_scan.NOTICES[-1][1].replace("permitted", "gladly permitted")
-    extra = spark.createDataFrame([(1, "x " * 500 + notice + " y" * 9), (2, notice[:40])], "doc_id long, text string")
+    plain = license_scan.NOTICES[-1][1]
+    notice, longer = plain.replace("permitted", "gladly"), plain.replace("permitted", "gladly permitted")
+    extra = spark.createDataFrame(
+        [(1, "x " * 500 + notice + " y" * 9), (2, notice[:40]), (3, longer)], "doc_id long, text string")
     found = {r.doc_id: r for r in license_scan.scan(extra).collect()}
     assert found[1].labels == "bsd" and 0.6 <= found[1].score < 1 and found[2].labels == ""
+    assert found[3].labels == "bsd" and found[3].score == 1.0  # an inserted word hides none of the notice's
     assert license_scan.scan(none).count() == 0
 
 
