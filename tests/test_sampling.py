@@ -99,3 +99,35 @@ def test_balanced_sample_takes_cells_first(spark):
         out = balanced_sample(df, ["t"], cap, ["h"]).where("t = 't'").collect()
         assert sorted(r["h"] for r in out) == [f"{i:03d}" for i in range(cap)]
         assert {r["sampling_applied"] for r in out} == {True}
+
+
+def test_balanced_sample_without_cap_keeps_all_and_counts(spark):
+    rows = [("t", f"{i:03d}", float(i % 4), 0.0) for i in range(40)] + [("u", "000", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "t string, h string, lat double, lon double")
+    out = balanced_sample(df, ["t"], None, ["h"]).collect()
+    assert len(out) == 41 and {r["dropped_n"] for r in out} == {0}
+    cut = balanced_sample(df, ["t"], 30, ["h"]).where("t = 't'").collect()
+    assert len(cut) == 30 and {(r["available_n"], r["dropped_n"]) for r in cut} == {(40, 10)}
+
+
+@pytest.mark.parametrize("cap", [999, 1001, 5000])
+def test_balanced_sample_prunes_a_hot_key_for_any_cap(spark, cap, monkeypatch):
+    monkeypatch.setattr("waymark.operators.ranking.BUCKET_ROWS", 100)
+    df = spark.range(8000).select(
+        F.lit("t").alias("t"), F.md5(F.col("id").cast("string").cast("binary")).alias("h"),
+        (F.col("id") % 3).cast("double").alias("lat"), F.lit(0.0).alias("lon"),
+    )
+    out = balanced_sample(df, ["t"], cap, ["h"]).collect()
+    every = sorted(r["h"] for r in df.collect())
+    firsts = {min(r["h"] for r in df.collect() if r["lat"] == lat) for lat in (0.0, 1.0, 2.0)}
+    want = sorted([*firsts, *[h for h in every if h not in firsts][:cap - 3]])
+    assert sorted(r["h"] for r in out) == want
+    ranked = balanced_sample(df, ["t"], cap, ["h"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket" in ranked.split("row_number()")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("mode", ["balanced", "proportional"])
+def test_sizes_above_capacity_are_refused(spark, mode):
+    df = spark.createDataFrame([("a", 3), ("b", 5)], "s string, cap long")
+    with pytest.raises(Exception, match="exceeds the total capacity"):
+        allocate(df, "s", "cap", 20, mode).collect()

@@ -94,3 +94,24 @@ def test_first_code_and_abbreviation(spark):
     df = spark.createDataFrame([("-99", "usa"), (None, "x"), ("FRA", "DEU")], "a string, b string")
     assert one_column(df, X.first_code("a", "b")) == ["USA", "", "FRA"]
     assert one_column(df, X.is_abbreviation(F.col("b"))) == [True, True, True]
+
+
+def test_fold_key_equals_the_unicode_tables(spark):
+    import re
+    import unicodedata
+
+    def key(text):
+        text = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text)).strip()
+        if text.lower() in X.T.ADMIN:
+            return ""
+        bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        return " ".join(re.findall("[a-z0-9]+", bare.casefold().replace("&", " and ")))
+
+    texts = ["ＮＡ", "ｎ／ａ", "Ｎａｍｅ", "Đắk Lắk", "Thừa Thiên–Huế", "ﬁn & ﬂat", "Straße", "İstanbul", "Á b̧",
+             "½ km²", "㎏", "𝐁𝐨𝐥𝐝", "Åland", "x y", "", " ", "ÆØ", "Ⅳ", "⑴", "東京 Tokyo", "🄀", "ΑΒ", "plain NAME-1", "c​d"]
+    texts += ["a" + "".join(map(chr, range(i, i + 64))) + "z" for i in range(0xA0, 0x3000, 64)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    out = X.fold_key(df, "s", "k")
+    got = {r["i"]: r["k"] for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == [key(t) for t in texts]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()

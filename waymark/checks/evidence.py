@@ -252,7 +252,7 @@ FROM (SELECT true_label, capacity, {n} * capacity // total AS f, ({n} * capacity
   FROM (SELECT true_label, capacity, CAST(sum(capacity) OVER () AS bigint) AS total FROM {caps}) a) b"""
 
 
-VIEWS["o_quota"] = _proportional("o_cap", f"least({HIDDEN_N}, CAST((SELECT sum(capacity) FROM o_cap) AS bigint))")
+VIEWS["o_quota"] = _proportional("o_cap", str(HIDDEN_N))
 VIEWS["o_hidden"] = f"""
 SELECT printf('H%04d', row_number() OVER (ORDER BY md5(concat_ws('#', '{SEED + 2}', cluster_id)), cluster_id)) AS hidden_id, h.*
 FROM (SELECT s.*, q.quota, row_number() OVER (PARTITION BY s.true_label ORDER BY md5(concat_ws('#', '{SEED + 1}', cluster_id)), cluster_id) AS turn
@@ -295,7 +295,7 @@ FROM (SELECT h.hidden_id, h.cluster_id, h.true_label, h.records_at_location_n AS
 
 def hidden_and_evidence(spark, sf):
     pool = cut_lineage(evidence(spark, sf))
-    return pool, draw_holdout(pool, pool_eligibility(records(spark, sf), pool), HIDDEN_N, SEED, strict=False)
+    return pool, draw_holdout(pool, pool_eligibility(records(spark, sf), pool), HIDDEN_N, SEED)
 
 
 def scored(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waymark.checks.base import VIEWS, bridge, check, regions
 from waymark.operators.accuracy import weighted_coverage
 from waymark.operators.evidence import taxon_composition
-from waymark.operators.occurrences import quality_filter, unique_coordinates, with_identity
+from waymark.operators.occurrences import MAX_PER_TAXON, quality_filter, unique_coordinates, with_identity
 from waymark.operators.sampling import balanced_sample
 from waymark.plans.occurrences import label_occurrences, select_occurrences, taxon_labels
 
@@ -73,7 +73,7 @@ def _(spark, sf):
 
 @check("p10_selected_occurrences", "SELECT taxon_key, occ_id, grid_cell, stable_hash, sampling_applied FROM o_balanced")
 def _(spark, sf):
-    return select_occurrences(bridge(spark, sf, "b_occurrence")).select(
+    return select_occurrences(bridge(spark, sf, "b_occurrence"), MAX_PER_TAXON).select(
         "taxon_key", "occ_id", "grid_cell", "stable_hash", "sampling_applied"
     )
 

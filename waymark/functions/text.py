@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from waymark.functions import tokens as T
 
@@ -71,19 +70,41 @@ def match_text(c: Column | str) -> Column:
 
 
 @cache
-def _combining_marks() -> dict[int, None]:
-    return {cp: None for cp in range(sys.maxunicode + 1) if unicodedata.combining(chr(cp))}
+def _letter_maps() -> tuple[dict[str, str], dict[str, str]]:
+    """What single characters become, other than themselves: (ASCII look, folded key text).
 
-
-def _ascii_words(text: str) -> str:
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_combining_marks())
-    return " ".join(re.findall("[a-z0-9]+", text.casefold().replace("&", " and ")))
+    Both follow from the Unicode tables character by character. The first map has characters
+    whose compatibility form is ASCII; the second has case, accents, ligatures and compatibility
+    forms resolved, with combining marks deleted and everything but [a-z0-9&] as blanks.
+    """
+    look, fold = {}, {}
+    for cp in (*range(0xD800), *range(0xE000, sys.maxunicode + 1)):
+        c = chr(cp)
+        whole = unicodedata.normalize("NFKD", c)
+        plain = "".join(x for x in whole if not unicodedata.combining(x)).casefold()
+        words = re.sub("[^a-z0-9&]+", " ", plain)
+        if words != c and (not plain or words.strip()):
+            fold[c] = words
+        if cp > 127 and (form := unicodedata.normalize("NFKC", c)).isascii():
+            look[c] = form
+    return look, fold
+
+
+def _rewrite(text: Column, chars: dict[str, str]) -> Column:
+    """Text with characters replaced: by one character or none, or by several."""
+    many = {c: to for c, to in chars.items() if len(to) > 1}
+    one = {c: to for c, to in chars.items() if len(to) == 1}
+    gone = [c for c, to in chars.items() if not to]
+    table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # a constant
+    spelled = F.array_join(
+        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+    )
+    opened = F.when(text.rlike(f"[{''.join(many)}]"), spelled).otherwise(text)
+    return F.translate(opened, "".join(one) + "".join(gone), "".join(one.values()))
 
 
-@F.pandas_udf(StringType())
-def _ascii_words_udf(names: pd.Series) -> pd.Series:
-    return names.map(_ascii_words, na_action="ignore")
+def _beyond_ascii(text: Column, there: Column, else_: Column) -> Column:
+    return F.when(text.rlike(r"[^\x00-\x7f]"), there).otherwise(else_)
 
 
 def on_distinct(df: DataFrame, col: str, out: str, fn: Callable[[str], Column]) -> DataFrame:
@@ -98,14 +119,20 @@ def on_distinct(df: DataFrame, col: str, out: str, fn: Callable[[str], Column])
 def fold_key(
     df: DataFrame, col: str, out: str, tokens: Iterable[str] = T.ADMIN
 ) -> DataFrame:
-    """Accent-insensitive key of a name column.
+    """Accent-insensitive key of a name column, empty for missing tokens in any width.
 
-    Unicode decomposition has no built-in expression, so each distinct name passes once
-    through an Arrow batch.
+    Built-in expressions only: characters are replaced by tables, in texts that need it.
     """
-    cleaned = df.withColumn("_fold_in", null_tokens(col, tokens, collapse=True))
-    folded = on_distinct(cleaned, "_fold_in", out, _ascii_words_udf)
-    return folded.withColumn(out, F.coalesce(F.col(out), F.lit(""))).drop("_fold_in")
+    look, fold = _letter_maps()
+    usual = let(F.col(col), lambda t: _beyond_ascii(t, _rewrite(t, look), t))
+
+    def key(text: Column) -> Column:
+        letters = _beyond_ascii(text, _rewrite(text, fold), F.lower(text))
+        words = F.regexp_replace(F.replace(letters, F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
+        return F.btrim(words)
+
+    folded = let(null_tokens(usual, tokens, collapse=True), key)
+    return df.withColumn(out, F.coalesce(folded, F.lit("")))
 
 
 def relaxed_key(

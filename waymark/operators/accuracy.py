@@ -206,25 +206,30 @@ def threshold_grid(
 def select_threshold(
     grid: DataFrame, target: float, min_n: int = MIN_BAND_SPECIES
 ) -> DataFrame:
-    """The widest grid point whose lower bound meets the target, else the best available."""
+    """The widest grid point whose lower bound meets the target, else the best available.
+
+    One row always: without a point of min_n species its thresholds are null and its counts 0.
+    """
     enough = grid.where(F.col("species_n") >= min_n)
     meets = F.coalesce(F.col("accuracy_low") >= target, F.lit(False))
-    marked = enough.withColumn("_meets", meets)
+
+    def most(c: str, where: Column) -> Column:
+        return F.coalesce(-F.when(where, F.col(c)), F.lit(float("inf")))
+
     order = [
-        F.col("_meets").desc(),
-        F.when(F.col("_meets"), F.col("species_coverage")).desc(),
-        F.when(~F.col("_meets"), F.col("accuracy_low")).desc(),
-        F.when(~F.col("_meets"), F.col("accuracy")).desc(),
-        F.when(~F.col("_meets"), F.col("species_coverage")).desc(),
-        F.col("share_threshold").asc(), F.col("count_threshold").asc(),
-        F.col("coverage_threshold").asc(),
+        (~meets).cast("int"), most("species_coverage", meets), most("accuracy_low", ~meets),
+        most("accuracy", ~meets), most("species_coverage", ~meets),
+        F.col("share_threshold"), F.col("count_threshold"), F.col("coverage_threshold"),
     ]
-    best = marked.orderBy(*order).limit(1)
-    return best.withColumn(
-        "selection_status",
-        F.when(F.col("_meets"), "meets_target_with_ci")
-        .otherwise("best_available_but_target_not_confirmed"),
-    ).drop("_meets")
+    ranked = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], *grid.columns)
+    best = enough.agg(F.min(ranked).alias("best"))
+    counts = [c for c in ("species_n", "matches_n") if c in grid.columns]
+    return best.select(
+        *[(F.coalesce(f"best.{c}", F.lit(0)) if c in counts else F.col(f"best.{c}")).alias(c) for c in grid.columns],
+        F.when(F.col("best").isNull(), "insufficient_validation_species")
+        .when(F.col("best._0") == 0, "meets_target_with_ci")
+        .otherwise("best_available_but_target_not_confirmed").alias("selection_status"),
+    )
 
 
 def recommend_thresholds(
@@ -246,7 +251,9 @@ def recommend_thresholds(
             {"band": F.lit(band), "target": F.lit(target)}
         )
         out = one if out is None else out.unionByName(one)
-    return out.join(held, ["share_threshold", "count_threshold", "coverage_threshold"], "left")
+    both = out.join(held, ["share_threshold", "count_threshold", "coverage_threshold"], "left")
+    none = F.col("selection_status") == "insufficient_validation_species"
+    return both.withColumn("holdout_species_n", F.when(none, 0).otherwise(F.col("holdout_species_n")))
 
 
 def audit(

@@ -17,6 +17,9 @@ from waymark.functions.hashing import draw_key
 from waymark.functions.stats import ratio
 from waymark.session import cut_lineage
 
+#: Rows of a sorting bucket of the largest stratum, at most about this many.
+BUCKET_ROWS = 50_000
+
 
 def null_safe(left: DataFrame, right: DataFrame, ks: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which missing keys equal each other; left key columns are kept."""
@@ -51,21 +54,28 @@ def duplicates(df: DataFrame, ks: Sequence[str]) -> DataFrame:
 
 
 def hash_rank(
-    df: DataFrame,
-    strata: Sequence[str],
-    key: Sequence[str],
-    seed: int,
-    out: str = "draw_rank",
+    df: DataFrame, strata: Sequence[str], key: Sequence[str], seed: int, out: str = "draw_rank",
     at_most: Column | int | None = None,
-    digits: int = 2,
 ) -> DataFrame:
-    """Rank of every row inside its stratum in hash order.
+    """Rank of every row inside its stratum in hash order."""
+    drawn = df.withColumn("_draw", draw_key(seed, *key))
+    return bucket_rank(drawn, strata, F.col("_draw"), ["_draw", *key], out, at_most).drop("_draw")
+
 
-    Leading digits of the digest are ordered buckets of equal expected size, whatever the
-    stratum sizes are. Buckets wholly beyond at_most are dropped before any row is sorted.
+def bucket_rank(
+    df: DataFrame, strata: Sequence[str], digest: Column, order: Sequence[str], out: str,
+    at_most: Column | int | None = None, lead: int = 0,
+) -> DataFrame:
+    """Rank of every row inside its stratum along `order`, which begins as `digest` does.
+
+    Leading hexadecimal digits of the digest (after `lead` other characters) are ordered
+    buckets of equal expected size. Their number follows from the largest stratum, so that a
+    bucket holds about `BUCKET_ROWS` rows. Buckets wholly beyond at_most are dropped before
+    any row is sorted.
     """
-    drawn = df.withColumn("_draw", draw_key(seed, *key))
-    drawn = drawn.withColumn("_bucket", F.substring("_draw", 1, digits))
+    most = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_most")).scalar()
+    digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, F.coalesce(most, F.lit(1)) / BUCKET_ROWS)).cast("int"))
+    drawn = df.withColumn("_bucket", F.substring(digest, F.lit(1), digits + lead))
     ks = [*strata, "_bucket"]
     sizes = drawn.groupBy(*ks).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(
@@ -75,10 +85,10 @@ def hash_rank(
     placed = null_safe(drawn, offsets.drop("_size"), ks, "inner")
     if at_most is not None:
         placed = placed.where(F.col("_before") < at_most)
-    inside = Window.partitionBy(*ks).orderBy("_draw", *key)
+    inside = Window.partitionBy(*ks).orderBy(*[F.substring(digest, F.lit(1), F.lit(lead))] * bool(lead), *order)
     return placed.withColumn(
         out, (F.row_number().over(inside) + F.col("_before")).cast("bigint")
-    ).drop("_draw", "_bucket", "_before")
+    ).drop("_bucket", "_before")
 
 
 def _spread_sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.coords import grid_cell
 from waymark.functions.hashing import draw_key
-from waymark.operators.ranking import hash_rank, null_safe, pick_one
+from waymark.operators.ranking import bucket_rank, hash_rank, null_safe, pick_one
 
 
 def hash_sample(df: DataFrame, key: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -28,26 +28,33 @@ def one_per_group(df: DataFrame, ks: Sequence[str], key: Sequence[str], seed: in
 def allocate(caps: DataFrame, stratum: str, capacity: str, n: int, mode: str) -> DataFrame:
     """Quota per stratum: proportional by largest remainder, or balanced, within capacity.
 
-    caps has one row per stratum, so the windows here see strata, not records.
+    caps has one row per stratum, so the windows here see strata, not records. A size above
+    the total capacity fails the job.
     """
     if n <= 0:
         raise ValueError("sample size must be positive")
     whole = Window.partitionBy()
     cap = F.col(capacity)
+    total = F.sum(capacity).over(whole)
+
+    def checked(out: DataFrame, quota: Column) -> DataFrame:
+        short = F.raise_error(F.format_string(f"sample size {n} exceeds the total capacity %s", F.col("_total").cast("string")))
+        value = F.when(F.col("_total") < n, short.cast("bigint")).otherwise(quota.cast("bigint"))
+        return out.select(stratum, capacity, value.alias("quota"))
+
+    caps = caps.withColumn("_total", total)
     if mode == "proportional":
-        exact = caps.withColumn("_total", F.sum(capacity).over(whole)).withColumns(
+        exact = caps.withColumns(
             {
                 "_floor": F.expr(f"({n} * {capacity}) div _total"),
                 "_rest": F.expr(f"({n} * {capacity}) % _total"),
             }
         )
         by_rest = Window.orderBy(F.col("_rest").desc(), F.col(stratum).asc())
-        return (
-            exact.withColumn("_left", F.lit(n) - F.sum("_floor").over(whole))
-            .withColumn("_place", F.row_number().over(by_rest))
-            .withColumn("quota", F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("bigint"))
-            .select(stratum, capacity, "quota")
+        placed = exact.withColumn("_left", F.lit(n) - F.sum("_floor").over(whole)).withColumn(
+            "_place", F.row_number().over(by_rest)
         )
+        return checked(placed, F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("bigint"))
     if mode != "balanced":
         raise ValueError(f"unknown mode {mode}")
     asc = Window.orderBy(capacity, stratum)
@@ -66,15 +73,10 @@ def allocate(caps: DataFrame, stratum: str, capacity: str, n: int, mode: str) ->
     ).withColumn("_base", F.least(cap, F.col("_level")))
     room = cap > F.col("_level")
     by_name = Window.partitionBy(room).orderBy(stratum)
-    return (
-        level.withColumn("_left", F.lit(n) - F.sum("_base").over(whole))
-        .withColumn("_turn", F.row_number().over(by_name))
-        .withColumn(
-            "quota",
-            F.col("_base") + F.when(room & (F.col("_turn") <= F.col("_left")), 1).otherwise(0),
-        )
-        .select(stratum, capacity, F.col("quota").cast("bigint").alias("quota"))
+    turned = level.withColumn("_left", F.lit(n) - F.sum("_base").over(whole)).withColumn(
+        "_turn", F.row_number().over(by_name)
     )
+    return checked(turned, F.col("_base") + F.when(room & (F.col("_turn") <= F.col("_left")), 1).otherwise(0))
 
 
 def stratified_sample(
@@ -119,22 +121,29 @@ def split(
 
 
 def balanced_sample(
-    df: DataFrame, ks: Sequence[str], cap: int, order: Sequence[str],
+    df: DataFrame, ks: Sequence[str], cap: int | None, order: Sequence[str],
     lat: str = "lat", lon: str = "lon", degrees: float = 1.0, cell: str = "grid_cell",
 ) -> DataFrame:
     """Spatially balanced rows per key: one per occupied cell first, then fill to the cap.
 
-    order names unique columns, the first being a stable hash. A hot key or cell is never
-    gathered: cell firsts come from an aggregate and the cap prunes before the shuffle.
+    order names unique columns, the first being a stable hexadecimal hash. A hot key or cell
+    is never gathered: cell firsts come from an aggregate, and rows are ranked in buckets of
+    that hash, of which those beyond the cap are dropped unsorted. Without a cap all rows stay.
+    available_n and dropped_n tell per key how many rows there were and how many the cap cut.
     """
     celled = df.withColumn(cell, grid_cell(lat, lon, degrees))
+    totals = celled.groupBy(*ks).agg(F.count(F.lit(1)).alias("available_n"))
+    if cap is None:
+        full = null_safe(celled, totals, ks, "inner")
+        return full.withColumns({"sampling_applied": F.lit(False), "dropped_n": F.lit(0).cast("bigint")})
     position = F.struct(*order)
     firsts = celled.groupBy(*ks, cell).agg(F.min(position).alias("_first"))
-    sizes = firsts.select(*ks, cell, "_first")
-    totals = celled.groupBy(*ks).agg((F.count(F.lit(1)) > cap).alias("sampling_applied"))
-    marked = celled.join(sizes, [*ks, cell]).withColumn(
-        "_later", (position != F.col("_first")).cast("int")
+    marked = celled.join(firsts, [*ks, cell]).withColumn("_later", (position != F.col("_first")).cast("string"))
+    ranked = bucket_rank(marked, ks, F.concat("_later", F.col(order[0])), order, "_rank", cap, lead=1)
+    kept = ranked.where(F.col("_rank") <= cap).drop("_first", "_later", "_rank")
+    return kept.join(totals, list(ks)).withColumns(
+        {
+            "sampling_applied": F.col("available_n") > cap,
+            "dropped_n": F.greatest(F.col("available_n") - cap, F.lit(0)),
+        }
     )
-    w = Window.partitionBy(*ks).orderBy("_later", *order)
-    kept = marked.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= cap)
-    return kept.drop("_first", "_later", "_rank").join(totals, list(ks))

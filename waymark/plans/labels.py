@@ -163,18 +163,17 @@ def one_candidate_per_cluster(
 
 def draw_holdout(
     evidence: DataFrame, eligibility: DataFrame, n: int, seed: int,
-    mode: str = "proportional", min_remaining: int = 3, strict: bool = True,
+    mode: str = "proportional", min_remaining: int = 3,
 ) -> DataFrame:
     """n hidden locations, at most one per cluster, allocated over labels.
 
-    Asking for more than there are eligible clusters is an error unless strict is off.
+    Asking for more than there are eligible clusters is an error.
     """
     # one row per cluster, read by the allocation and by the draw
     single = cut_lineage(one_candidate_per_cluster(evidence, eligibility, seed, min_remaining))
     available = single.count()
-    if strict and n > available:
+    if n > available:
         raise ValueError(f"asked for {n} locations, but only {available} clusters are eligible")
-    n = min(n, available)
     if mode == "unstratified":
         picked = single.withColumn("_draw", draw_key(seed + 1, "cluster_id")).orderBy(
             "_draw", "cluster_id"

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from waymark.functions.coords import coord_status, evidence_unit, uncertainty_flag, valid_coord
 from waymark.operators.evidence import taxon_confidence
 from waymark.operators.occurrences import (
-    MAX_PER_TAXON, quality_filter, unique_coordinates, with_identity,
+    quality_filter, unique_coordinates, with_identity,
 )
 from waymark.operators.regions import TAXON_STATUS, label_points
 from waymark.operators.sampling import balanced_sample
 
 
 def select_occurrences(
-    occurrences: DataFrame, taxon: str = "taxon_key", record: str = "occ_id",
-    cap: int = MAX_PER_TAXON, degrees: float = 1.0,
+    occurrences: DataFrame, cap: int | None, taxon: str = "taxon_key", record: str = "occ_id",
+    degrees: float = 1.0,
 ) -> DataFrame:
-    """Quality-checked, coordinate-unique, spatially balanced records per taxon."""
+    """Quality-checked, coordinate-unique, spatially balanced records per taxon; no cap keeps all."""
     kept, _ = quality_filter(occurrences)
     named = with_identity(kept, [taxon, record])
     single = unique_coordinates(named, [taxon], tie=[record])
