@@ -97,9 +97,13 @@ def _rewrite(text: Column, chars: dict[str, str]) -> Column:
     gone = [c for c, to in chars.items() if not to]
     table = F.from_json(F.lit(json.dumps(many)), "map<string,string>")  # a constant
     spelled = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+        F.transform(
+            F.split(text, ""),
+            lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.coalesce(F.try_element_at(table, c), c)),
+        ), "",
     )
-    opened = F.when(text.rlike(f"[{''.join(many)}]"), spelled).otherwise(text)
+    # translate looks characters up in a hash table, a large character class tries them in turn
+    opened = F.when(F.translate(text, "".join(many), "") != text, spelled).otherwise(text)
     return F.translate(opened, "".join(one) + "".join(gone), "".join(one.values()))
 
 
