@@ -62,15 +62,19 @@ def fit_lists(vectors: DataFrame, n: int, lists: int | None = None) -> np.ndarra
 
 
 def scan(
-    q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, epsilon: float = EPSILON, columns: int = COLUMNS
+    q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, epsilon: float = EPSILON, columns: int = COLUMNS,
+    most: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs that may be among the k nearest; `q` and `x` rotated, of unit length,
-    `own` marks pairs that take no part. The first rows give every query its bound; for the
-    others, partial distances grow by column blocks until the test abandons them."""
+    `own` marks pairs that take no part. The first rows give every query its bound, or `most`,
+    a squared distance that k rows elsewhere keep, if that is less; for the others, partial
+    distances grow by column blocks until the test abandons them."""
     m, (n, d) = len(q), x.shape
     start = min(n, max(k, 32))
     known = np.where(own[:, :start], np.inf, ((q * q).sum(1)[:, None] + (x[:start] ** 2).sum(1)) - 2 * q @ x[:start].T)
     bound = np.partition(known, k - 1, axis=1)[:, k - 1] if start >= k else np.full(m, np.inf)
+    if most is not None:
+        bound = np.minimum(bound, most)
     first = np.nonzero(np.isfinite(known) & (known <= bound[:, None] + 1e-9))
     rest, part, active = x[start:], np.zeros((m, n - start)), ~own[:, start:]
     for c in range(0, d, columns):
@@ -149,7 +153,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
     All usable vectors (see `usable`) are indexed. A query looks into as many of its nearest
     lists as `probes_needed` measures, and further ones until these hold k other rows. Lists and their queries are cut
     into blocks of about `BLOCK` rows by hash, so neither a hot list nor its queries meet in
-    one task. Rows that repeat a vec_id never find their own vec_id; as
+    one task. A query starts with the bound that the `SAMPLE` vectors of its lists give, so a
+    block answers only with rows that are nearer. Rows that repeat a vec_id never find their own vec_id; as
     queries they are one (the k best that any of them finds). An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -174,6 +179,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
     held = np.zeros(count, np.int64)
     for r in listed.groupBy("list").count().collect():  # at most MOST_LISTS rows
         held[r["list"]] = r["count"]
+    sample = listed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
+    s_ids, s_list = np.asarray(sample.column("vec_id")), np.asarray(sample.column("list"))
+    s_unit = _unit(_matrix(sample.column("embedding").combine_chunks()))
 
     def probe(batches):
         for batch in batches:
@@ -185,13 +193,25 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
             need = np.minimum(need, count)
             rows = np.repeat(np.arange(batch.num_rows), need)
             picked = np.concatenate([order[i, :m] for i, m in enumerate(need)]).astype(np.int32)
+            most = sample_bounds(batch.column("vec_id"), _unit(_matrix(batch.column("embedding"))), order, need)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(rows)), batch.column("embedding").take(pa.array(rows)), pa.array(picked)],
-                ["vec_id", "embedding", "list"],
+                [batch.column("vec_id").take(pa.array(rows)), batch.column("embedding").take(pa.array(rows)), pa.array(picked), pa.array(most[rows])],
+                ["vec_id", "embedding", "list", "most"],
             )
 
+    def sample_bounds(own, q, order, need):
+        """The squared distance that k sampled rows of the lists a query looks into keep; they
+        are met again in these lists, so the bound loses nothing."""
+        most, own, place = np.full(len(q), np.inf), np.asarray(own), np.argsort(order, axis=1)
+        for lo in range(0, len(q) if len(s_ids) >= k else 0, 64):
+            part = slice(lo, lo + 64)
+            score = q[part] @ s_unit.T
+            score[(place[part][:, s_list] >= need[part][:, None]) | (own[part][:, None] == s_ids[None, :])] = -np.inf
+            most[part] = 2 - 2 * np.partition(score, -k, axis=1)[:, -k] + 1e-9
+        return most
+
     asked = stored(
-        listed.where(is_query).select("vec_id", "embedding").mapInArrow(probe, "vec_id long, embedding array<double>, list int"),
+        listed.where(is_query).select("vec_id", "embedding").mapInArrow(probe, "vec_id long, embedding array<double>, list int, most double"),
         "vector-probes",
     )
     wanted = np.zeros(count, np.int64)
@@ -206,7 +226,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
     every_block = F.explode(F.sequence(F.lit(0), parts[F.col("list")] - 1))
     useful = F.array(*(F.lit(bool(x)) for x in wanted))[F.col("list")]
     rows = listed.where(useful).select("list", block_of.alias("block"), every_ask.alias("ask"), "vec_id", "embedding")
-    looks = asked.select("list", every_block.alias("block"), ask_of.alias("ask"), "vec_id", "embedding")
+    looks = asked.select("list", every_block.alias("block"), ask_of.alias("ask"), "vec_id", "embedding", "most")
 
     d = centres.shape[1]
     turn = np.linalg.qr(np.random.default_rng(5).normal(size=(d, d)))[0]
@@ -220,7 +240,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
             rotated = _unit(x) @ turn
             asked_ids = np.asarray(right.column("vec_id"))
             q = _matrix(right.column("embedding").combine_chunks())
-            pair_q, pair_x = scan(_unit(q) @ turn, rotated, asked_ids[:, None] == ids[None, :], k)
+            pair_q, pair_x = scan(_unit(q) @ turn, rotated, asked_ids[:, None] == ids[None, :], k, most=np.asarray(right.column("most")))
             score = cosines(q[pair_q], x[pair_x])
             # rows that repeat a query's vec_id are told apart by their place
             pick = _best(pair_q, ids[pair_x], score, k)
