@@ -33,7 +33,7 @@ BLOCK = 128
 PERCENTILE = 90
 #: Ids per file at most, unless one document alone has more.
 FILE_IDS = 4 << 20
-#: Distinct text pieces whose ids a worker remembers.
+#: Distinct text pieces whose ids a worker remembers, in each of two generations.
 CACHE = 600_000
 
 _MAGIC = b"PFOR1"
@@ -73,8 +73,9 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, n
     for w in np.unique(width):  # blocks of one width are packed together
         rows = np.flatnonzero(width == w)
         if w:
-            planes = (rest[rows][:, :, None] >> np.arange(w)) & 1
-            packed = np.packbits(planes.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            four = rest[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4)
+            planes = np.unpackbits(four, axis=2, bitorder="little")[:, :, :w]
+            packed = np.packbits(planes.reshape(len(rows), -1), axis=1, bitorder="little")
         for k, row in enumerate(rows):
             bodies[row] = packed[k].tobytes() if w else b""
     out, offsets, here = [], np.zeros(count, np.uint64), 0
@@ -104,9 +105,9 @@ def unpack_blocks(body: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np
             continue
         rows = np.flatnonzero(heads["width"] == w)
         packed = data[(offsets[rows] + _BLOCK_SIZE)[:, None] + np.arange(BLOCK * w // 8)]
-        flags = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        for k in range(w):
-            values[rows] |= flags[:, :, k].astype(np.int64) << k
+        flags = np.zeros((len(rows), BLOCK, 32), np.uint8)
+        flags[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        values[rows] = np.packbits(flags, axis=2, bitorder="little").view("<u4")[:, :, 0]
     for row in np.flatnonzero(heads["odd"]):
         odd, w = int(heads["odd"][row]), int(heads["width"][row])
         here = int(offsets[row]) + _BLOCK_SIZE + BLOCK * w // 8
@@ -165,53 +166,58 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+class _Pieces(dict):
+    """Ids by piece, looked up in the tokenizers library at the first use. `old` holds the
+    pieces of the generation before, which move over when they are met again."""
+
+    def __init__(self, tokenizer, old: dict):
+        super().__init__()
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self._tokenize(piece)
+        self[piece] = ids
+        return ids
+
+    def _tokenize(self, piece: str) -> bytes:
+        if _LETTERS.fullmatch(piece):  # one word to the pre-tokenizer: straight to the merges
+            word = piece.encode().decode("latin-1").translate(_BYTES)
+            ids = [t.id for t in self.model.tokenize(word)]
+        elif cut := _STEM.fullmatch(piece):
+            # a run of ASCII punctuation after letters is a token sequence of its own
+            return self[cut[1]] + self[cut[2]]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceEncoder:
     """Ids of texts, piece by piece: the tokenizers library sees each distinct piece once.
 
-    What it has seen is kept in the worker process, up to `CACHE` pieces, across tasks."""
+    What it has seen is kept in the worker process across tasks, in two generations of about
+    `CACHE` pieces: pieces in use stay, others go."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         kept = sys.modules.setdefault("_waymark_pieces", types.ModuleType("_waymark_pieces"))
         if getattr(kept, "path", None) != path:
-            kept.tokenizer = Tokenizer.from_file(path)
-            kept.tokenizer.encode_special_tokens = True
-            kept.cache = {}
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            kept.cache = _Pieces(tokenizer, {})
             kept.path = path
-        self.tokenizer, self.cache = kept.tokenizer, kept.cache
-
-    def learn(self, pieces: set[str]) -> None:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        new = [p for p in pieces if p not in cache]
-        # a run of ASCII punctuation after letters is a token sequence of its own
-        cut = {p: m.groups() for p in new if (m := _STEM.fullmatch(p))}
-        parts = {x for pair in cut.values() for x in pair}.union(p for p in new if p not in cut)
-        rest = []
-        tokenize = self.tokenizer.model.tokenize
-        for p in parts:
-            if p in cache:
-                continue
-            if _LETTERS.fullmatch(p):  # one word to the pre-tokenizer: straight to the merges
-                word = p.encode().decode("latin-1").translate(_BYTES)
-                cache[p] = np.array([t.id for t in tokenize(word)], "<u4").tobytes()
-            else:
-                rest.append(p)
-        for i in range(0, len(rest), 20_000):
-            part = rest[i:i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        for p, (stem, tail) in cut.items():
-            cache[p] = cache[stem] + cache[tail]
+        self.kept = kept
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
-        split = [_PIECE.findall(t) for t in texts]
-        self.learn({p for s in split for p in s})
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        cache = self.kept.cache
+        if len(cache) > CACHE:
+            cache.old = {}
+            cache = self.kept.cache = _Pieces(cache.tokenizer, dict(cache))
+        get = cache.__getitem__
+        return [b"".join(map(get, _PIECE.findall(t))) for t in texts]
 
 
 # ---------------------------------------------------------------- jobs
