@@ -13,7 +13,6 @@ from waymark.operators.accuracy import (
     BAND_TARGETS, BOOTSTRAP_SEED, MIN_BAND_SPECIES, as_fraction, audit, band_accuracy,
     entity_metrics, recommend_thresholds,
 )
-from waymark.operators.ranking import pick_one
 from waymark.operators.sampling import split
 from waymark.operators.validation import join_truth
 from waymark.session import cut_lineage
@@ -29,7 +28,7 @@ def prepare_predictions(taxa: DataFrame, names: str = "input_names") -> DataFram
     """One prediction per species name: names exploded, labels canonical, best row kept.
 
     taxa has input_names, dominant_label, taxon_confidence, dominant_proportion,
-    assigned_records_n, overlay_coverage.
+    assigned_records_n, overlay_coverage. A species with two different labels fails the job.
     """
     scaled = as_fraction(as_fraction(taxa, "dominant_proportion"), "overlay_coverage")
     named = explode_names(scaled, names, "species_name").withColumns(
@@ -39,13 +38,17 @@ def prepare_predictions(taxa: DataFrame, names: str = "input_names") -> DataFram
             "band": canonical_band("taxon_confidence"),
         }
     ).where(F.col("species_key").isNotNull())
-    return pick_one(
-        named, ["species_key"],
-        [F.col("assigned_records_n").desc_nulls_last(), F.col("species_name").asc(),
-         F.col("taxon_key").asc()],
-    ).select(
-        "species_key", "species_name", "predicted_label", "band", "dominant_proportion",
-        "assigned_records_n", "overlay_coverage",
+    carried = ["predicted_label", "band", "dominant_proportion", "assigned_records_n", "overlay_coverage"]
+    # most records first, missing counts last; one aggregate serves the choice and the gate
+    order = [F.col("assigned_records_n").isNull(), -F.col("assigned_records_n"), F.col("species_name"), F.col("taxon_key")]
+    ranked = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], "species_name", *carried)
+    per_key = named.groupBy("species_key").agg(
+        F.min(ranked).alias("best"), F.min("predicted_label").alias("lo"), F.max("predicted_label").alias("hi")
+    )
+    clash = F.raise_error(F.format_string("species %s has conflicting labels", F.col("species_key")))
+    label = F.when(F.col("lo") != F.col("hi"), clash.cast("string")).otherwise(F.col("best.predicted_label"))
+    return per_key.select(
+        "species_key", "best.species_name", label.alias("predicted_label"), *[F.col(f"best.{c}") for c in carried[1:]]
     )
 
 
