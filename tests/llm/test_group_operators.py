@@ -111,6 +111,22 @@ def test_line_dedup_equals_brute_force(spark):
     assert len(got) == len(rows) and line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("stage", ["query", "pipeline"])
+def test_short_lines_that_repeat_go_too(spark, tmp_path, stage):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from waymark.llm import queries
+
+    rows = [(1, "Menu\n}\n\nRead more ...\nshare"), (2, " menu\n}\n\nread more ..."), (3, "menus\n\n \nRead more .."), (4, "}"), (5, "中\n中")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    if stage == "query":
+        got = {r.doc_id: (r.n_lines, r.n_dropped) for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+        assert got == {1: (5, 0), 2: (4, 3), 3: (4, 1), 4: (1, 1), 5: (2, 1)}
+    else:
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+        assert got == {1: rows[0][1], 2: "", 3: "menus\n\n ", 4: "", 5: "中"}
+
+
 def test_archives_read_back(spark):
     rows = [(i, f"http://x/{i} y\r\n", f"<p>{i % 3}é</p>\r\n\r\nWARC/1.1") for i in range(30)]
     rows += [(40, None, None), (41, "u", ""), (None, "u", "<p>0é</p>\r\n\r\nWARC/1.1"), (50, "u", "z" * 300_000)]

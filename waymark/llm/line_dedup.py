@@ -1,8 +1,9 @@
 """Fuzzy line dedup: MinHash over character shingles, exact checks, union-find.
 
 A line's key is its text trimmed and in lower case. Lines are near-equal if the Jaccard
-similarity of their sets of 8-character shingles is at least 0.8; of each component of
-near-equal lines over all documents the first one by (doc_id, place) stays.
+similarity of their sets of 8-character shingles is at least 0.8; a shorter key is its own
+only shingle, so it is near-equal to its exact repeats alone. Of each component of near-equal
+lines over all documents the first one by (doc_id, place) stays. Blank lines take no part.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from waymark.llm.common import hash_names, mix, settle, slices, stored
 from waymark.llm.linking import band_members, link_groups, sketch_difference
 
 SHINGLE = 8
-#: Lines with fewer characters (trimmed) are layout or headings and are never touched.
+#: Lines with fewer characters (trimmed) are left alone unless the caller asks for more lines;
+#: the query and the pipeline ask for every line that is not blank.
 MIN_CHARS = 20
+NOT_BLANK = 1
 BINS, BANDS, ROWS = 64, 8, 3
 #: A pair at the least similarity differs in 10 % of the sketch bits; 4 deviations more is 16.
 SKETCH_MOST_DIFF = 16
@@ -27,20 +30,21 @@ PERCENT = 80
 _EMPTY = np.iinfo(np.uint64).max
 
 
-def key_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Row, place and key of the lines of at least `MIN_CHARS` characters."""
+def key_lines(texts: pa.Array, min_chars: int = MIN_CHARS) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row, place and key of the lines of at least `min_chars` characters."""
     parts = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), "\n")
     offsets = np.asarray(parts.offsets, dtype=np.int64)
     row = np.repeat(np.arange(len(texts)), np.diff(offsets))
     place = np.arange(len(row)) - (offsets - offsets[0])[row]
     keys = pc.utf8_lower(pc.utf8_trim_whitespace(parts.flatten()))
-    long = np.asarray(pc.greater_equal(pc.utf8_length(keys), MIN_CHARS), dtype=bool)
+    long = np.asarray(pc.greater_equal(pc.utf8_length(keys), max(min_chars, NOT_BLANK)), dtype=bool)
     return row[long], place[long], keys.filter(pa.array(long))
 
 
 def bin_minima(keys: pa.Array) -> np.ndarray:
     """(lines, BINS): the least hash of a line's shingles in each bin of one permutation.
-    An empty bin takes the next filled one's value, mixed with the distance."""
+    An empty bin takes the next filled one's value, mixed with the distance. Every line has
+    at least `SHINGLE` characters."""
     n = len(keys)
     codes = np.frombuffer("".join(keys.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
     ends = np.cumsum(np.asarray(pc.utf8_length(keys), dtype=np.int64))
@@ -69,23 +73,26 @@ def bin_minima(keys: pa.Array) -> np.ndarray:
     return out
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, place, node, bands, sketch) of every line that takes part, stored."""
+def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, content, place, node, bands, sketch) of every line that takes part, stored.
+    Lines under `SHINGLE` characters have no bands: only their node tells them."""
     def describe(batches):
         for batch in slices(batches, "text", 2 << 20):
-            row, place, keys = key_lines(batch.column("text"))
+            row, place, keys = key_lines(batch.column("text"), min_chars)
             if not len(row):
                 continue
-            low = bin_minima(keys)
-            bands = np.zeros((len(row), BANDS), np.uint64)
+            banded = np.asarray(pc.greater_equal(pc.utf8_length(keys), SHINGLE), dtype=bool)
+            low = bin_minima(keys.filter(pa.array(banded)))
+            bands = np.zeros((len(low), BANDS), np.uint64)
             with np.errstate(over="ignore"):
                 for b in range(BANDS):
-                    x = np.full(len(row), b + 1, np.uint64)
+                    x = np.full(len(low), b + 1, np.uint64)
                     for k in range(ROWS):
                         x = mix(x * np.uint64(31) + low[:, b * ROWS + k])
                     bands[:, b] = x
-            sketch = np.packbits((mix(low) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1)
-            offsets = pa.array(np.arange(len(row) + 1, dtype=np.int32) * BANDS)
+            sketch = np.zeros(len(row), np.int64)
+            sketch[banded] = np.packbits((mix(low) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(banded)]).astype(np.int32) * BANDS)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("content").take(at), pa.array(place.astype(np.int32)),
@@ -150,10 +157,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "la", "lb").mapInArrow(similar, "a long, b long")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, content, places): the places of the lines that go, per document. `docs` has
     doc_id, content (a hash of the text) and text."""
-    lines = occurrences(docs)
+    lines = occurrences(docs, min_chars)
     members = band_members(lines.select("node", F.explode("bands").alias("key")))
     settle(docs.sparkSession)
     held = members.select("node").distinct()
@@ -177,17 +184,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return stored(gone.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places")), "dropped-lines")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` without the lines that repeat, with `n_lines` and `n_dropped`.
 
     Every document stays, if need be with an empty text; null texts stay null. Lines shorter
-    than `MIN_CHARS` stay. Within a document a repeated line goes as well. Rows that are equal
+    than `min_chars` and blank ones stay. Within a document a repeated line goes as well. Rows that are equal
     in doc_id and text count as one document and are cut alike; a null doc_id comes first.
     """
     d, c = "_line_doc", "_line_content"
     keyed = docs.withColumn(d, F.col("doc_id").cast("long")).withColumn(c, F.xxhash64("text"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
-    gone = dropped_lines(plain).withColumnsRenamed({"doc_id": "_gone_doc", "content": "_gone_content", "places": "_places"})
+    gone = dropped_lines(plain, min_chars).withColumnsRenamed({"doc_id": "_gone_doc", "content": "_gone_content", "places": "_places"})
     settle(docs.sparkSession)
     same = F.col(d).eqNullSafe(F.col("_gone_doc")) & (F.col(c) == F.col("_gone_content"))
     lines = F.split("text", "\n")

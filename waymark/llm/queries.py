@@ -63,7 +63,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.NOT_BLANK)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     return kept.select("doc_id", "n_lines", "n_dropped", crc.alias("text_crc32"))
 
