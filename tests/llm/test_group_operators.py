@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waymark.llm import line_dedup, linking, near_dup, vector_search, warc
@@ -127,6 +128,33 @@ def test_short_lines_that_repeat_go_too(spark, tmp_path, stage):
         assert got == {1: rows[0][1], 2: "", 3: "menus\n\n ", 4: "", 5: "中"}
 
 
+@pytest.mark.parametrize("shared, one, two", [(13, 0, 3), (12, 0, 3), (16, 2, 2), (12, 1, 1)])
+def test_bands_of_short_lines_lose_no_pair(shared, one, two):
+    """Lines of 20 to 40 characters as random characters; edits at the ends give the sets."""
+    rng = np.random.default_rng(shared * 100 + one * 10 + two)
+    pick = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
+    left, right = [], []
+    for _ in range(4000):
+        middle = pick(shared + 7)
+        left.append(middle + pick(one))
+        right.append(pick(two) + middle)
+    a, b = (line_dedup.band_hashes(line_dedup.bin_minima(pa.array(x))) for x in (left, right))
+    assert (a == b).any(1).all()
+
+
+def test_lone_pairs_of_short_lines_are_linked(spark):
+    """Nothing but the pair shares its bands, so no third line can stand in for a lost link."""
+    rng = np.random.default_rng(4)
+    pick = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
+    rows = []
+    for i in range(3000):
+        middle = pick(20)
+        rows += [(2 * i, middle), (2 * i + 1, pick(3) + middle)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = line_dedup.dedup_lines(docs, line_dedup.NOT_BLANK).where("n_dropped = 1").select("doc_id").collect()
+    assert sorted(r.doc_id for r in gone) == list(range(1, 6000, 2))
+
+
 def test_archives_read_back(spark):
     rows = [(i, f"http://x/{i} y\r\n", f"<p>{i % 3}é</p>\r\n\r\nWARC/1.1") for i in range(30)]
     rows += [(40, None, None), (41, "u", ""), (None, "u", "<p>0é</p>\r\n\r\nWARC/1.1"), (50, "u", "z" * 300_000)]

@@ -15,16 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import hash_names, mix, settle, slices, stored
-from waymark.llm.linking import band_members, link_groups, sketch_difference
+from waymark.llm.linking import band_members, link_groups
 
 SHINGLE = 8
 #: Lines with fewer characters (trimmed) are left alone unless the caller asks for more lines;
 #: the query and the pipeline ask for every line that is not blank.
 MIN_CHARS = 20
 NOT_BLANK = 1
-BINS, BANDS, ROWS = 64, 8, 3
-#: A pair at the least similarity differs in 10 % of the sketch bits; 4 deviations more is 16.
-SKETCH_MOST_DIFF = 16
+#: The bands use all bins but one. Short lines fill few bins and the rest are copies, so no
+#: sketch is trusted to tell pairs apart: every candidate pair is checked on its full sets.
+BINS, BANDS, ROWS = 64, 21, 3
 PERCENT = 80
 
 _EMPTY = np.iinfo(np.uint64).max
@@ -73,36 +73,43 @@ def bin_minima(keys: pa.Array) -> np.ndarray:
     return out
 
 
+def band_hashes(low: np.ndarray) -> np.ndarray:
+    """(lines, BANDS): a hash of the minima of each band."""
+    bands = np.zeros((len(low), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(BANDS):
+            x = np.full(len(low), b + 1, np.uint64)
+            for k in range(ROWS):
+                x = mix(x * np.uint64(31) + low[:, b * ROWS + k])
+            bands[:, b] = x
+    return bands
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, content, place, node, bands, sketch) of every line that takes part, stored.
-    Lines under `SHINGLE` characters have no bands: only their node tells them."""
+    """(doc_id, content, place, node, bands) of every line that takes part, stored. Lines under
+    `SHINGLE` characters have no bands: only their node tells them. Repeats of a node in a
+    batch leave the bands to the first one."""
     def describe(batches):
         for batch in slices(batches, "text", 2 << 20):
             row, place, keys = key_lines(batch.column("text"), min_chars)
             if not len(row):
                 continue
-            banded = np.asarray(pc.greater_equal(pc.utf8_length(keys), SHINGLE), dtype=bool)
-            low = bin_minima(keys.filter(pa.array(banded)))
-            bands = np.zeros((len(low), BANDS), np.uint64)
-            with np.errstate(over="ignore"):
-                for b in range(BANDS):
-                    x = np.full(len(low), b + 1, np.uint64)
-                    for k in range(ROWS):
-                        x = mix(x * np.uint64(31) + low[:, b * ROWS + k])
-                    bands[:, b] = x
-            sketch = np.zeros(len(row), np.int64)
-            sketch[banded] = np.packbits((mix(low) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1)
+            node = hash_names(keys)
+            banded = np.zeros(len(row), bool)
+            banded[np.unique(node, return_index=True)[1]] = True
+            banded &= np.asarray(pc.greater_equal(pc.utf8_length(keys), SHINGLE), dtype=bool)
+            bands = band_hashes(bin_minima(keys.filter(pa.array(banded))))
             offsets = pa.array(np.concatenate([[0], np.cumsum(banded)]).astype(np.int32) * BANDS)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("content").take(at), pa.array(place.astype(np.int32)),
-                 pa.array(hash_names(keys).view(np.int64)),
-                 pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).reshape(-1))), pa.array(sketch)],
-                ["doc_id", "content", "place", "node", "bands", "sketch"],
+                 pa.array(node.view(np.int64)),
+                 pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).reshape(-1)))],
+                ["doc_id", "content", "place", "node", "bands"],
             )
 
     out = docs.select("doc_id", "content", "text").mapInArrow(
-        describe, "doc_id long, content long, place int, node long, bands array<long>, sketch long"
+        describe, "doc_id long, content long, place int, node long, bands array<long>"
     )
     return stored(out, "lines")
 
@@ -164,15 +171,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     members = band_members(lines.select("node", F.explode("bands").alias("key")))
     settle(docs.sparkSession)
     held = members.select("node").distinct()
-    first = lines.join(held, "node").groupBy("node").agg(
-        F.min(F.struct("doc_id", "content", "place")).alias("at"), F.first("sketch").alias("sketch")
-    )
-    first = stored(first.select("node", "at.*", F.array("sketch").alias("sketch")), "line-nodes")
+    first = lines.join(held, "node").groupBy("node").agg(F.min(F.struct("doc_id", "content", "place")).alias("at"))
+    first = stored(first.select("node", "at.*"), "line-nodes")
     texts = _line_texts(docs, first.select("node", "doc_id", "content", "place"))
     settle(docs.sparkSession)
     group = link_groups(
-        members, first.select("node", "sketch"), lambda pairs: _verified(pairs, texts),
-        lambda x, y: sketch_difference(x, y, 1) <= SKETCH_MOST_DIFF, _line_sets(texts), PERCENT,
+        members, first.select("node", "place"), lambda pairs: _verified(pairs, texts),
+        lambda x, y: F.lit(True), _line_sets(texts), PERCENT,
     )
     named = lines.select("doc_id", "content", "place", "node").join(group, "node", "left").select(
         "doc_id", "content", "place", F.coalesce("component", "node").alias("component")
