@@ -33,11 +33,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group, by five-word shingles: that with the
-    smallest doc_id, and of rows that repeat it one."""
-    groups = near_dup.link_components(docs, width=5)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    smallest doc_id. Rows that are equal in doc_id and text are one."""
+    kept = near_dup.first_rows(docs, width=5).withColumnsRenamed({"doc_id": "_id", "content": "_content"})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content"))
+    found = docs.join(kept, same).groupBy("_id", "_content").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return found.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

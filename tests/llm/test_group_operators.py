@@ -215,3 +215,21 @@ def test_pipeline_stages(spark, small):
         assert out.columns == docs.columns, name
     tokens = corpus_pipeline.STAGES[4][1](spark, out, small).collect()
     assert len(tokens) == out.count() > 0 and all(len(r.tokens) == r.n_tokens for r in tokens)
+
+
+def test_near_copies_keep_one_row_per_group(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [
+        (None, a, 1), (None, b, 1), (None, b + " x", 1), (None, None, 1), (None, "", 1),  # texts without an id
+        (3, c, 1), (5, c + " x", 1), (5, d, 1),  # an id whose one text is a copy
+        (7, e, 1), (7, e, 1), (7, e, 2), (7, e + " x", 1), (None, e, 1),  # equal rows, and a near copy under one id
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = sorted(map(str, map(tuple, corpus_pipeline.drop_near_copies(spark, docs, "").collect())))
+    one_of_b = [x for x in rows[1:3] if str(x) in got]
+    one_of_e = [x for x in (rows[8], rows[11]) if str(x) in got]
+    assert len(one_of_b) == len(one_of_e) == 1
+    assert got == sorted(map(str, [rows[0], *one_of_b, *rows[3:6], rows[7], *one_of_e]))
+    again = corpus_pipeline.drop_near_copies(spark, docs.repartition(3), "").collect()
+    assert sorted(map(str, map(tuple, again))) == got

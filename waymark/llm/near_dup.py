@@ -113,7 +113,7 @@ def band_keys(sig: np.ndarray, bands: int, width: int) -> np.ndarray:
 
 
 def _describe(width: int, bands: int, rows_per_band: int):
-    """Signature rows of batches (doc_id, text)."""
+    """Signature rows of batches (doc_id, content, text)."""
     slots = bands * rows_per_band
 
     def lists(values, n, each):
@@ -130,10 +130,10 @@ def _describe(width: int, bands: int, rows_per_band: int):
             padded[:, :slots] = bits
             sketch = np.packbits(padded, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.bincount(row, minlength=n)), pa.array(_node(row, key, n)),
+                [batch.column("doc_id"), batch.column("content"), pa.array(np.bincount(row, minlength=n)), pa.array(_node(row, key, n)),
                  lists(band_keys(sig, bands, rows_per_band).view(np.int64), n, bands),
                  lists(np.ascontiguousarray(sketch), n, sketch.shape[1])],
-                ["doc_id", "n_shingles", "node", "bands", "sketch"],
+                ["doc_id", "content", "n_shingles", "node", "bands", "sketch"],
             )
 
     return describe
@@ -151,16 +151,17 @@ def _node(row: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
 # ---------------------------------------------------------------- jobs
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows_per_band: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, sketch) of every document, stored."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    """(doc_id, content, n_shingles, node, bands, sketch) of every document, stored; content is
+    a hash of the text."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text").mapInArrow(
         _describe(width, bands, rows_per_band),
-        "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>",
+        "doc_id long, content long, n_shingles long, node long, bands array<long>, sketch array<long>",
     )
     return stored(out, "signatures")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the wanted (node, doc_id): one document per node is read again."""
+    """(node, shingles) of the wanted (node, doc_id, content): one document per node is read again."""
     def sets(batches):
         for batch in slices(batches, "text"):
             n = batch.num_rows
@@ -171,8 +172,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 ["node", "shingles"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id")
-    found = texts.select("text").mapInArrow(sets, "node long, shingles array<long>")
+    again = wanted.select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_c"))
+    found = docs.select("doc_id", "text").join(again, same).select("text").mapInArrow(sets, "node long, shingles array<long>")
     return stored(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "full-sets")
 
 
@@ -204,6 +206,25 @@ def link_components(
     repeat a doc_id each follow their own text. A pair at the least similarity shares a band
     with a probability of 1 - (1 - 0.8^7)^40 > 0.9999.
     """
+    out = linked_rows(docs, width, percent, bands, rows_per_band).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def first_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, content) of the one row of every component that stays, and of all texts that
+    link with nothing; content is the text's xxhash64. Of a component that is the row with the
+    smallest doc_id, nulls last, then the smallest content."""
+    rows = linked_rows(docs, width)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content"))
+    linked = rows.where("root is not null").groupBy("root").agg(least.alias("row")).select("row.doc_id", "row.content")
+    return linked.unionByName(rows.where("root is null").select("doc_id", "content").distinct())
+
+
+def linked_rows(
+    docs: DataFrame, width: int, percent: int = 80, bands: int = BANDS, rows_per_band: int = ROWS
+) -> DataFrame:
+    """doc_id, content, n_shingles, root and component_id of every row of `docs`. `root` names
+    the component whatever its doc_ids; null for texts that link with nothing."""
     slots = bands * rows_per_band
     signed = signatures(docs, width, bands, rows_per_band)
     filled = signed.where("n_shingles > 0")
@@ -211,7 +232,8 @@ def link_components(
     members = band_members(nodes.select("node", F.explode("bands").alias("key")))
     settle(docs.sparkSession)
     held = members.select("node").distinct()
-    wanted = filled.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(held, "node")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("one")
+    wanted = filled.groupBy("node").agg(one).select("node", "one.doc_id", "one.content").join(held, "node")
     sets = _full_sets(docs, wanted, width)
     light = stored(
         nodes.select("node", F.col("n_shingles").alias("n"), "sketch").join(held, "node"), "light-nodes"
@@ -223,11 +245,12 @@ def link_components(
     )
     roots = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
 
-    rows = filled.select("doc_id", "n_shingles", "node")
+    rows = filled.select("doc_id", "content", "n_shingles", "node")
     least_doc = rows.groupBy("node").agg(F.min("doc_id").alias("_d")).join(roots, "node")
     by_root = least_doc.groupBy("root").agg(F.min("_d").alias("component_id"))
-    answer = least_doc.join(by_root, "root").select("node", "component_id")
-    out = rows.join(answer, "node").select("doc_id", "n_shingles", "component_id").unionByName(
-        signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    answer = least_doc.join(by_root, "root").select("node", "root", "component_id")
+    return rows.join(answer, "node").select("doc_id", "content", "n_shingles", "root", "component_id").unionByName(
+        signed.where("n_shingles = 0").select(
+            "doc_id", "content", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")
+        )
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
