@@ -111,6 +111,22 @@ def test_token_files_round_trip(docs, none):
     assert token_files.token_digest(none, path).count() == 0
 
 
+def test_token_query_equals_the_unchanged_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from waymark.llm import queries
+
+    lib = Tokenizer.from_file(vocabulary(TOKENIZER))
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>  \n b", "<|endoftext| > <|ENDOFTEXT|>", "plain  text's", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    start = 0
+    for row in sorted(queries.op3_token_files(spark, str(tmp_path)).collect()):
+        ids = lib.encode(texts[row.doc_id] or "", add_special_tokens=False).ids + [0]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert 50256 in lib.encode(texts[0], add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_blocks_hold_any_ids(seed):
     rng = np.random.default_rng(seed)

@@ -33,7 +33,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_digest(_table(spark, sf_dir, "documents"), vocabulary(TOKENIZER))
+    return token_files.token_digest(_table(spark, sf_dir, "documents"), vocabulary(TOKENIZER), split_special=False)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

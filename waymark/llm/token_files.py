@@ -189,7 +189,11 @@ class _Pieces(dict):
             # a run of ASCII punctuation after letters is a token sequence of its own
             return self[cut[1]] + self[cut[2]]
         else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            return self.tokenize_whole(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def tokenize_whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
@@ -197,17 +201,25 @@ class PieceEncoder:
     """Ids of texts, piece by piece: the tokenizers library sees each distinct piece once.
 
     What it has seen is kept in the worker process across tasks, in two generations of about
-    `CACHE` pieces: pieces in use stay, others go."""
+    `CACHE` pieces: pieces in use stay, others go.
 
-    def __init__(self, path: str):
+    With `split_special` the texts of special tokens are cut like any other text. Without it
+    the library's default holds: an added token's text is that token wherever it stands, so
+    texts that hold one go to the library whole."""
+
+    def __init__(self, path: str, split_special: bool = True):
         from tokenizers import Tokenizer
 
         kept = sys.modules.setdefault("_waymark_pieces", types.ModuleType("_waymark_pieces"))
-        if getattr(kept, "path", None) != path:
+        if getattr(kept, "path", None) != (path, split_special):
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+            if split_special:
+                tokenizer.encode_special_tokens = True
+            added = tokenizer.get_added_tokens_decoder().values()
+            whole = [re.escape(t.content) for t in added if not (split_special and t.special)]
+            kept.whole = re.compile("|".join(whole)) if whole else None
             kept.cache = _Pieces(tokenizer, {})
-            kept.path = path
+            kept.path = (path, split_special)
         self.kept = kept
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -217,12 +229,17 @@ class PieceEncoder:
             cache.old = {}
             cache = self.kept.cache = _Pieces(cache.tokenizer, dict(cache))
         get = cache.__getitem__
-        return [b"".join(map(get, _PIECE.findall(t))) for t in texts]
+        if self.kept.whole is None:
+            return [b"".join(map(get, _PIECE.findall(t))) for t in texts]
+        held = self.kept.whole.search
+        return [cache.tokenize_whole(t) if held(t) else b"".join(map(get, _PIECE.findall(t))) for t in texts]
 
 
 # ---------------------------------------------------------------- jobs
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> DataFrame:
+def write_tokens(
+    docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, split_special: bool = True
+) -> DataFrame:
     """Encode the documents in ascending doc_id order into token files below `folder`.
 
     Documents are range-partitioned by doc_id, so no task holds more than its range; a task
@@ -239,7 +256,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
         from pyspark import TaskContext
 
         part, piece = TaskContext.get().partitionId(), 0
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = PieceEncoder(tokenizer_path, split_special)
         held, sizes, names, total = [], [], [], 0
 
         def flush():
@@ -305,8 +322,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "doc_id long, start long, ids binary, n_tokens long")
 
 
-def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """Write token files, read them back and describe every document by its ids' crc32."""
+def token_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 0, split_special: bool = True) -> DataFrame:
+    """Write token files, read them back and describe every document by its ids' crc32.
+
+    For the ids of the library's plain call, `split_special` is False, as in the query."""
     folder = scratch(docs.sparkSession, "tokens")
-    tokens = read_tokens(write_tokens(docs, tokenizer_path, end_id, folder))
+    tokens = read_tokens(write_tokens(docs, tokenizer_path, end_id, folder, split_special))
     return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
