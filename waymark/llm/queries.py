@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import (
-    license_scan, line_dedup, mixing, near_dup, quality_classifier, quality_rules, sentence_pieces,
-    token_files, vector_search, warc,
+    importance, license_scan, line_dedup, mixing, near_dup, quality_classifier, quality_rules, sentence_pieces,
+    source_audit, substring_dedup, token_files, vector_search, warc,
 )
+from waymark.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -73,11 +74,21 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.round_trip(_table(spark, sf_dir, "documents"), model)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_source_mix, op3_token_files, op4_quality_classifier, op5_warc_normaliser,
     op6_near_duplicates, op7_vector_search, op8_license_scan, op9_line_dedup, op10_sentence_pieces,
+    op11_substring_dedup, op12_importance_resampling, op13_source_audit,
 )}
-
-#: No contract of these can be said in SQL (learnt scores, hashes, library ids, probed lists);
-#: tests hold them against brute force.
-ORACLES: dict[str, str] = {}
