@@ -1,9 +1,10 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from waymark.operators.regions import (
-    POOL_STATUS, label_points, match_points, project_equal_area, region_centroids,
+    CELL_SEGMENTS, POOL_STATUS, build_cover, label_points, match_points, project_equal_area, region_centroids,
     unproject_equal_area,
 )
 from waymark.sources.regions import ring_edges
@@ -102,3 +103,28 @@ def test_projection_round_trip_and_symmetric_centroid(spark):
                                 "region long, ring int, seq int, x double, y double")
     c = region_centroids(ring_edges(box, "region", ["ring"], "seq", "x", "y"), ["region"]).first()
     assert abs(c["latitude"]) < 1e-9 and abs(c["longitude"]) < 1e-9
+
+
+def coast(rng, cx, cy, radius, n):
+    """A star-shaped ring with a rough edge of n short segments."""
+    angles = [2 * math.pi * k / n for k in range(n)]
+    return [(cx + radius * r * math.cos(a), cy + radius * r * math.sin(a)) for a, r in ((a, rng.uniform(0.98, 1.0)) for a in angles)]
+
+
+def test_fine_coasts_with_split_cells(spark):
+    rng = random.Random(11)
+    rings = {1: [coast(rng, 1.2, 0.7, 1.5, 900), coast(rng, 1.2, 0.7, 0.6, 300)], 2: [coast(rng, 0.4, 1.1, 0.9, 500)], 3: [[(-9, -9), (9, -9), (9, 9), (-9, 9)]]}
+    rows = [(region, k, i, float(x), float(y)) for region, rs in rings.items() for k, r in enumerate(rs) for i, (x, y) in enumerate(r)]
+    edges = ring_edges(spark.createDataFrame(rows, "region long, ring int, seq int, x double, y double"), "region", ["ring"], "seq", "x", "y")
+    attrs = spark.createDataFrame([(r, str(r)) for r in rings], "region long, label string")
+    spots = [(rng.uniform(-1, 3.4), rng.uniform(-1.4, 2.8)) for _ in range(900)]
+    spots += [rng.choice(rng.choice(rings[r])) for r in (1, 2, 3) for _ in range(30)]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)], "i int, lon double, lat double")
+    for degrees in (1.0, 0.3, 5.0):
+        got = {(r["i"], r["region"]) for r in match_points(points, edges, attrs, "lat", "lon", degrees).collect()}
+        assert got == {(i, region) for i, (x, y) in enumerate(spots) for region, rs in rings.items() if inside(x, y, rs)}, degrees
+    for degrees, parts in ((1.0, 2.0), (3.0, 2.5)):
+        cover, splits = build_cover(edges.where("region < 3"), degrees)
+        sizes = cover.where("segments is not null").agg(F.max(F.size("segments")), F.sum(F.size("segments"))).first()
+        print(sizes)
+        assert splits.count() > 0 and sizes[0] <= CELL_SEGMENTS and sizes[1] <= parts * 1700

@@ -4,11 +4,16 @@ A region layer is edges(region, x0, y0, x1, y1), one row per directed boundary s
 any ring, plus attributes(region, label, ...). Rings are combined by crossing parity, so
 holes and multiple parts need no geometry type.
 
-Labelling is one left equi-join of the points with a cell table. A cell lists the regions
-that reach it: either the cell lies wholly inside (no test needed) or the boundary touches
-it, and then the entry carries the segments of its latitude band that lie in or right of
-the cell. The table's size depends on the layer and the cell size, never on the points: it
-is broadcast only if Spark measures it small, else both sides are shuffled by cell and hot
+Labelling is one left equi-join of the points with a cell table. Segments are cut at the
+meridians of the grid; a cell carries the pieces that lie in it and one parity bit for all
+that lies right of it. The bit is a running sum: two neighbouring pieces right of the cell
+cancel at the vertex they share, so only the places where the boundary crosses the cell's
+right meridian count, and those below the cell are summed once per (region, column). A piece
+stands in the cells it passes and nowhere else. Cells in which a region has more than
+`CELL_SEGMENTS` pieces are split into rows, so lists stay short where a boundary is fine (a
+segment taller than a row stands in every row it passes).
+The table's size depends on the layer and the cell size, never on the points: it is
+broadcast only if Spark measures it small, else both sides are shuffled by cell and hot
 cells are split at run time. Points are neither deduplicated nor regrouped.
 """
 
@@ -17,20 +22,31 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import let
 from waymark.operators.ranking import pick_one
 
+#: Pieces of one region in a cell beyond which the cell is split, and the numbers of rows tried.
+CELL_SEGMENTS, CELL_ROWS = 64, (4, 8, 16, 32, 64, 128, 256)
+#: Degrees by which a piece's rows are widened, against rounding at a cell's edge.
+_PAD = 1e-9
+
 
 def _cell(c: Column | str, degrees: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / degrees).cast("int")
 
 
+def _row(y: Column, cy: Column, rows: Column, degrees: float) -> Column:
+    """Row of a cell that a latitude falls into; outside the cell the first or last one."""
+    at = F.floor((y / degrees - cy) * rows).cast("int")
+    return F.greatest(F.lit(0), F.least(rows - 1, at))
+
+
 def _crosses(e: Column, x: Column, y: Column) -> Column:
-    """Segment passes the horizontal line through y strictly right of x (half-open in y)."""
-    spans = (e["y0"] <= y) != (e["y1"] <= y)
+    """Piece passes the horizontal line through y strictly right of x (half-open in y)."""
+    spans = (e["ya"] <= y) != (e["yb"] <= y)
     at = e["x0"] + (y - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"])
     return spans & F.when(spans, at > x).otherwise(False)
 
@@ -45,54 +61,100 @@ def _touches(e: Column, x: Column, y: Column) -> Column:
     )
 
 
-def build_cover(edges: DataFrame, degrees: float = 1.0) -> DataFrame:
-    """(cx, cy, region, inside, segments) for every cell a region reaches."""
-    left, right = F.least("x0", "x1"), F.greatest("x0", "x1")
-    bands = edges.select(
-        "region", F.struct("x0", "y0", "x1", "y1").alias("e"), left.alias("left"), right.alias("right"),
-        F.explode(
-            F.sequence(_cell(F.least("y0", "y1"), degrees), _cell(F.greatest("y0", "y1"), degrees))
-        ).alias("cy"),
+def cut_segments(edges: DataFrame, degrees: float) -> DataFrame:
+    """(region, cx, e, low, high): the segments cut at the meridians between columns.
+
+    e holds the whole segment, the latitudes `ya` and `yb` between which the piece runs, and
+    `cut`, the latitude at which it goes on into the next column (null if it does not). The
+    two pieces that meet at a meridian have the same latitude there, bit for bit.
+    """
+    ends = edges.select(
+        "region", "x0", "y0", "x1", "y1", _cell("x0", degrees).alias("c0"), _cell("x1", degrees).alias("c1"),
+    ).withColumn("cx", F.explode(F.sequence(F.least("c0", "c1"), F.greatest("c0", "c1"))))
+
+    def latitude(meridian: Column) -> Column:
+        at = F.col("y0") + F.try_divide((meridian * F.lit(degrees) - F.col("x0")) * (F.col("y1") - F.col("y0")), F.col("x1") - F.col("x0"))
+        return F.greatest(F.least("y0", "y1"), F.least(F.greatest("y0", "y1"), at))
+
+    more = F.col("cx") < F.greatest("c0", "c1")
+    right = F.when(more, latitude(F.col("cx") + 1))
+    left = F.when(F.col("cx") > F.least("c0", "c1"), latitude(F.col("cx")))
+    onward = F.col("c0") <= F.col("c1")  # from west to east
+    west = F.coalesce(left, F.when(onward, F.col("y0")).otherwise(F.col("y1")))
+    east = F.coalesce(right, F.when(onward, F.col("y1")).otherwise(F.col("y0")))
+    cut = ends.withColumns({"ya": west, "yb": east, "cut": right})
+    return cut.select(
+        "region", "cx", F.struct("x0", "y0", "x1", "y1", "ya", "yb", "cut").alias("e"),
+        (F.least("ya", "yb") - _PAD).alias("low"), (F.greatest("ya", "yb") + _PAD).alias("high"),
+    )
+
+
+def build_cover(edges: DataFrame, degrees: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The rows (cx, cy, row, region, odd, segments) that a region reaches, and (cx, cy, rows)
+    of the cells that are split into more than one row.
+
+    `odd` is the parity of what lies right of the cell's pieces; a row without pieces lies
+    inside the region if it is odd, and is left out otherwise.
+    """
+    pieces = cut_segments(edges, degrees)
+    placed = pieces.withColumn("cy", F.explode(F.sequence(_cell("low", degrees), _cell("high", degrees))))
+    held = placed.groupBy("region", "cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    splits = _split_cells(placed, held, degrees)
+    rows = F.coalesce("rows", F.lit(1))
+    listed = placed.join(splits, ["cx", "cy"], "left").withColumn("rows", rows)
+    first, last = (_row(F.col(c), F.col("cy"), F.col("rows"), degrees) for c in ("low", "high"))
+    ends_here = F.col("cy") == _cell("high", degrees)
+    lists = listed.select(
+        "region", "cx", "cy", "e", last.alias("_last"), ends_here.alias("_ends"), F.explode(F.sequence(first, last)).alias("row"),
+    ).groupBy("region", "cx", "cy", "row").agg(
+        F.collect_list("e").alias("segments"),
+        F.count_if(F.col("e.cut").isNotNull() & F.col("_ends") & (F.col("row") == F.col("_last"))).alias("_cuts"),
     )
-    # the segments of one region in one latitude band, and the cells between its extremes
-    cells = bands.groupBy("region", "cy").agg(
-        _cell(F.min("left"), degrees).alias("c0"), _cell(F.max("right"), degrees).alias("c1"),
-        F.collect_list("e").alias("band"),
-    ).select("region", "cy", "band", F.explode(F.sequence("c0", "c1")).alias("cx"))
-    x0, x1 = F.col("cx") * F.lit(degrees), (F.col("cx") + 1) * F.lit(degrees)
-    mid_x = (F.col("cx") + 0.5) * F.lit(degrees)
-    mid_y = (F.col("cy") + 0.5) * F.lit(degrees)
-    touched = F.exists(
-        "band", lambda e: (F.least(e["x0"], e["x1"]) < x1) & (F.greatest(e["x0"], e["x1"]) >= x0)
+    # every row between a column's lowest and highest piece
+    column = held.groupBy("region", "cx").agg(F.min("cy").alias("_c0"), F.max("cy").alias("_c1"))
+    cells = column.select("region", "cx", F.explode(F.sequence("_c0", "_c1")).alias("cy"))
+    grid = cells.join(splits, ["cx", "cy"], "left").select(
+        "region", "cx", "cy", F.explode(F.sequence(F.lit(0), rows - 1)).alias("row")
     )
-    odd = F.size(F.filter("band", lambda e: _crosses(e, mid_x, mid_y))) % 2 == 1
-    ahead = F.filter("band", lambda e: F.greatest(e["x0"], e["x1"]) >= x0)
-    seen = cells.withColumn("touched", touched)
-    return seen.select(
-        "cx", "cy", "region", (~F.col("touched") & odd).alias("inside"),
-        F.when(F.col("touched"), ahead).alias("segments"),
-    ).where(F.col("inside") | F.col("segments").isNotNull())
+    below = Window.partitionBy("region", "cx").orderBy("cy", "row").rowsBetween(Window.unboundedPreceding, -1)
+    odd = F.coalesce(F.sum(F.coalesce("_cuts", F.lit(0))).over(below), F.lit(0)) % 2 == 1
+    cover = grid.join(lists, ["region", "cx", "cy", "row"], "left").withColumn("odd", odd)
+    return cover.where(F.col("odd") | F.col("segments").isNotNull()).drop("_cuts"), splits
+
+
+def _split_cells(placed: DataFrame, held: DataFrame, degrees: float) -> DataFrame:
+    """(cx, cy, rows) of the cells with long lists: the fewest rows that make all their lists
+    short, or else those that leave the shortest ones. Only pieces of such cells are tried."""
+    long = held.where(F.col("n") > CELL_SEGMENTS).select("region", "cx", "cy")
+    tried = placed.join(long, ["region", "cx", "cy"]).withColumn("rows", F.explode(F.array(*map(F.lit, CELL_ROWS))))
+    first, last = (_row(F.col(c), F.col("cy"), F.col("rows"), degrees) for c in ("low", "high"))
+    sizes = tried.select("region", "cx", "cy", "rows", F.explode(F.sequence(first, last)).alias("row")).groupBy(
+        "region", "cx", "cy", "rows", "row"
+    ).count().groupBy("cx", "cy", "rows").agg(F.greatest(F.lit(CELL_SEGMENTS), F.max("count")).alias("_most"))
+    return sizes.groupBy("cx", "cy").agg(F.min(F.struct("_most", "rows"))["rows"].alias("rows"))
 
 
 def cell_table(cover: DataFrame, attrs: DataFrame, label: str = "label") -> DataFrame:
-    """(cx, cy, candidates): the regions reaching each cell, with their labels."""
+    """(cx, cy, row, candidates): the regions reaching each row of a cell, with their labels."""
     named = cover.join(attrs.select("region", F.col(label).alias("label")), "region", "left")
-    return named.groupBy("cx", "cy").agg(
-        F.collect_list(F.struct("region", "label", "inside", "segments")).alias("candidates")
+    return named.groupBy("cx", "cy", "row").agg(
+        F.collect_list(F.struct("region", "label", "odd", "segments")).alias("candidates")
     )
 
 
 def _hits(candidates: Column, x: Column, y: Column) -> Column:
     """Candidates that contain the point; the boundary counts as inside."""
     def contains(c: Column) -> Column:
-        odd = F.size(F.filter(c["segments"], lambda e: _crosses(e, x, y))) % 2 == 1
-        return c["inside"] | odd | F.exists(c["segments"], lambda e: _touches(e, x, y))
+        crossed = F.size(F.filter(c["segments"], lambda e: _crosses(e, x, y) != F.coalesce(e["cut"] <= y, F.lit(False)))) % 2 == 1
+        lone = c["segments"].isNull()
+        return F.when(lone, c["odd"]).otherwise((c["odd"] != crossed) | F.exists(c["segments"], lambda e: _touches(e, x, y)))
 
     return F.filter(candidates, contains)
 
 
 def _join_cells(
-    points: DataFrame, cells: DataFrame, lat: str, lon: str, degrees: float, how: str
+    points: DataFrame, cover: tuple[DataFrame, DataFrame], attrs: DataFrame, label: str, lat: str, lon: str,
+    degrees: float, how: str,
 ) -> DataFrame:
     """Points with the candidates of their cell. Points without a place get spread keys."""
     spread = -1000 - F.pmod(F.xxhash64(*points.columns), F.lit(4096)).cast("int")
@@ -100,7 +162,10 @@ def _join_cells(
     keyed = points.withColumns(
         {"cx": F.when(placed, _cell(lon, degrees)).otherwise(spread), "cy": F.when(placed, _cell(lat, degrees)).otherwise(0)}
     )
-    return keyed.join(cells, ["cx", "cy"], how).drop("cx", "cy")
+    cover, splits = cover
+    row = F.coalesce(_row(F.col(lat), F.col("cy"), F.col("rows"), degrees), F.lit(0))
+    keyed = keyed.join(splits, ["cx", "cy"], "left").withColumn("row", row)
+    return keyed.join(cell_table(cover, attrs, label), ["cx", "cy", "row"], how).drop("cx", "cy", "row", "rows")
 
 
 def match_points(
@@ -108,8 +173,7 @@ def match_points(
     degrees: float = 1.0, label: str = "label",
 ) -> DataFrame:
     """One row per (point row, containing region), with the region's label."""
-    cells = cell_table(build_cover(edges, degrees), attrs, label)
-    met = _join_cells(points, cells, lat, lon, degrees, "inner")
+    met = _join_cells(points, build_cover(edges, degrees), attrs, label, lat, lon, degrees, "inner")
     hit = F.explode(_hits(F.col("candidates"), F.col(lon), F.col(lat))).alias("_hit")
     return met.select(*points.columns, hit).select(
         *points.columns, F.col("_hit.region").alias("region"), F.col("_hit.label").alias("label")
@@ -181,8 +245,7 @@ def label_points(
     words: dict[str, str] = DIRECT_STATUS, degrees: float = 1.0, label: str = "label",
 ) -> DataFrame:
     """Overlay columns for every point row."""
-    cells = cell_table(build_cover(edges, degrees), attrs, label)
-    met = _join_cells(points, cells, lat, lon, degrees, "left")
+    met = _join_cells(points, build_cover(edges, degrees), attrs, label, lat, lon, degrees, "left")
     none = F.array().cast(met.schema["candidates"].dataType)
     hits = F.coalesce(_hits(F.col("candidates"), F.col(lon), F.col(lat)), none)
     found = met.withColumn("_o", _overlay(hits, words))
