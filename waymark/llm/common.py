@@ -25,11 +25,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete a query's shuffle files when the query ends (ignored where unknown).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a step once as Parquet into the shared folder and read it from there."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a step once as Parquet into the shared folder and read it from there.
+
+    With the table written nobody reads the step's shuffle files again, so they go at once."""
+    spark = df.sparkSession
+    path, schema, before = scratch(spark, name), df.schema, spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        fresh = df.select("*")  # the setting is read when a plan is made
+        fresh.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def slices(batches, column: str, limit: int = SLICE_BYTES):

@@ -38,13 +38,32 @@ CACHE = 600_000
 
 _MAGIC = b"PFOR1"
 _HEAD, _HEAD_SIZE = "<5sIIQ", struct.calcsize("<5sIIQ")
-_BLOCK, _BLOCK_SIZE = "<HIBH", struct.calcsize("<HIBH")
+_BLOCK_SIZE = struct.calcsize("<HIBH")
 #: Blocks that are packed in one go.
-_CHUNK = 512
+_CHUNK = 8192
 
 
 # ---------------------------------------------------------------- blocks
 
+_HEADS = np.dtype([("n", "<u2"), ("low", "<u4"), ("width", "u1"), ("odd", "<u2")])
+
+
+def _bit_words(w: int):
+    """For each of a block's values of w bits: its word of 64 bits, its place there, and the
+    bits that fit (the others begin the next word)."""
+    for i in range(BLOCK):
+        word, shift = divmod(i * w, 64)
+        yield i, word, np.uint64(shift), min(w, 64 - shift)
+
+
+def _exceptions(start: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the exceptions of blocks with `odd` ones from byte `start` on: block, byte of the
+    position, byte of the high part."""
+    block = np.repeat(np.arange(len(odd)), odd)
+    rank = np.arange(len(block)) - np.repeat(np.cumsum(odd) - odd, odd)
+    return block, start[block] + 2 * rank, start[block] + 2 * odd[block] + 4 * rank
+
+
 def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, np.ndarray]:
     """The encoded blocks of an id array and the byte offset of each block."""
     step = _CHUNK * BLOCK
@@ -61,58 +80,62 @@ def pack_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> tuple[bytes, n
     padded[n:] = ids[-1]
     grid = padded.reshape(count, BLOCK)
     low = grid.min(1)
-    rest = grid - low[:, None]
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.int64)  # bit length
+    rest = (grid - low[:, None]).astype(np.uint64)
+    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bit length
     at = min(BLOCK - 1, BLOCK * percentile // 100)
     width = np.partition(bits, at, axis=1)[:, at]
     odd = bits > width[:, None]
-    sizes = np.full(count, BLOCK)
-    sizes[-1] = n - (count - 1) * BLOCK
-    odd[-1, sizes[-1]:] = False
-    bodies: list[bytes] = [b""] * count
-    for w in np.unique(width):  # blocks of one width are packed together
+    heads = np.zeros(count, _HEADS)
+    heads["n"] = BLOCK
+    heads["n"][-1] = n - (count - 1) * BLOCK
+    odd[-1, heads["n"][-1]:] = False
+    heads["low"], heads["width"], heads["odd"] = low, width, odd.sum(1)
+
+    packed = BLOCK // 8 * width.astype(np.int64)
+    sizes = _BLOCK_SIZE + packed + 6 * heads["odd"].astype(np.int64)
+    offsets = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    out[offsets[:, None] + np.arange(_BLOCK_SIZE)] = heads.view(np.uint8).reshape(count, _BLOCK_SIZE)
+    for w in np.unique(width[width > 0]).tolist():  # blocks of one width are packed together
         rows = np.flatnonzero(width == w)
-        if w:
-            four = rest[rows].astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4)
-            planes = np.unpackbits(four, axis=2, bitorder="little")[:, :, :w]
-            packed = np.packbits(planes.reshape(len(rows), -1), axis=1, bitorder="little")
-        for k, row in enumerate(rows):
-            bodies[row] = packed[k].tobytes() if w else b""
-    out, offsets, here = [], np.zeros(count, np.uint64), 0
-    odd_rows = odd.any(1)
-    for row in range(count):
-        offsets[row] = here
-        pos = np.flatnonzero(odd[row]) if odd_rows[row] else ()
-        block = struct.pack(_BLOCK, int(sizes[row]), int(low[row]), int(width[row]), len(pos)) + bodies[row]
-        if len(pos):
-            high = rest[row, pos] >> width[row]
-            block += pos.astype("<u2").tobytes() + high.astype("<u4").tobytes()
-        out.append(block)
-        here += len(block)
-    return b"".join(out), offsets
+        values = np.ascontiguousarray(rest[rows].T) & np.uint64((1 << w) - 1)
+        words = np.zeros((2 * w, len(rows)), np.uint64)
+        for i, word, shift, fits in _bit_words(w):
+            words[word] |= values[i] << shift
+            if fits < w:
+                words[word + 1] |= values[i] >> np.uint64(fits)
+        body = np.ascontiguousarray(words.T).astype("<u8", copy=False).view(np.uint8)
+        out[(offsets[rows] + _BLOCK_SIZE)[:, None] + np.arange(16 * w)] = body
+    row, place = np.nonzero(odd)
+    _, at_place, at_high = _exceptions(offsets + _BLOCK_SIZE + packed, heads["odd"].astype(np.int64))
+    out[at_place[:, None] + np.arange(2)] = place.astype("<u2").view(np.uint8).reshape(-1, 2)
+    high = (rest[row, place] >> width[row].astype(np.uint64)).astype("<u4")
+    out[at_high[:, None] + np.arange(4)] = high.view(np.uint8).reshape(-1, 4)
+    return out.tobytes(), offsets.astype(np.uint64)
 
 
 def unpack_blocks(body: memoryview, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the blocks at `offsets`, one after the other, and each block's number of ids.
     Blocks of one width are unpacked together."""
     data = np.frombuffer(body, np.uint8)
-    count = len(offsets)
-    at = offsets[:, None] + np.arange(_BLOCK_SIZE)
-    heads = data[at].reshape(-1).view(np.dtype([("n", "<u2"), ("low", "<u4"), ("width", "u1"), ("odd", "<u2")]))
-    values = np.zeros((count, BLOCK), np.int64)
-    for w in np.unique(heads["width"]).tolist():
-        if not w:
-            continue
-        rows = np.flatnonzero(heads["width"] == w)
-        packed = data[(offsets[rows] + _BLOCK_SIZE)[:, None] + np.arange(BLOCK * w // 8)]
-        flags = np.zeros((len(rows), BLOCK, 32), np.uint8)
-        flags[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-        values[rows] = np.packbits(flags, axis=2, bitorder="little").view("<u4")[:, :, 0]
-    for row in np.flatnonzero(heads["odd"]):
-        odd, w = int(heads["odd"][row]), int(heads["width"][row])
-        here = int(offsets[row]) + _BLOCK_SIZE + BLOCK * w // 8
-        pos = np.frombuffer(body, "<u2", odd, here)
-        values[row, pos] |= np.frombuffer(body, "<u4", odd, here + 2 * odd).astype(np.int64) << w
+    heads = data[offsets[:, None] + np.arange(_BLOCK_SIZE)].reshape(-1).view(_HEADS)
+    width = heads["width"].astype(np.int64)
+    values = np.zeros((len(offsets), BLOCK), np.int64)
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        packed = data[(offsets[rows] + _BLOCK_SIZE)[:, None] + np.arange(16 * w)]
+        words = np.ascontiguousarray(packed.view("<u8").T)
+        mask, got = np.uint64((1 << w) - 1), np.empty((BLOCK, len(rows)), np.uint64)
+        for i, word, shift, fits in _bit_words(w):
+            got[i] = words[word] >> shift
+            if fits < w:
+                got[i] |= words[word + 1] << np.uint64(fits)
+        values[rows] = (got & mask).T
+    odd = heads["odd"].astype(np.int64)
+    row, at_place, at_high = _exceptions(offsets + _BLOCK_SIZE + 16 * width, odd)
+    place = data[at_place[:, None] + np.arange(2)].view("<u2")[:, 0]
+    high = data[at_high[:, None] + np.arange(4)].view("<u4")[:, 0]
+    values[row, place] |= high.astype(np.int64) << width[row]
     values += heads["low"].astype(np.int64)[:, None]
     sizes = heads["n"].astype(np.int64)
     return values[np.arange(BLOCK) < sizes[:, None]], sizes
