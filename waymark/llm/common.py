@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.llm.files import remove_folder
 from waymark.session import shared_folder
 
 #: A word: a run of characters other than space and the controls from tab to return.
@@ -44,7 +45,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete stored steps that no later step reads."""
+    for step in steps:
+        remove_folder(step.stored_at)
 
 
 def slices(batches, column: str, limit: int = SLICE_BYTES):

@@ -16,6 +16,11 @@ def make_folder(uri: str) -> None:
     system.create_dir(path, recursive=True)
 
 
+def remove_folder(uri: str) -> None:
+    system, path = _open(uri)
+    system.delete_dir(path)
+
+
 def write_file(uri: str, data: bytes) -> None:
     """Write under another name and rename, so that a task that runs twice, or dies half-way,
     leaves a whole file or none. A repeated task writes the same bytes again."""

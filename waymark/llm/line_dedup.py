@@ -14,17 +14,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import hash_names, mix, settle, slices, stored
-from waymark.llm.linking import band_members, link_groups
+from waymark.llm.common import discard, hash_names, mix, slices, stored
+from waymark.llm.linking import link_groups
 
 SHINGLE = 8
 #: Lines with fewer characters (trimmed) are left alone unless the caller asks for more lines;
 #: the query and the pipeline ask for every line that is not blank.
 MIN_CHARS = 20
 NOT_BLANK = 1
-#: The bands use all bins but one. Short lines fill few bins and the rest are copies, so no
-#: sketch is trusted to tell pairs apart: every candidate pair is checked on its full sets.
-BINS, BANDS, ROWS = 64, 21, 3
+#: The bands use all bins. Short lines fill few bins and the rest are copies, so no sketch is
+#: trusted to tell pairs apart: every candidate pair is checked on its full sets.
+BINS, BANDS, ROWS = 64, 16, 4
 PERCENT = 80
 
 _EMPTY = np.iinfo(np.uint64).max
@@ -86,34 +86,50 @@ def band_hashes(low: np.ndarray) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, content, place, node, bands) of every line that takes part, stored. Lines under
-    `SHINGLE` characters have no bands: only their node tells them. Repeats of a node in a
-    batch leave the bands to the first one."""
+    """(doc_id, content, place, node) of every line that takes part, stored."""
     def describe(batches):
         for batch in slices(batches, "text", 2 << 20):
             row, place, keys = key_lines(batch.column("text"), min_chars)
-            if not len(row):
-                continue
-            node = hash_names(keys)
-            banded = np.zeros(len(row), bool)
-            banded[np.unique(node, return_index=True)[1]] = True
-            banded &= np.asarray(pc.greater_equal(pc.utf8_length(keys), SHINGLE), dtype=bool)
-            bands = band_hashes(bin_minima(keys.filter(pa.array(banded))))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(banded)]).astype(np.int32) * BANDS)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("content").take(at), pa.array(place.astype(np.int32)),
-                 pa.array(node.view(np.int64)),
-                 pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).reshape(-1)))],
-                ["doc_id", "content", "place", "node", "bands"],
+                 pa.array(hash_names(keys).view(np.int64))],
+                ["doc_id", "content", "place", "node"],
             )
 
-    out = docs.select("doc_id", "content", "text").mapInArrow(
-        describe, "doc_id long, content long, place int, node long, bands array<long>"
-    )
+    out = docs.select("doc_id", "content", "text").mapInArrow(describe, "doc_id long, content long, place int, node long")
     return stored(out, "lines")
 
 
+def node_bands(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(node, b0, b1, …) of every different line, stored. Lines under `SHINGLE` characters have
+    no bands: only their node tells them. Repeats go within a batch, then over the whole table."""
+    names = [f"b{k}" for k in range(BANDS)]
+
+    def describe(batches):
+        for batch in slices(batches, "text", 8 << 20):
+            keys = key_lines(batch.column("text"), max(min_chars, SHINGLE))[2].dictionary_encode().dictionary
+            for lo in range(0, len(keys), 20_000):
+                some = keys.slice(lo, 20_000)
+                bands = band_hashes(bin_minima(some)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hash_names(some).view(np.int64)), *map(pa.array, bands.T)], ["node", *names]
+                )
+
+    each = docs.select("text").mapInArrow(describe, ", ".join(f"{c} long" for c in ["node", *names]))
+    return stored(each.groupBy("node").agg(*(F.first(c).alias(c) for c in names)), "line-bands")
+
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(key, node, p1, p2) of every node in a band of two or more nodes; p1 and p2 are the
+    band's smallest and largest. The rows are dealt by key once; the bounds and the join read
+    the same shuffle."""
+    keys = F.explode(F.array(*(f"b{k}" for k in range(BANDS)))).alias("key")
+    dealt = nodes.select("node", keys).repartition("key")
+    bounds = dealt.groupBy("key").agg(F.min("node").alias("p1"), F.max("node").alias("p2")).where("p1 < p2")
+    return stored(dealt.join(bounds, "key"), "band-members")
+
+
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, line) of the wanted (node, doc_id, content, place), stored."""
     per_doc = wanted.groupBy("doc_id", "content").agg(F.collect_list(F.struct("node", "place")).alias("lines"))
@@ -168,13 +184,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, content, places): the places of the lines that go, per document. `docs` has
     doc_id, content (a hash of the text) and text."""
     lines = occurrences(docs, min_chars)
-    members = band_members(lines.select("node", F.explode("bands").alias("key")))
-    settle(docs.sparkSession)
+    nodes = node_bands(docs, min_chars)
+    members = shared_bands(nodes)
+    discard(nodes)
     held = members.select("node").distinct()
     first = lines.join(held, "node").groupBy("node").agg(F.min(F.struct("doc_id", "content", "place")).alias("at"))
     first = stored(first.select("node", "at.*"), "line-nodes")
     texts = _line_texts(docs, first.select("node", "doc_id", "content", "place"))
-    settle(docs.sparkSession)
     group = link_groups(
         members, first.select("node", "place"), lambda pairs: _verified(pairs, texts),
         lambda x, y: F.lit(True), _line_sets(texts), PERCENT,
@@ -200,7 +216,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keyed = docs.withColumn(d, F.col("doc_id").cast("long")).withColumn(c, F.xxhash64("text"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
     gone = dropped_lines(plain, min_chars).withColumnsRenamed({"doc_id": "_gone_doc", "content": "_gone_content", "places": "_places"})
-    settle(docs.sparkSession)
     same = F.col(d).eqNullSafe(F.col("_gone_doc")) & (F.col(c) == F.col("_gone_content"))
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_places", i)), "\n")
