@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.checks.base import VIEWS, bridge, check, records, table
+from waymark.checks.lookups import placed
 from waymark.functions.stats import Z95, wilson
 from waymark.operators.accuracy import (
     COUNT_GRID, COVERAGE_GRID, SHARE_GRID, audit, band_accuracy, bootstrap_mean,
@@ -94,6 +95,14 @@ def _(spark, sf):
     return truth_rows(records(spark, sf))
 
 
+@check(
+    "l07_truth_by_source",
+    "SELECT t.row_key, t.species_key, t.observed_label FROM o_truth t JOIN o_final f ON f.row_key = t.row_key WHERE f.final_source = 'original'",
+)
+def _(spark, sf):
+    return truth_rows(placed(spark, sf).drop("original_latitude", "original_longitude"))
+
+
 @check("j16_truth_join", "SELECT row_key, species_key, observed_label, predicted_label, is_correct FROM o_joined")
 def _(spark, sf):
     usable = predictions(spark, sf).where("predicted_label IS NOT NULL")
@@ -148,11 +157,20 @@ def _(spark, sf):
     return rounded(out, "low", "high", "low_plain", "high_plain")
 
 
-def _bootstrap_sql(group: str) -> str:
+#: Small blocks, so that the few species of the checks stand in several.
+BLOCK = 32
+
+
+def _bootstrap_sql(group: str, source: str = "o_metric") -> str:
+    def number(*parts: str) -> str:
+        text = ", ".join(f"CAST({p} AS varchar)" for p in parts)
+        return f"CAST(concat('0x', substr(md5(concat_ws('#', '{SEED}', {text})), 1, 12)) AS bigint)"
+
     return f"""WITH v AS (SELECT {group} AS g, record_match_rate AS x, row_number() OVER (PARTITION BY {group} ORDER BY species_key) - 1 AS pos,
-      count(*) OVER (PARTITION BY {group}) AS n FROM o_metric),
-    d AS (SELECT g, rep, CAST(concat('0x', substr(md5(concat_ws('#', '{SEED}', CAST(rep AS varchar), CAST(pos AS varchar))), 1, 12)) AS bigint) % n AS pos
-      FROM v, range(1, 2001) r(rep)),
+      count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
+    c AS (SELECT g, n, rep, {number('rep', 'pos')} % n // {BLOCK} AS blk, pos FROM v, range(1, 2001) r(rep)),
+    e AS (SELECT *, row_number() OVER (PARTITION BY g, rep, blk ORDER BY pos) - 1 AS j FROM c),
+    d AS (SELECT g, rep, blk * {BLOCK} + {number('rep', 'blk', 'j')} % least({BLOCK}, n - blk * {BLOCK}) AS pos FROM e),
     m AS (SELECT d.g, d.rep, avg(v.x) AS mean FROM d JOIN v ON v.g IS NOT DISTINCT FROM d.g AND v.pos = d.pos GROUP BY d.g, d.rep),
     b AS (SELECT g, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM m GROUP BY g)
     SELECT HEAD b0.n, round(b0.mean, {DIGITS}) AS mean, round(lo, {DIGITS}) AS ci_low, round(hi, {DIGITS}) AS ci_high
@@ -161,13 +179,13 @@ def _bootstrap_sql(group: str) -> str:
 
 @check("m02_bootstrap_mean", _bootstrap_sql("'all'").replace("HEAD", ""))
 def _(spark, sf):
-    out = bootstrap_mean(metrics(spark, sf), "record_match_rate", "species_key")
+    out = bootstrap_mean(metrics(spark, sf), "record_match_rate", "species_key", block=BLOCK)
     return rounded(out, "mean", "ci_low", "ci_high")
 
 
 @check("m02_bootstrap_by_band", _bootstrap_sql("band").replace("HEAD", "b0.g AS band,"))
 def _(spark, sf):
-    out = bootstrap_mean(metrics(spark, sf), "record_match_rate", "species_key", by="band")
+    out = bootstrap_mean(metrics(spark, sf), "record_match_rate", "species_key", by="band", block=BLOCK)
     return rounded(out, "mean", "ci_low", "ci_high")
 
 
@@ -183,9 +201,16 @@ FROM (SELECT g AS group_name, count(*) AS species_n, CAST(sum(validation_records
 _BAND_FLOATS = ("micro_low", "micro_high", "macro_accuracy", "dominant_low", "dominant_high")
 
 
-@check("m03_band_accuracy", "SELECT * FROM o_band")
+VIEWS["o_scope"] = """
+SELECT 'All' AS g, o_metric.* FROM o_metric UNION ALL SELECT band, o_metric.* FROM o_metric WHERE band IN ('High', 'Medium', 'Low')"""
+
+
+@check(
+    "m03_band_accuracy",
+    f"SELECT o_band.*, macro_low, macro_high FROM o_band LEFT JOIN ({_bootstrap_sql('g', 'o_scope').replace('SELECT HEAD b0.n', 'SELECT b0.g, b0.n').replace('AS ci_low', 'AS macro_low').replace('AS ci_high', 'AS macro_high')}) m ON m.g = group_name",
+)
 def _(spark, sf):
-    return rounded(band_accuracy(metrics(spark, sf), "band"), *_BAND_FLOATS)
+    return rounded(band_accuracy(metrics(spark, sf), "band", block=BLOCK), *_BAND_FLOATS, "macro_low", "macro_high")
 
 
 @check(

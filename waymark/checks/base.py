@@ -165,7 +165,7 @@ SELECT n_name AS country, concat('Site ', {_s('c_custkey % 50')}) AS site,
   CASE WHEN (n_nationkey + c_custkey) % 5 = 0 THEN '1' END AS fallback_success,
   concat({_s('-60 + (n_nationkey * 7 + c_custkey) % 121')}, '.5') AS lat_text,
   concat({_s('-170 + (n_nationkey * 14 + c_custkey) % 340')}, '.5') AS lon_text
-FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey WHERE n_nationkey < 20"""
+FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey"""
 
 VIEWS["b_raw_query"] = f"""
 SELECT o_orderkey AS row_key,
@@ -260,14 +260,14 @@ VIEWS["b_taxon"] = f"""
 SELECT p_partkey AS taxon_key,
   concat('Genus', substr({_ALPHABET}, CAST(p_partkey % 26 AS int) + 1, 1),
          ' species', substr({_ALPHABET}, CAST(p_partkey % 11 AS int) + 1, 1),
-         CASE WHEN p_partkey % 7 = 0 THEN ' | Other name' ELSE '' END) AS input_names,
+         CASE WHEN p_partkey % 7 = 0 THEN concat(' | Other name', {_s('p_partkey % 286 % 6')}) ELSE '' END) AS input_names,
   CASE p_partkey % 286 % 6 WHEN 0 THEN 'AFRICA' WHEN 1 THEN ' america' WHEN 2 THEN 'Asia' WHEN 3 THEN 'europe'
     WHEN 4 THEN 'Middle  East' ELSE 'ocean' END AS dominant_label,
   CASE p_partkey % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'Low' ELSE 'no_realm_evidence' END AS taxon_confidence,
   CAST(50 + p_partkey % 51 AS double) AS dominant_proportion,
   CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE p_partkey % 61 END AS assigned_records_n,
   CAST(40 + p_partkey % 61 AS double) / 100 AS overlay_coverage
-FROM {{part}} WHERE p_partkey % 7 <> 0 OR p_partkey % 286 % 6 = 0"""
+FROM {{part}}"""
 
 VIEWS["b_journal"] = f"""
 SELECT event_id AS seq, {_s('user_id')} AS query_name,

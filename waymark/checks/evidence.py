@@ -26,7 +26,8 @@ from waymark.plans.labels import (
 )
 from waymark.session import cut_lineage
 
-HIDDEN_N = 20
+#: Hidden locations: no more than the smallest table has eligible clusters.
+HIDDEN_N = 10
 SEED = 42
 
 VIEWS["o_location"] = """

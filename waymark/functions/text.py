@@ -254,6 +254,16 @@ def parse_bool(
     return F.when(yes, True).when(word.isin(list(false_set)), False)
 
 
+def strict_bool(c: Column | str, true_set: Iterable[str], false_set: Iterable[str]) -> Column:
+    """True or false by word, missing counts as false; any other word fails the job."""
+    word = F.lower(strip(_col(c).cast("string")))
+    unknown = F.raise_error(F.format_string("not a flag: '%s'", word)).cast("boolean")
+    return (
+        F.when(word.isNull(), False).when(word.isin(list(true_set)), True)
+        .when(word.isin(list(false_set)), False).otherwise(unknown)
+    )
+
+
 # Region-label synonyms and labels that are not terrestrial regions.
 LABEL_SYNONYMS = {
     "afrotropic": "Afrotropical", "afrotropical": "Afrotropical",

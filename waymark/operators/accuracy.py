@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.stats import ratio, wilson
-from waymark.operators.ranking import null_safe, number_rows, pick_one
+from waymark.operators.ranking import null_safe, number_rows, pick_one, quantiles
 
 # Tested thresholds, accuracy targets and bootstrap settings.
 SHARE_GRID = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95)
@@ -18,18 +18,22 @@ BAND_TARGETS = (("High", 0.90), ("Medium", 0.75))
 MIN_BAND_SPECIES = 10
 BOOTSTRAP_REPS = 2000
 BOOTSTRAP_SEED = 20260727
+#: Values of a bootstrap block.
+BOOTSTRAP_BLOCK = 4096
 
 
-def as_fraction(df: DataFrame, col: str) -> DataFrame:
+def as_fraction(df: DataFrame, *cols: str) -> DataFrame:
     """Percentages become fractions when the column's upper quartile exceeds one.
 
-    Only finite values count for the quartile."""
-    q = df.agg(F.percentile(F.when(~F.isnan(col) & (F.abs(F.col(col)) < float("inf")), F.col(col)), 0.75).alias("q"))
-    scale = F.when(q.scalar() > 1.0, 100.0).otherwise(1.0)
-    value = F.col(col) / scale
-    return df.withColumn(
-        col, F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
-    )
+    Only finite values count for the quartile; all columns are measured in one pass."""
+    finite = df.select(*[F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).alias(c) for c in cols])
+    upper = quantiles(finite, cols, 0.75)
+    out = df
+    for c in cols:
+        scale = F.when(upper.select(c).scalar() > 1.0, 100.0).otherwise(1.0)
+        value = F.col(c) / scale
+        out = out.withColumn(c, F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))))
+    return out
 
 
 def majority(df: DataFrame, ks: Sequence[str], label: str) -> DataFrame:
@@ -74,13 +78,14 @@ def entity_metrics(
 
 def bootstrap_mean(
     df: DataFrame, value: str, key: str, by: str | None = None,
-    reps: int = BOOTSTRAP_REPS, seed: int = BOOTSTRAP_SEED,
+    reps: int = BOOTSTRAP_REPS, seed: int = BOOTSTRAP_SEED, block: int = BOOTSTRAP_BLOCK,
 ) -> DataFrame:
     """95% interval of the mean by exact n-out-of-n resampling.
 
-    Every value position draws one position per replicate from a digest; drawing explodes
-    positions by replicate inside the tasks, and the drawn positions are joined back by an
-    equi-join whose keys are uniform by construction.
+    Values stand in blocks of `block` positions. A replicate first deals its n draws over the
+    blocks (a multinomial: every draw names a block by a seeded digest, and only the counts
+    leave the task), then each block makes its share of the draws from its own values and
+    hands on a sum. What is shuffled is one row per replicate and block.
     """
     group = by or "_g"
     named = df.withColumn("_g", F.lit("all")) if by is None else df
@@ -88,27 +93,35 @@ def bootstrap_mean(
     # positions follow the key inside each group
     ordered = number_rows(named, [F.col(group).asc_nulls_first(), F.col(key).asc()], "_row")
     ranges = ordered.groupBy(group).agg(
-        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    placed = null_safe(ordered, ranges, [group], "inner").select(
-        group, "_n", value, (F.col("_row") - F.col("_first")).alias("_pos")
-    )
-    draws = placed.select(
-        group, "_n", "_pos", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep")
-    )
-    digest = F.md5(
-        F.concat_ws("#", F.lit(str(seed)), F.col("_rep").cast("string"), F.col("_pos").cast("string")).cast("binary")
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"), F.avg(value).alias("mean")
     )
-    number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
-    drawn = draws.select(group, "_rep", (number % F.col("_n")).alias("_pos"))
-    means = (
-        null_safe(drawn, placed.select(group, "_pos", value), [group, "_pos"], "inner")
-        .groupBy(group, "_rep").agg(F.avg(value).alias("_mean"))
+    place = F.col("_row") - F.col("_first")
+    blocks = null_safe(ordered, ranges, [group], "inner").groupBy(
+        group, F.floor(place / block).cast("long").alias("_block")
+    ).agg(F.transform(F.array_sort(F.collect_list(F.struct("_row", F.col(value).alias("_v")))), lambda p: p["_v"]).alias("_values"))
+
+    def number(*parts: Column) -> Column:
+        text = F.concat_ws("#", F.lit(str(seed)), *[p.cast("string") for p in parts])
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("bigint")
+
+    # few rows with much work behind each: a fixed number of tasks
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = ranges.select(group, "_n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep")).repartition(tasks, "_rep")
+    dealt = turns.select(group, "_n", "_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i")).select(
+        group, "_rep", F.floor(number(F.col("_rep"), F.col("_i")) % F.col("_n") / block).cast("long").alias("_block")
+    ).groupBy(group, "_rep", "_block").agg(F.count(F.lit(1)).alias("_draws"))
+    drawn = F.aggregate(
+        F.sequence(F.lit(0).cast("long"), F.col("_draws") - 1), F.lit(0.0),
+        lambda acc, j: acc + F.get(F.col("_values"), (number(F.col("_rep"), F.col("_block"), j) % F.size("_values")).cast("int")),
     )
+    sums = null_safe(dealt, blocks, [group, "_block"], "inner").select(group, "_rep", drawn.alias("_sum"))
+    totals = null_safe(sums.groupBy(group, "_rep").agg(F.sum("_sum").alias("_sum")), ranges, [group], "inner")
+    means = totals.select(group, (F.col("_sum") / F.col("_n")).alias("_mean"))
+    # a group has one mean per replicate
     bounds = means.groupBy(group).agg(
         F.percentile("_mean", 0.025).alias("ci_low"), F.percentile("_mean", 0.975).alias("ci_high")
     )
-    base = placed.groupBy(group).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    base = ranges.select(group, "mean", F.col("_n").alias("n"))
     out = null_safe(base, bounds, [group], "left")
     return out.drop("_g") if by is None else out
 
@@ -116,9 +129,16 @@ def bootstrap_mean(
 def band_accuracy(
     df: DataFrame, band: str, bands: Sequence[str] = ("High", "Medium", "Low"),
     records: str = "validation_records_n", correct: str = "correct_records_n",
-    rate: str = "record_match_rate", match: str = "dominant_matches",
+    rate: str = "record_match_rate", match: str = "dominant_matches", key: str = "species_key",
+    reps: int = BOOTSTRAP_REPS, seed: int = BOOTSTRAP_SEED, block: int = BOOTSTRAP_BLOCK,
 ) -> DataFrame:
-    """Micro, macro and dominant-label accuracy overall and per band, with Wilson bounds."""
+    """Micro, macro and dominant-label accuracy overall and per band, with Wilson bounds and,
+    for the macro mean, bootstrap bounds."""
+    inside = df.where(F.col(band).isin(list(bands)))
+    scopes = df.withColumn(band, F.lit("All")).unionByName(inside.select(*df.columns))
+    macro = bootstrap_mean(scopes, rate, key, band, reps, seed, block).select(
+        F.col(band).alias("group_name"), F.col("ci_low").alias("macro_low"), F.col("ci_high").alias("macro_high")
+    )
     grouped = df.groupingSets([[], [band]], band).agg(
         F.grouping(band).alias("_all"),
         F.count(F.lit(1)).alias("species_n"),
@@ -131,7 +151,7 @@ def band_accuracy(
     scoped = grouped.withColumn("_total", total).where(
         (F.col("_all") == 1) | F.col(band).isin(list(bands))
     )
-    return scoped.select(
+    rows = scoped.select(
         F.when(F.col("_all") == 1, "All").otherwise(F.col(band)).alias("group_name"),
         "species_n", "records_n", "correct_n", "matches_n",
         ratio("species_n", "_total").alias("species_coverage"),
@@ -141,6 +161,7 @@ def band_accuracy(
         ratio("matches_n", "species_n").alias("dominant_accuracy"),
         dominant[0].alias("dominant_low"), dominant[1].alias("dominant_high"),
     )
+    return rows.join(macro, "group_name", "left")
 
 
 def threshold_grid(
@@ -280,18 +301,20 @@ def weighted_coverage(df: DataFrame, flag: Column, weight: str) -> DataFrame:
 
 def performance(df: DataFrame, band: str) -> DataFrame:
     """Counts, rates, unclipped intervals and medians overall and per band."""
-    grouped = df.groupingSets([[], [band]], band).agg(
-        F.grouping(band).alias("_all"),
+    middle = quantiles(df, ["assigned_records_n", "record_match_rate", "dominant_proportion", "overlay_coverage"], 0.5, band)
+    medians = middle.select(
+        "_all", band, F.col("assigned_records_n").alias("assigned_records_median"), F.col("record_match_rate").alias("match_rate_median"),
+        F.col("dominant_proportion").alias("dominant_proportion_median"), F.col("overlay_coverage").alias("overlay_coverage_median"),
+    )
+    counted = df.groupingSets([[], [band]], band).agg(
+        F.grouping(band).cast("int").alias("_all"),
         F.count(F.lit(1)).alias("species_n"),
-        F.median("assigned_records_n").alias("assigned_records_median"),
         F.sum("validation_records_n").alias("validation_records_n"),
         F.sum("correct_records_n").alias("correct_records_n"),
         F.avg("record_match_rate").alias("match_rate_mean"),
-        F.median("record_match_rate").alias("match_rate_median"),
         F.count_if("dominant_matches").alias("matches_n"),
-        F.median("dominant_proportion").alias("dominant_proportion_median"),
-        F.median("overlay_coverage").alias("overlay_coverage_median"),
     )
+    grouped = null_safe(counted, medians, ["_all", band], "left")
     rec = wilson("correct_records_n", "validation_records_n", 1.96, clip=False)
     dom = wilson("matches_n", "species_n", 1.96, clip=False)
     return grouped.withColumns(

@@ -197,6 +197,44 @@ def prepare_centroids(lookup: DataFrame, ks: Sequence[str]) -> DataFrame:
     )
 
 
+def country_reference(
+    attrs: DataFrame, keys: Sequence[str], short: Sequence[str], numeric: Sequence[str],
+    names: Sequence[str], own_code: str, parent_names: Sequence[str],
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reference tables of an administrative attribute table: codes(code, entity),
+    names(name_key, entity) and canonical(entity, name).
+
+    An entity's stable key is the first of its `keys` that is filled; rows without one are left
+    out. All filled keys, short codes and numeric codes (padded to three digits) lead to it. A
+    row whose `own_code` differs from its key is a territory: names it shares with its parent
+    (`parent_names` of the row) are not its own, so that they keep meaning the parent alone.
+    """
+    def filled(c: str) -> Column:
+        text = null_tokens(F.col(c).cast("string"), T.ADMIN, collapse=True)
+        return F.when(~text.isin("", "-99"), text)
+
+    upper = {c: F.upper(filled(c)) for c in (*keys, *short)}
+    padded = [F.lpad(filled(c), F.greatest(F.lit(3), F.length(filled(c))), F.lit("0")) for c in numeric]
+    own = F.upper(filled(own_code))
+    rows = attrs.select(
+        F.coalesce(*[upper[c] for c in keys]).alias("entity"), own.alias("_own"),
+        F.array_compact(F.array(*upper.values(), *padded)).alias("_codes"),
+        F.array_compact(F.array(*[filled(c) for c in names])).alias("_names"),
+        F.array_compact(F.array(*[filled(c) for c in parent_names])).alias("_parents"),
+    ).where("entity is not null")
+    codes = rows.select(F.explode("_codes").alias("code"), "entity").distinct()
+    territory = F.coalesce(F.col("_own") != F.col("entity"), F.lit(False))
+    named = rows.select("entity", territory.alias("_territory"), "_parents", F.posexplode("_names").alias("_pos", "_name"))
+    named = fold_key(named, "_name", "name_key")
+    shared = fold_key(
+        rows.where(territory).select("entity", F.explode("_parents").alias("_parent")), "_parent", "name_key"
+    ).select("entity", "name_key").distinct().withColumn("_territory", F.lit(True))
+    kept = named.join(shared, ["entity", "name_key", "_territory"], "left_anti")
+    first = kept.groupBy("entity").agg(F.min(F.struct("_pos", "_name"))["_name"].alias("name"))
+    canonical = rows.select("entity").distinct().join(first, "entity", "left").select("entity", F.coalesce("name", "entity").alias("name"))
+    return codes, kept.where("name_key <> ''").select("name_key", "entity").distinct(), canonical
+
+
 def resolve_entity(
     df: DataFrame, code_col: str, name_col: str, ref_codes: DataFrame, ref_names: DataFrame,
     review_terms: Iterable[str] = T.REVIEW_COUNTRIES,
@@ -207,7 +245,8 @@ def resolve_entity(
 
     ref_codes(code, entity) and ref_names(name_key, entity) may map one key to several
     entities; such keys are ambiguous. A conflict between code and name beats both, a valid
-    code beats any problem with the name, and a name may end at its first colon.
+    code beats any problem with the name, and a name may end at its first colon. The status and
+    method words are fixed values.
     """
     codes = ref_codes.union(_follow(ref_codes, code_aliases, "code"))
     names = ref_names.union(_follow(ref_codes, aliases, "name_key"))
@@ -260,10 +299,10 @@ def resolve_entity(
         F.when(key == "", "")
         .when(key.isin(list(review_terms)), "historical_or_special_name")
         .when((F.col("_n_n") == 1) & known_alias, "exact_alias")
-        .when(F.col("_n_n") == 1, "exact_name")
-        .when(F.col("_n_n") > 1, "multiple_name_matches")
-        .when(F.col("_h_n") == 1, "exact_prefix_before_locality")
-        .otherwise("name_not_recognised")
+        .when(F.col("_n_n") == 1, "natural_earth_exact_name")
+        .when(F.col("_n_n") > 1, "multiple_natural_earth_name_matches")
+        .when(F.col("_h_n") == 1, "exact_country_prefix_before_locality")
+        .otherwise("country_name_not_recognised")
     )
     met = met.withColumns(
         {"code_status": code_status, "name_status": name_status, "name_method": name_method}
@@ -288,13 +327,13 @@ def resolve_entity(
     )
     bad_code = F.col("code_status") == "invalid"
     method = (
-        F.when(conflict, "valid_code_conflicts_with_name")
-        .when(from_code.isNotNull(), "valid_input_code")
+        F.when(conflict, "valid_iso_conflicts_with_country_name")
+        .when(from_code.isNotNull(), "valid_input_iso")
         .when(from_name.isNotNull(), F.col("name_method"))
         .when(nothing, "none")
         .when(F.col("name_status") == "needs_manual_review", F.col("name_method"))
-        .when(bad_code & F.col("name_status").isin("unresolved", "missing"), "invalid_code_and_unresolved_name")
-        .when(bad_code, "invalid_input_code")
+        .when(bad_code & F.col("name_status").isin("unresolved", "missing"), "invalid_iso_and_unresolved_name")
+        .when(bad_code, "invalid_input_iso")
         .when(F.col("name_method") != "", F.col("name_method"))
         .otherwise("country_not_resolved")
     )

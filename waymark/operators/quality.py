@@ -89,6 +89,14 @@ def gate_holdout_sample(
     return checks.where((F.col("rows_n") != n) | (F.col("clusters_n") != F.col("rows_n")) | (F.col("thin_n") > 0))
 
 
+def gate_known_words(df: DataFrame, col: str, words: Iterable[str]) -> DataFrame:
+    """Words of a column outside the allowed ones, with their rows."""
+    word = F.lower(F.trim(F.col(col).cast("string")))
+    return df.select(word.alias("word")).where(F.col("word").isNotNull() & ~F.col("word").isin(list(words))).groupBy(
+        "word"
+    ).agg(F.count(F.lit(1)).alias("rows_n"))
+
+
 def gate_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Non-numeric, negative and fractional values per count column."""
     aggs = []

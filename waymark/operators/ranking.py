@@ -131,6 +131,40 @@ def running_total(
     )
 
 
+def quantiles(
+    df: DataFrame, cols: Sequence[str], q: float = 0.5, by: str | None = None,
+) -> DataFrame:
+    """Exact interpolated quantiles of several columns, overall and per value of `by`.
+
+    Returns (_all, by, one column each). Values are counted first; running sums of the counts
+    over range-partitioned values tell which values stand at the wanted places, so no task
+    ever holds a column. Null and NaN values do not count.
+    """
+    ks = ["_all", *([by] if by else []), "_col"]
+    scope = F.array(F.lit(1), F.lit(0)) if by else F.array(F.lit(1))
+    pairs = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_value")) for c in cols])
+    long = df.select(*([by] if by else []), F.explode(pairs).alias("_p")).select(
+        *([by] if by else []), "_p.*", F.explode(scope).alias("_all")
+    ).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    if by:
+        long = long.withColumn(by, F.when(F.col("_all") == 0, F.col(by)))
+    counts = long.groupBy(*ks, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    summed = running_total(counts, [*[F.asc_nulls_first(k) for k in ks], F.asc("_value")], {"_to": "_n"})
+    ends = summed.groupBy(*ks).agg(F.min(F.col("_to") - F.col("_n")).alias("_base"), F.sum("_n").alias("_size"))
+    at = (F.col("_size") - 1) * F.lit(q)
+    placed = null_safe(summed, ends, ks, "inner").withColumns(
+        {"_at": at, "_low": F.col("_base") + F.floor(at), "_high": F.col("_base") + F.ceil(at)}
+    )
+
+    def value(place: str) -> Column:
+        here = (F.col("_to") - F.col("_n") <= F.col(place)) & (F.col(place) < F.col("_to"))
+        return F.max(F.when(here, F.col("_value")))
+
+    share = F.max("_at") - F.floor(F.max("_at"))
+    found = placed.groupBy(*ks).agg((value("_low") * (1 - share) + value("_high") * share).alias("_q"))
+    return found.groupBy(*ks[:-1]).agg(*[F.max(F.when(F.col("_col") == c, F.col("_q"))).alias(c) for c in cols])
+
+
 def number_rows(
     df: DataFrame, order: Sequence[Column], out: str = "row_id", start: int = 1,
     fmt: str | None = None,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions.stats import percent
 from waymark.functions.text import null_tokens
 from waymark.functions import tokens as T
-from waymark.operators.ranking import first_k
+from waymark.operators.ranking import first_k, null_safe, quantiles
 
 
 def count_by(df: DataFrame, ks: Sequence[str], name: str = "records_n") -> DataFrame:
@@ -148,15 +148,14 @@ def examples(df: DataFrame, cols: Sequence[str], k: int = 15) -> DataFrame:
 
 
 def medians(df: DataFrame, cols: Sequence[str], by: str) -> DataFrame:
-    """Exact medians overall and per group; for entity-level tables."""
+    """Exact medians overall and per group."""
     grouped = df.groupingSets([[], [by]], by).agg(
-        F.count(F.lit(1)).alias("rows_n"),
-        *[F.median(c).alias(f"{c}_median") for c in cols],
-        F.grouping(by).alias("_all"),
+        F.count(F.lit(1)).alias("rows_n"), F.grouping(by).cast("int").alias("_all"),
     )
+    middle = quantiles(df, cols, 0.5, by)
     scope = F.when(F.col("_all") == 1, "Overall").otherwise(F.col(by))
-    return grouped.select(
-        scope.alias("performance_group"), "rows_n", *[f"{c}_median" for c in cols]
+    return null_safe(grouped, middle, ["_all", by], "left").select(
+        scope.alias("performance_group"), "rows_n", *[F.col(c).alias(f"{c}_median") for c in cols]
     )
 
 

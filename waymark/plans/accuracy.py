@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import tokens as T
 from waymark.functions.coords import in_range
 from waymark.functions.names import explode_names
-from waymark.functions.text import canonical_band, canonical_label, null_tokens, parse_bool
+from waymark.functions.text import canonical_band, canonical_label, null_tokens, parse_bool, strip
 from waymark.operators.accuracy import (
     BAND_TARGETS, BOOTSTRAP_SEED, MIN_BAND_SPECIES, as_fraction, audit, band_accuracy,
     entity_metrics, recommend_thresholds,
@@ -30,7 +30,7 @@ def prepare_predictions(taxa: DataFrame, names: str = "input_names") -> DataFram
     taxa has input_names, dominant_label, taxon_confidence, dominant_proportion,
     assigned_records_n, overlay_coverage. A species with two different labels fails the job.
     """
-    scaled = as_fraction(as_fraction(taxa, "dominant_proportion"), "overlay_coverage")
+    scaled = as_fraction(taxa, "dominant_proportion", "overlay_coverage")
     named = explode_names(scaled, names, "species_name").withColumns(
         {
             "species_key": F.lower("species_name"),
@@ -52,9 +52,18 @@ def prepare_predictions(taxa: DataFrame, names: str = "input_names") -> DataFram
     )
 
 
-def truth_rows(records: DataFrame, flag: str | None = None) -> DataFrame:
-    """Records with a known label at an original coordinate."""
-    known = canonical_label("label").isNotNull() & in_range("original_latitude", "original_longitude")
+def truth_rows(records: DataFrame, flag: str | None = None, source: str = "final_source") -> DataFrame:
+    """Records with a known label at an original coordinate.
+
+    A table without original coordinates must say where its coordinates come from in `source`;
+    those called "original" count then."""
+    if {"original_latitude", "original_longitude"} <= set(records.columns):
+        known = in_range("original_latitude", "original_longitude")
+    elif source in records.columns:
+        known = F.lower(strip(F.coalesce(F.col(source).cast("string"), F.lit("")))) == "original"
+    else:
+        raise ValueError(f"truth needs original_latitude and original_longitude, or {source}")
+    known = canonical_label("label").isNotNull() & known
     if flag is not None:
         known = known & parse_bool(flag, T.TRUE_LOOKUP)
     return records.where(known).select(

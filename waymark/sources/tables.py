@@ -69,9 +69,39 @@ def sink(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet"
     writer.save(path)
 
 
-def fan_out(df: DataFrame, class_col: str, classes: Iterable[str]) -> dict[str, DataFrame]:
-    """One frame per class; write with partitionBy(class_col) to produce all in one pass."""
-    return {c: df.where(F.col(class_col) == c) for c in classes}
+def sink_by_class(df: DataFrame, class_col: str, path: str, classes: DataFrame) -> None:
+    """Write every class of a table to a part of its own, all in one pass.
+
+    `classes` (one column, class_col) names the classes there should be. Their row counts are
+    written beside the parts, an absent class with 0. The rows are spread by class and hash, so
+    that a large class is written by many tasks and a small one leaves few files.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").partitionBy(class_col).parquet(f"{path}/parts")
+    # read by the folders alone, with the schema that an empty table would not tell
+    counts = _parts(spark, path, df.schema).groupBy(class_col).agg(F.count(F.lit(1)).alias("rows_n"))
+    wanted = classes.select(F.col(class_col).alias("_c")).distinct()
+    both = wanted.join(counts, F.col("_c").eqNullSafe(F.col(class_col)), "left")
+    sink(both.select(F.col("_c").alias(class_col), F.coalesce("rows_n", F.lit(0)).cast("long").alias("rows_n")), f"{path}/classes")
+    # a table of no rows carries the schema for classes without rows
+    sink(df.limit(0), f"{path}/schema")
+
+
+def _parts(spark: SparkSession, path: str, schema: ST.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/parts")
+
+
+def read_classes(spark: SparkSession, path: str) -> DataFrame:
+    """The classes of a partitioned sink and their row counts."""
+    return spark.read.parquet(f"{path}/classes")
+
+
+def read_class(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One class of a partitioned sink; only its own files are read. A class without rows is an
+    empty frame of the same columns."""
+    schema = spark.read.parquet(f"{path}/schema").schema
+    class_col = spark.read.parquet(f"{path}/classes").columns[0]
+    return _parts(spark, path, schema).where(F.col(class_col) == name)
 
 
 def publish(
