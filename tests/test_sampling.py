@@ -131,3 +131,33 @@ def test_sizes_above_capacity_are_refused(spark, mode):
     df = spark.createDataFrame([("a", 3), ("b", 5)], "s string, cap long")
     with pytest.raises(Exception, match="exceeds the total capacity"):
         allocate(df, "s", "cap", 20, mode).collect()
+
+
+def test_first_rows_for_any_k(spark):
+    from waymark.operators.ranking import first_k
+
+    rows = [(None if i % 7 == 0 else i % 3, (i * 7919) % 5003, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "g int, v int, i int").repartition(5)
+    for k in (3, 1000, 1001, 1900):
+        got = first_k(df, ["g"], [F.col("v").desc(), F.col("i").asc()], k).collect()
+        want = []
+        for g in (None, 0, 1, 2):
+            want += sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:k]
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from waymark.operators.ranking import quantiles
+
+    rng = np.random.default_rng(2)
+    rows = [(str(rng.integers(3)) if i % 9 else None, float(rng.integers(40)) if i % 4 else None, float(rng.random())) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    for q in (0.5, 0.25, 1.0):
+        got = {(r["_all"], r["g"]): (r["a"], r["b"]) for r in quantiles(df, ["a", "b"], q, "g").collect()}
+        for g in ("0", "1", "2", None, "all"):
+            mine = [r for r in rows if g == "all" or r[0] == g]
+            want = [np.quantile([r[k] for r in mine if r[k] is not None], q) for k in (1, 2)]
+            assert np.allclose(got[(1, None) if g == "all" else (0, g)], want)
+    assert quantiles(df.limit(0), ["a"], 0.5).count() == 0

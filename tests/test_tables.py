@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.quality import GateFailed, gate_unique
 from waymark.sources.regions import clean_label
-from waymark.sources.tables import fan_out, publish, published, resolve_roles, scan, sink
+from waymark.sources.tables import fan_out, publish, published, read_class, read_classes, resolve_roles, scan, sink, sink_by_class
 
 
 def test_roles_prefer_the_first_alias(spark):
@@ -43,3 +43,14 @@ def test_fan_out_and_labels(spark):
     assert {k: v.count() for k, v in fan_out(df, "c", ["a", "b"]).items()} == {"a": 2, "b": 1}
     labels = spark.createDataFrame([(" Oceania_simplify2",), ("N/A",), ("x",)], "l string")
     assert [r[0] for r in labels.select(clean_label(F.col("l"))).collect()] == ["Oceania", None, "x"]
+
+
+def test_classes_in_one_pass(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "c string, n int")
+    wanted = spark.createDataFrame([("a",), ("b",), ("none",)], "c string")
+    for frame, counts in ((df, {"a": 2, "b": 1, "none": 0}), (df.limit(0), {"a": 0, "b": 0, "none": 0})):
+        path = f"{tmp_path}/{len(counts)}-{sum(counts.values())}"
+        sink_by_class(frame, "c", path, wanted)
+        assert {r.c: r.rows_n for r in read_classes(spark, path).collect()} == counts
+        assert sorted(r.n for r in read_class(spark, path, "a").collect()) == ([1, 3] if counts["a"] else [])
+        assert set(read_class(spark, path, "none").columns) == {"c", "n"} and read_class(spark, path, "none").count() == 0

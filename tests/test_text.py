@@ -115,3 +115,15 @@ def test_fold_key_equals_the_unicode_tables(spark):
     got = {r["i"]: r["k"] for r in out.collect()}
     assert [got[i] for i in range(len(texts))] == [key(t) for t in texts]
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strict_flags_stop_at_unknown_words(spark):
+    import pytest
+
+    from waymark.functions.text import strict_bool
+
+    flags = spark.createDataFrame([(" Yes",), ("0",), (None,)], "w string")
+    assert [r[0] for r in flags.select(strict_bool("w", ("yes", "1"), ("no", "0"))).collect()] == [True, False, False]
+    bad = spark.createDataFrame([("maybe",)], "w string")
+    with pytest.raises(Exception, match="not a flag: 'maybe'"):
+        bad.select(strict_bool("w", ("yes",), ("no",)).alias("x")).collect()

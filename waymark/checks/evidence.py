@@ -365,11 +365,12 @@ def _(spark, sf):
     return keep_keys(exclude(pool, hidden, ks), hidden.select("cluster_id"), ["cluster_id"]).select(*ks)
 
 
-@check("j11_leakage_probe", "SELECT cluster_id FROM o_rest WHERE FALSE")
+@check("j11_leakage_probe", "SELECT count(*) AS probed_n, 0 AS leaked_n FROM o_hidden")
 def _(spark, sf):
     pool, hidden = hidden_and_evidence(spark, sf)
     ks = ["cluster_id", "location_latitude", "location_longitude"]
-    return leakage(exclude(pool, hidden, ks), hidden, ks).select("cluster_id")
+    leaked = leakage(exclude(pool, hidden, ks), hidden, ks).agg(F.count(F.lit(1)))
+    return hidden.agg(F.count(F.lit(1)).alias("probed_n")).withColumn("leaked_n", leaked.scalar())
 
 
 @check(

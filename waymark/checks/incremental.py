@@ -10,7 +10,7 @@ from waymark.checks.base import VIEWS, check, table
 from waymark.functions.hashing import stable_hash
 from waymark.operators.lookup import pending
 from waymark.session import shared_folder
-from waymark.streaming.incremental import absorb, current, outstanding
+from waymark.streaming.incremental import absorb, compact, current, outstanding
 
 ORDER = ["seq"]
 
@@ -43,6 +43,20 @@ def _(spark, sf):
     return streamed(spark, sf)
 
 
+@check("i03_compacted_stream_equals_batch", "SELECT * FROM o_last")
+def _(spark, sf):
+    """Four drops of files, folded into a generation after each but the last."""
+    base = f"{shared_folder(spark)}/compacted-{uuid.uuid4().hex}"
+    ks, order = ["query_name"], [F.col("seq").desc()]
+    events = table(spark, sf, "events")
+    for drop in range(4):
+        events.where(F.pmod(F.col("event_id"), F.lit(4)) == drop).write.mode("append").parquet(f"{base}/in")
+        absorb(spark, f"{base}/in", events.schema, f"{base}/state", f"{base}/checkpoint", _journal, ks, order, glob="*.parquet")
+        if drop < 3:
+            compact(spark, f"{base}/state", ks, order)
+    return current(spark, f"{base}/state", ks, order)
+
+
 @check(
     "i02_outstanding_after_stream",
     """SELECT CAST(c_custkey AS varchar) AS query_name FROM customer

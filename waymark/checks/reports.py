@@ -47,6 +47,16 @@ def _(spark, sf):
     return examples(bridge(spark, sf, "b_record"), _COLS)
 
 
+@check(
+    "a27_many_examples",
+    f"""SELECT 'record_id' AS column_name, v AS example FROM (SELECT DISTINCT {nulled('record_id', T.POOL)} AS v FROM b_record
+      WHERE ({nulled('record_id', T.POOL)}) IS NOT NULL ORDER BY v LIMIT 5000) t""",
+)
+def _(spark, sf):
+    many = examples(bridge(spark, sf, "b_record"), ["record_id"], 5000)
+    return many.select("column_name", F.explode(F.split("examples", r" \| ")).alias("example"))
+
+
 @check(
     "a30_distinct_counts",
     "SELECT count(DISTINCT cluster_id) AS clusters_n, count(DISTINCT species) AS species_n, count(DISTINCT record_id) AS records_n FROM b_record",

@@ -19,6 +19,8 @@ from waymark.session import cut_lineage
 
 #: Rows of a sorting bucket of the largest stratum, at most about this many.
 BUCKET_ROWS = 50_000
+#: Up to this k Spark prunes row_number filters itself (the engine's default limit).
+PRUNED_K = 1000
 
 
 def null_safe(left: DataFrame, right: DataFrame, ks: Sequence[str], how: str) -> DataFrame:
@@ -37,8 +39,22 @@ def pick_one(df: DataFrame, ks: Sequence[str], order: Sequence[Column]) -> DataF
 
 
 def first_k(df: DataFrame, ks: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    w = Window.partitionBy(*ks).orderBy(*order)
-    return df.withColumn("_pick", F.row_number().over(w)).where(F.col("_pick") <= k).drop("_pick")
+    """The first k rows of every key; the order must end with a unique column.
+
+    Up to `PRUNED_K` Spark keeps k rows per key and task before the shuffle. Beyond that rows
+    are range-partitioned by key and order, and counts per (range, key) tell which ranges a key
+    has filled already: their rows are dropped unsorted, and no key is sorted by one task."""
+    if k <= PRUNED_K:
+        w = Window.partitionBy(*ks).orderBy(*order)
+        return df.withColumn("_pick", F.row_number().over(w)).where(F.col("_pick") <= k).drop("_pick")
+    spread = _spread_sorted(df, [*[F.asc_nulls_first(c) for c in ks], *order])
+    sizes = spread.groupBy(*ks, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*ks).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).where(F.col("_before") < k)
+    placed = null_safe(spread, before.drop("_size"), [*ks, "_part"], "inner")
+    inside = Window.partitionBy(*ks, "_part").orderBy(*order)
+    rank = F.row_number().over(inside) + F.col("_before")
+    return placed.withColumn("_pick", rank).where(F.col("_pick") <= k).drop("_pick", "_part", "_before")
 
 
 def top_with_ties(df: DataFrame, ks: Sequence[str], order: Column) -> DataFrame:

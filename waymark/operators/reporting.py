@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.stats import percent
@@ -20,9 +20,7 @@ def count_by(df: DataFrame, ks: Sequence[str], name: str = "records_n") -> DataF
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count and percentage of every value, missing included."""
     counts = count_by(df, [col])
-    whole = Window.partitionBy()
-    # the window sees one row per value
-    return counts.withColumn("percentage", percent("records_n", F.sum("records_n").over(whole)))
+    return counts.withColumn("percentage", percent("records_n", counts.agg(F.sum("records_n")).scalar()))
 
 
 def facets(df: DataFrame, sets: dict[str, Sequence[str]], keep: Column | None = None) -> DataFrame:
@@ -48,8 +46,14 @@ def facets(df: DataFrame, sets: dict[str, Sequence[str]], keep: Column | None =
         name = F.when(here, facet) if name is None else name.when(here, facet)
         value = F.when(here, text) if value is None else value.when(here, text)
     long = grouped.select(name.alias("facet"), value.alias("value"), "records_n")
-    total = F.sum("records_n").over(Window.partitionBy("facet"))
-    return long.withColumn("percentage", percent("records_n", total))
+    return _with_share(long, "facet", "records_n")
+
+
+def _with_share(counts: DataFrame, scope: str, n: str) -> DataFrame:
+    """Percentages within each scope: totals are an aggregate of their own, joined by the scope."""
+    totals = counts.groupBy(F.col(scope).alias("_scope")).agg(F.sum(n).alias("_total"))
+    shared = counts.join(totals, F.col(scope) == F.col("_scope"))
+    return shared.withColumn("percentage", percent(n, F.col("_total"))).drop("_scope", "_total")
 
 
 def decision_summary(df: DataFrame, decision: str, by: str) -> DataFrame:
@@ -59,8 +63,7 @@ def decision_summary(df: DataFrame, decision: str, by: str) -> DataFrame:
     )
     scope = F.when(F.col("_all") == 1, "overall").otherwise(F.coalesce(F.col(by), F.lit("missing")))
     scoped = grouped.select(scope.alias("scope"), decision, "names_n")
-    total = F.sum("names_n").over(Window.partitionBy("scope"))
-    return scoped.withColumn("percentage", percent("names_n", total))
+    return _with_share(scoped, "scope", "names_n")
 
 
 def category_summary(df: DataFrame, ks: Sequence[str], sums: Sequence[str], name: str) -> DataFrame:
@@ -135,7 +138,7 @@ def profile(df: DataFrame, cols: Sequence[str], tokens: Sequence[str] = T.POOL)
 
 
 def examples(df: DataFrame, cols: Sequence[str], k: int = 15) -> DataFrame:
-    """The k smallest distinct non-missing values of each column."""
+    """The k smallest distinct non-missing values of each column, for any k."""
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column_name"),
                    null_tokens(F.col(c).cast("string"), T.POOL).alias("value")) for c in cols]

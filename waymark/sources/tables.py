@@ -69,12 +69,16 @@ def sink(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet"
     writer.save(path)
 
 
+def fan_out(df: DataFrame, class_col: str, classes: Iterable[str]) -> dict[str, DataFrame]:
+    """One frame per class; `sink_by_class` writes all classes in one pass."""
+    return {c: df.where(F.col(class_col) == c) for c in classes}
+
+
 def sink_by_class(df: DataFrame, class_col: str, path: str, classes: DataFrame) -> None:
     """Write every class of a table to a part of its own, all in one pass.
 
     `classes` (one column, class_col) names the classes there should be. Their row counts are
-    written beside the parts, an absent class with 0. The rows are spread by class and hash, so
-    that a large class is written by many tasks and a small one leaves few files.
+    written beside the parts, an absent class with 0. 
     """
     spark = df.sparkSession
     df.write.mode("overwrite").partitionBy(class_col).parquet(f"{path}/parts")
