@@ -15,34 +15,52 @@ from waymark.llm.common import scratch  # noqa: E402
 from waymark.llm.queries import PIECES, vocabulary  # noqa: E402
 
 
+#: Columns that the stages read; all others travel under names that no operator uses.
+READ = ("doc_id", "text", "source")
+
+
+def hidden(docs: DataFrame) -> DataFrame:
+    """`docs` with every column that no stage reads renamed, so that no operator's own columns
+    can clash with it."""
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c not in READ})
+
+
+def shown(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` out of a stage's result, under their own names."""
+    return out.select(*(F.col(c if c in READ else f"_own_{c}").alias(c) for c in docs.columns))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_classifier.classify(docs, labels)
-    return scored.where(F.col("quality_score") >= quality_classifier.CUT).select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    scored = quality_classifier.classify(hidden(docs), labels)
+    return shown(scored.where(F.col("quality_score") >= quality_classifier.CUT), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat one of an earlier document; n_chars follows."""
-    cut = line_dedup.dedup_lines(docs, line_dedup.NOT_BLANK)
+    cut = line_dedup.dedup_lines(hidden(docs), line_dedup.NOT_BLANK)
     if "n_chars" in docs.columns:
-        size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, size).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        size, old = F.length("text").cast(docs.schema["n_chars"].dataType), F.col("_own_n_chars")
+        cut = cut.withColumn("_own_n_chars", F.when(F.col("n_dropped") > 0, size).otherwise(old))
+    return shown(cut, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate group, by five-word shingles: that with the
     smallest doc_id. Rows that are equal in doc_id and text are one."""
-    kept = near_dup.first_rows(docs, width=5).withColumnsRenamed({"doc_id": "_id", "content": "_content"})
+    mine = hidden(docs)
+    kept = near_dup.first_rows(mine, width=5).withColumnsRenamed({"doc_id": "_id", "content": "_content"})
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content"))
-    found = docs.join(kept, same).groupBy("_id", "_content").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return found.select("row.*")
+    sortable = [c for c, t in mine.dtypes if "map<" not in t and "variant" not in t]
+    row = F.min_by(F.struct(*mine.columns), F.struct(*sortable)).alias("_row")
+    return shown(mine.join(kept, same).groupBy("_id", "_content").agg(row).select("_row.*"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: every document as often as its source's target asks for."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    mine = hidden(docs)
+    return shown(mixing.repeated(mixing.mix(mine), mine.columns), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
