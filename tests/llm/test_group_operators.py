@@ -142,6 +142,20 @@ def test_bands_of_short_lines_lose_no_pair(shared, one, two):
     assert (a == b).any(1).all()
 
 
+def test_shingle_bits_differ_in_no_more_places_than_the_sets():
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    keys = [text(rng.choice([8, 9, 30, 400, 3000])) for _ in range(40)]
+    keys += [k[:5] + "x" + k[6:] for k in keys]
+    bits = line_dedup.shingle_bits(*line_dedup.rolling(pa.array(keys)), len(keys))
+    assert bits.shape == (80, line_dedup.WORDS) and len(np.unique(bits[:, -1])) > 1
+    sets = [{k[i:i + 8] for i in range(len(k) - 7)} for k in keys]
+    for i in range(80):
+        for j in range(i):
+            apart = sum(int(x).bit_count() for x in (bits[i] ^ bits[j]).view(np.uint64))
+            assert apart <= len(sets[i] ^ sets[j])
+
+
 def test_lone_pairs_of_short_lines_are_linked(spark):
     """Nothing but the pair shares its bands, so no third line can stand in for a lost link."""
     rng = np.random.default_rng(4)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import discard, hash_names, mix, slices, stored
@@ -23,8 +23,13 @@ SHINGLE = 8
 MIN_CHARS = 20
 NOT_BLANK = 1
 #: The bands use all bins. Short lines fill few bins and the rest are copies, so no sketch is
-#: trusted to tell pairs apart: every candidate pair is checked on its full sets.
+#: trusted to tell pairs apart: candidates are checked on their full sets, but for those whose
+#: shingle bits already differ in more places than similar lines can.
 BINS, BANDS, ROWS = 64, 16, 4
+#: Words of 64 bits for the shingles that a line holds.
+WORDS = 8
+#: Lines that are hashed at a time.
+LINES = 500
 PERCENT = 80
 
 _EMPTY = np.iinfo(np.uint64).max
@@ -41,38 +46,53 @@ def key_lines(texts: pa.Array, min_chars: int = MIN_CHARS) -> tuple[np.ndarray,
     return row[long], place[long], keys.filter(pa.array(long))
 
 
-def bin_minima(keys: pa.Array) -> np.ndarray:
-    """(lines, BINS): the least hash of a line's shingles in each bin of one permutation.
-    An empty bin takes the next filled one's value, mixed with the distance. Every line has
-    at least `SHINGLE` characters."""
-    n = len(keys)
+def rolling(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of the keys, repeats included, and the key of each. Every
+    key has at least `SHINGLE` characters."""
     codes = np.frombuffer("".join(keys.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
     ends = np.cumsum(np.asarray(pc.utf8_length(keys), dtype=np.int64))
-    out = np.full((n, BINS), _EMPTY, np.uint64)
-    if not n:
-        return out
+    if not len(keys):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        h = np.zeros(len(codes) - SHINGLE + 1, np.uint64)
-        for k in range(SHINGLE):
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h += codes[k:k + len(h)]
-    line = np.repeat(np.arange(n), np.diff(np.concatenate([[0], ends])))[:len(h)]
+        h, power, width = codes, np.uint64(0x9E3779B97F4A7C15), 1
+        while width < SHINGLE:  # a power of two
+            h = h[:-width] * power + h[width:]
+            power, width = power * power, 2 * width
+    line = np.repeat(np.arange(len(keys)), np.diff(np.concatenate([[0], ends])))[:len(h)]
     inside = np.flatnonzero(np.arange(len(h)) + SHINGLE <= ends[line])
-    h, line = mix(h[inside]), line[inside]
+    return mix(h[inside]), line[inside]
+
+
+def bin_minima(keys: pa.Array) -> np.ndarray:
+    """(lines, BINS): the least hash of a line's shingles in each bin of one permutation.
+    An empty bin takes the next filled one's value, mixed with the distance."""
+    h, line = rolling(keys)
+    out = np.full((len(keys), BINS), _EMPTY, np.uint64)
     np.minimum.at(out.reshape(-1), line * BINS + (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(6))
-    some = np.flatnonzero((out == _EMPTY).any(1))
-    part, filled = out[some], out[some]
-    for step in range(1, BINS):
-        gap = filled == _EMPTY
-        if not gap.any():
-            break
-        ahead = np.roll(part, -step, axis=1)
-        use = gap & (ahead != _EMPTY)
-        filled[use] = mix(ahead[use] + np.uint64(step << 32)) >> np.uint64(6)
-    out[some] = filled
+    row, col = np.nonzero(out == _EMPTY)
+    if len(row):
+        place = np.where(out == _EMPTY, 2 * BINS, np.arange(BINS))
+        twice = np.concatenate([place, place + BINS], axis=1)
+        ahead = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][row, col]
+        out[row, col] = mix(out[row, ahead % BINS] + ((ahead - col).astype(np.uint64) << np.uint64(32))) >> np.uint64(6)
     return out
 
 
+def shingle_bits(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """(lines, WORDS): the bits that a line's shingles set. Two lines differ in at least as many
+    shingles as bits, so `_near_bits` loses no pair that reaches the similarity."""
+    flags = np.zeros((n, 64 * WORDS), bool)
+    flags[line, (h >> np.uint64(48)).astype(np.int64) % (64 * WORDS)] = True
+    return np.packbits(flags, axis=1, bitorder="little").view("<i8")
+
+
+def _near_bits(x: str, y: str) -> Column:
+    """True wherever 100 * intersection >= PERCENT * union can hold: the difference of the two sets
+    is then at most (100 - PERCENT) / (100 + PERCENT) of their sizes' sum."""
+    apart = sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(WORDS)), F.lit(0))
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def band_hashes(low: np.ndarray) -> np.ndarray:
     """(lines, BANDS): a hash of the minima of each band."""
     bands = np.zeros((len(low), BANDS), np.uint64)
@@ -86,75 +106,80 @@ def band_hashes(low: np.ndarray) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, content, place, node) of every line that takes part, stored."""
+    """(doc_id, content, place, node) of every line that takes part, stored. A line of at least
+    `SHINGLE` characters that is the first of its kind in a slice of the texts carries its key
+    (`line`) and its bands (`b0`, …), so the texts are cut into lines once."""
+    names = [f"b{k}" for k in range(BANDS)]
+
+    def bands(keys: pa.Array) -> list[pa.Array]:
+        parts = [np.zeros((0, BANDS), np.uint64)]
+        for lo in range(0, len(keys), LINES):
+            parts.append(band_hashes(bin_minima(keys.slice(lo, LINES))))
+        return [pa.array(x) for x in np.concatenate(parts).view(np.int64).T]
+
     def describe(batches):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             row, place, keys = key_lines(batch.column("text"), min_chars)
-            at = pa.array(row)
+            coded = keys.dictionary_encode()
+            kinds, kind = coded.dictionary, np.asarray(coded.indices, dtype=np.int64)
+            node = hash_names(kinds).view(np.int64)
+            banded = np.asarray(pc.greater_equal(pc.utf8_length(kinds), SHINGLE), dtype=bool)
+            lead = np.zeros(len(kind), bool)
+            lead[np.unique(kind, return_index=True)[1]] = True
+            lead &= banded[kind]
+            pick = pa.array((np.cumsum(banded) - 1)[kind], mask=~lead)
+            kinds, at = kinds.filter(pa.array(banded)), pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(at), batch.column("content").take(at), pa.array(place.astype(np.int32)),
-                 pa.array(hash_names(keys).view(np.int64))],
-                ["doc_id", "content", "place", "node"],
+                 pa.array(node[kind]), kinds.cast(pa.string()).take(pick), *(x.take(pick) for x in bands(kinds))],
+                ["doc_id", "content", "place", "node", "line", *names],
             )
 
-    out = docs.select("doc_id", "content", "text").mapInArrow(describe, "doc_id long, content long, place int, node long")
-    return stored(out, "lines")
-
-
-def node_bands(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(node, b0, b1, …) of every different line, stored. Lines under `SHINGLE` characters have
-    no bands: only their node tells them. Repeats go within a batch, then over the whole table."""
-    names = [f"b{k}" for k in range(BANDS)]
-
-    def describe(batches):
-        for batch in slices(batches, "text", 8 << 20):
-            keys = key_lines(batch.column("text"), max(min_chars, SHINGLE))[2].dictionary_encode().dictionary
-            for lo in range(0, len(keys), 20_000):
-                some = keys.slice(lo, 20_000)
-                bands = band_hashes(bin_minima(some)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hash_names(some).view(np.int64)), *map(pa.array, bands.T)], ["node", *names]
-                )
-
-    each = docs.select("text").mapInArrow(describe, ", ".join(f"{c} long" for c in ["node", *names]))
-    return stored(each.groupBy("node").agg(*(F.first(c).alias(c) for c in names)), "line-bands")
+    schema = "doc_id long, content long, place int, node long, line string, " + ", ".join(f"{c} long" for c in names)
+    return stored(docs.select("doc_id", "content", "text").mapInArrow(describe, schema), "lines")
 
 
 def shared_bands(nodes: DataFrame) -> DataFrame:
     """(key, node, p1, p2) of every node in a band of two or more nodes; p1 and p2 are the
-    band's smallest and largest. The rows are dealt by key once; the bounds and the join read
-    the same shuffle."""
+    band's smallest and largest. `nodes` has (node, b0, …), repeats allowed. The rows are dealt by
+    key once; the bounds and the join read the same shuffle, and the bounds, the fewer, are hashed."""
+    nodes = nodes.groupBy("node").agg(*(F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
     keys = F.explode(F.array(*(f"b{k}" for k in range(BANDS)))).alias("key")
     dealt = nodes.select("node", keys).repartition("key")
     bounds = dealt.groupBy("key").agg(F.min("node").alias("p1"), F.max("node").alias("p2")).where("p1 < p2")
-    return stored(dealt.join(bounds, "key"), "band-members")
+    return stored(dealt.join(bounds.hint("shuffle_hash"), "key"), "band-members")
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, line) of the wanted (node, doc_id, content, place), stored."""
-    per_doc = wanted.groupBy("doc_id", "content").agg(F.collect_list(F.struct("node", "place")).alias("lines"))
-    per_doc = per_doc.withColumnsRenamed({"doc_id": "_d", "content": "_c"})
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("content") == F.col("_c"))
-    split = docs.join(per_doc, same).select(
-        F.explode("lines").alias("l"), F.split("text", "\n").alias("parts")
-    )
-    return stored(
-        split.select("l.node", F.col("parts")[F.col("l.place")].alias("line")).dropDuplicates(["node"]), "line-texts"
-    )
+def _with_bits(texts: DataFrame) -> DataFrame:
+    """(node, line, n, s0, …): lines with their number of shingles and the shingles' bits."""
+    names = ["n", *(f"s{k}" for k in range(WORDS))]
+
+    def describe(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, LINES):
+                some = batch.slice(lo, LINES)
+                h, line = rolling(some.column("line"))
+                bits = shingle_bits(h, line, some.num_rows)
+                n = np.bincount(line, minlength=some.num_rows)
+                yield pa.RecordBatch.from_arrays([*some.columns, *map(pa.array, [n, *bits.T])], ["node", "line", *names])
+
+    return texts.mapInArrow(describe, "node long, line string, " + ", ".join(f"{c} long" for c in names))
 
 
 def _line_sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles): 64-bit hashes of the distinct shingles of the lines' keys."""
+    """(node, shingles): 64-bit hashes of the distinct shingles of the lines."""
     def sets(batches):
-        import xxhash
+        for batch in slices(batches, "line"):
+            h, line = rolling(batch.column("line"))
+            order = np.lexsort((h, line))
+            h, line = h[order], line[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(line[new], minlength=batch.num_rows))])
+            found = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h[new].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), found], ["node", "shingles"])
 
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            keys = (t.strip().lower() for t in batch.column("line").to_pylist())
-            found = [[digest(x) - (1 << 63) for x in {k[i:i + SHINGLE] for i in range(max(1, len(k) - SHINGLE + 1))}] for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return texts.mapInArrow(sets, "node long, shingles array<long>")
+    return texts.select("node", "line").mapInArrow(sets, "node long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -166,8 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def similar(batches):
         def shingles(line):
-            line = line.strip().lower()
-            return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+            return {line[i:i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
         for batch in batches:
             keep = []
@@ -184,16 +208,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, content, places): the places of the lines that go, per document. `docs` has
     doc_id, content (a hash of the text) and text."""
     lines = occurrences(docs, min_chars)
-    nodes = node_bands(docs, min_chars)
-    members = shared_bands(nodes)
-    discard(nodes)
-    held = members.select("node").distinct()
-    first = lines.join(held, "node").groupBy("node").agg(F.min(F.struct("doc_id", "content", "place")).alias("at"))
-    first = stored(first.select("node", "at.*"), "line-nodes")
-    texts = _line_texts(docs, first.select("node", "doc_id", "content", "place"))
+    leads = lines.where("line is not null")
+    members = shared_bands(leads)
+    held = leads.select("node", "line").join(members.select("node").distinct(), "node")
+    texts = stored(_with_bits(held.dropDuplicates(["node"])), "line-texts")
     group = link_groups(
-        members, first.select("node", "place"), lambda pairs: _verified(pairs, texts),
-        lambda x, y: F.lit(True), _line_sets(texts), PERCENT,
+        members, texts.drop("line"), lambda pairs: _verified(pairs, texts), _near_bits, _line_sets(texts), PERCENT
     )
     named = lines.select("doc_id", "content", "place", "node").join(group, "node", "left").select(
         "doc_id", "content", "place", F.coalesce("component", "node").alias("component")
@@ -202,7 +222,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     at = F.struct("doc_id", "content", "place")
     keep = named.groupBy("component").agg(F.min(at).alias("keep"), F.max(at).alias("last")).where("keep <> last").drop("last")
     gone = named.join(keep, "component").where(~at.eqNullSafe(F.col("keep")))
-    return stored(gone.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places")), "dropped-lines")
+    out = stored(gone.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places")), "dropped-lines")
+    discard(lines, members, texts, named)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
