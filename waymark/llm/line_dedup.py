@@ -8,6 +8,8 @@ lines over all documents the first one by (doc_id, place) stays. Blank lines tak
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +30,8 @@ NOT_BLANK = 1
 BINS, BANDS, ROWS = 64, 16, 4
 #: Words of 64 bits for the shingles that a line holds.
 WORDS = 8
+#: Turns in which the bands are grouped.
+PARTS = 2
 #: Lines that are hashed at a time.
 LINES = 500
 PERCENT = 80
@@ -139,15 +143,20 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return stored(docs.select("doc_id", "content", "text").mapInArrow(describe, schema), "lines")
 
 
-def shared_bands(nodes: DataFrame) -> DataFrame:
-    """(key, node, p1, p2) of every node in a band of two or more nodes; p1 and p2 are the
-    band's smallest and largest. `nodes` has (node, b0, …), repeats allowed. The rows are dealt by
-    key once; the bounds and the join read the same shuffle, and the bounds, the fewer, are hashed."""
-    nodes = nodes.groupBy("node").agg(*(F.first(f"b{k}").alias(f"b{k}") for k in range(BANDS)))
-    keys = F.explode(F.array(*(f"b{k}" for k in range(BANDS)))).alias("key")
-    dealt = nodes.select("node", keys).repartition("key")
-    bounds = dealt.groupBy("key").agg(F.min("node").alias("p1"), F.max("node").alias("p2")).where("p1 < p2")
-    return stored(dealt.join(bounds.hint("shuffle_hash"), "key"), "band-members")
+def shared_bands(leads: DataFrame) -> list[DataFrame]:
+    """(key, node, p1, p2) of every node in a band of two or more nodes, in `PARTS` stored steps;
+    p1 and p2 are the band's smallest and largest. `leads` has (node, b0, …), repeats allowed.
+
+    A band meets no other band, so the parts take turns on the disk. The rows of a part are dealt
+    by key once; the bounds and the join read the same shuffle, and the bounds, the fewer, are hashed."""
+    out = []
+    for part in range(PARTS):
+        names = [f"b{k}" for k in range(part, BANDS, PARTS)]
+        nodes = leads.groupBy("node").agg(*(F.first(c).alias(c) for c in names))
+        dealt = nodes.select("node", F.explode(F.array(*names)).alias("key")).repartition("key")
+        bounds = dealt.groupBy("key").agg(F.min("node").alias("p1"), F.max("node").alias("p2")).where("p1 < p2")
+        out.append(stored(dealt.join(bounds.hint("shuffle_hash"), "key"), "band-members"))
+    return out
 
 
 def _with_bits(texts: DataFrame) -> DataFrame:
@@ -209,7 +218,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     doc_id, content (a hash of the text) and text."""
     lines = occurrences(docs, min_chars)
     leads = lines.where("line is not null")
-    members = shared_bands(leads)
+    parts = shared_bands(leads)
+    members = reduce(DataFrame.unionByName, parts)
     held = leads.select("node", "line").join(members.select("node").distinct(), "node")
     texts = stored(_with_bits(held.dropDuplicates(["node"])), "line-texts")
     group = link_groups(
@@ -223,7 +233,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keep = named.groupBy("component").agg(F.min(at).alias("keep"), F.max(at).alias("last")).where("keep <> last").drop("last")
     gone = named.join(keep, "component").where(~at.eqNullSafe(F.col("keep")))
     out = stored(gone.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places")), "dropped-lines")
-    discard(lines, members, texts, named)
+    discard(lines, *parts, texts, named)
     return out
 
 
