@@ -192,21 +192,26 @@ def _line_sets(texts: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines' full shingle sets reach the similarity."""
+    """The pairs (a, b) whose lines' full sets of shingles (64-bit hashes) reach the similarity."""
     both = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
     )
 
     def similar(batches):
-        def shingles(line):
-            return {line[i:i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
-
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist()):
-                one, two = shingles(one), shingles(two)
-                inter = len(one & two)
+        for batch in slices(slices(batches, "la"), "lb"):
+            coded = pa.concat_arrays([batch.column("la"), batch.column("lb")]).dictionary_encode()
+            sets = []
+            for lo in range(0, len(coded.dictionary), LINES):
+                h, line = rolling(coded.dictionary.slice(lo, LINES))
+                ends = np.cumsum(np.bincount(line))
+                sets += map(np.unique, np.split(h, ends[:-1]))
+            pick, keep = coded.indices.to_pylist(), []
+            for x, y in zip(pick[:batch.num_rows], pick[batch.num_rows:]):
+                one, two = sets[x], sets[y]
+                at = np.searchsorted(two, one)
+                at[at == len(two)] = 0
+                inter = np.count_nonzero(two[at] == one)
                 keep.append(100 * inter >= PERCENT * (len(one) + len(two) - inter))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -223,7 +228,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     held = leads.select("node", "line").join(members.select("node").distinct(), "node")
     texts = stored(_with_bits(held.dropDuplicates(["node"])), "line-texts")
     group = link_groups(
-        members, texts.drop("line"), lambda pairs: _verified(pairs, texts), _near_bits, _line_sets(texts), PERCENT
+        members, texts.drop("line"), lambda pairs: _verified(pairs, texts), _near_bits,
+        lambda wanted: _line_sets(texts.join(wanted, "node", "left_semi")), PERCENT,
     )
     named = lines.select("doc_id", "content", "place", "node").join(group, "node", "left").select(
         "doc_id", "content", "place", F.coalesce("component", "node").alias("component")

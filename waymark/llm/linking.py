@@ -37,14 +37,14 @@ def sketch_difference(x: str, y: str, words: int) -> Column:
 
 def link_groups(
     members: DataFrame, light: DataFrame, verify: Callable[[DataFrame], DataFrame],
-    may_link: Callable[[str, str], Column], sets: DataFrame, percent: int,
+    may_link: Callable[[str, str], Column], sets: DataFrame | Callable[[DataFrame], DataFrame], percent: int,
 ) -> DataFrame:
     """(node, component) of every node that a verified link reaches.
 
     `light` has (node, sketch, …), one row per node of `members`; `verify` keeps the pairs
     (a, b) that are linked; `may_link` is a cheap condition on two structs of the light
     columns that linked pairs fulfil; `sets` has the full sets (node, shingles) that large
-    groups are compared by.
+    groups are compared by, or makes them for the nodes it is given.
 
     Every node is first compared with up to `PIVOTS` of the smallest and largest nodes of its
     groups, and the links are closed to components. In `ROUNDS` further rounds nodes outside
@@ -89,7 +89,10 @@ def link_groups(
     pairs = m.join(o, differ & may_link("m.x", "o.y")).select(
         F.least("m.node", "o.node").alias("a"), F.greatest("m.node", "o.node").alias("b")
     ).distinct()
-    more = verify(pairs).unionByName(_block_links(rest.where(F.col("size") > SMALL), sets, percent))
+    large = rest.where(F.col("size") > SMALL)
+    if callable(sets):
+        sets = sets(large.select("node").distinct())
+    more = verify(pairs).unionByName(_block_links(large, sets, percent))
     more = stored(more, "rest-links")
     return _joined(group, more) if more.head(1) else group
 
