@@ -1,7 +1,7 @@
 """Lookups, hierarchies, entity and alias resolution, virtual updates, journals.
 
-No side is broadcast by hand: Spark broadcasts a lookup when its measured size allows and
-otherwise shuffles, splitting hot keys at run time.
+No lookup is broadcast by hand: Spark does it when its measured size allows and otherwise
+shuffles; blank and hot keys are dealt apart (`operators.joins`).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from waymark.functions import tokens as T
 from waymark.functions.text import fold_key, match_text, null_tokens
 from waymark.functions.coords import in_range, valid_coord
+from waymark.operators.joins import spread_left
 from waymark.operators.ranking import null_safe, pick_one
 
 
@@ -74,7 +75,7 @@ def lookup_left(df: DataFrame, ref: DataFrame, ks: Sequence[str], cols: Sequence
     """N:1 left lookup on normalised text keys prepared in ref as _key_<name>."""
     keys = [f"_key_{k}" for k in ks]
     keyed = df.withColumns({f"_key_{k}": match_text(k) for k in ks})
-    return keyed.join(ref.select(*keys, *cols), keys, "left").drop(*keys)
+    return spread_left(keyed, ref, keys, cols).drop(*keys)
 
 
 def enrich(
@@ -83,7 +84,7 @@ def enrich(
     """Successive left joins, each side first reduced to one row per key."""
     out = df
     for ref, ks, order in sides:
-        out = out.join(pick_one(ref, ks, order), list(ks), "left")
+        out = spread_left(out, pick_one(ref, ks, order), ks, [c for c in ref.columns if c not in ks])
     return out
 
 
@@ -167,9 +168,8 @@ def hierarchical_lookup(
         *[f"_key_{k}" for k in parent_keys],
         F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon"),
     )
-    joined = keyed.join(kids, [f"_key_{k}" for k in child_keys], "left").join(
-        folks, [f"_key_{k}" for k in parent_keys], "left"
-    )
+    met = spread_left(keyed, kids, [f"_key_{k}" for k in child_keys], ["_clat", "_clon"])
+    joined = spread_left(met, folks, [f"_key_{k}" for k in parent_keys], ["_plat", "_plon"])
     before = in_range(lat, lon)
     by_child = ~before & F.col("_clat").isNotNull() & F.col("_clon").isNotNull()
     after_child = before | (by_child & in_range("_clat", "_clon"))

@@ -57,6 +57,21 @@ def first_k(df: DataFrame, ks: Sequence[str], order: Sequence[Column], k: int) -
     return placed.withColumn("_pick", rank).where(F.col("_pick") <= k).drop("_pick", "_part", "_before")
 
 
+def rank_sorted(df: DataFrame, ks: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Rank (from 1) of every row inside its key along the order, which is total.
+
+    Rows are range-partitioned by key and order; counts per (range, key), one row each, are the
+    offsets, so no key is gathered or sorted by one task."""
+    spread = _spread_sorted(df, [*[F.asc_nulls_first(c) for c in ks], *order])
+    sizes = spread.groupBy(*ks, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*ks).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    placed = null_safe(spread, before, [*ks, "_part"], "inner")
+    inside = Window.partitionBy(*ks, "_part").orderBy(*order)
+    rank = (F.row_number().over(inside) + F.col("_before")).cast("bigint")
+    return placed.withColumn(out, rank).drop("_part", "_before")
+
+
 def top_with_ties(df: DataFrame, ks: Sequence[str], order: Column) -> DataFrame:
     """All rows that share the best value of their key."""
     w = Window.partitionBy(*ks).orderBy(order)

@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import let
-from waymark.operators.ranking import pick_one
+from waymark.operators.ranking import null_safe, pick_one
+from waymark.operators.reporting import joined_texts, text_parts
 
 #: Pieces of one region in a cell beyond which the cell is split, and the numbers of rows tried.
 CELL_SEGMENTS, CELL_ROWS = 64, (4, 8, 16, 32, 64, 128, 256)
@@ -277,11 +278,10 @@ def build_areas(
     regions: DataFrame, key: str, name: str
 ) -> DataFrame:
     """Sorted distinct names and number of map units per dissolved key."""
-    units = regions.groupBy(key, name).agg(F.count(F.lit(1)).alias("_n"))
-    return units.groupBy(key).agg(
-        F.array_join(F.array_sort(F.collect_list(name)), " | ").alias("names"),
-        F.sum("_n").alias("map_units_n"),
-    )
+    units = regions.groupBy(key).agg(F.count(F.lit(1)).alias("map_units_n"))
+    names = joined_texts(text_parts(regions, [key], name), [key], name)
+    named = null_safe(units, names.withColumnRenamed(name, "names"), [key], "left")
+    return named.withColumn("names", F.coalesce("names", F.lit("")))
 
 
 # WGS84 ellipsoid and the Equal Earth polynomial.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions.stats import percent
 from waymark.functions.text import null_tokens
 from waymark.functions import tokens as T
-from waymark.operators.ranking import first_k, null_safe, quantiles
+from waymark.operators.ranking import first_k, null_safe, quantiles, rank_sorted
 
 
 def count_by(df: DataFrame, ks: Sequence[str], name: str = "records_n") -> DataFrame:
@@ -72,28 +72,60 @@ def category_summary(df: DataFrame, ks: Sequence[str], sums: Sequence[str], name
     )
 
 
+#: Texts in one part of a merged text.
+PART_TEXTS = 1000
+
+
+def text_parts(
+    df: DataFrame, ks: Sequence[str], col: str, sep: str = " | ", size: int = PART_TEXTS
+) -> DataFrame:
+    """(keys, part, texts_n, col): the sorted distinct values per key, `size` to a part, parts
+    numbered from 0 in order. Null values take no part; keys without values have no row.
+
+    This is the form to store and to join with: no row grows with its key. Repeats go by a
+    distinct, values are numbered in range partitions, and only a part is gathered.
+    """
+    pairs = df.select(*ks, col).where(F.col(col).isNotNull()).distinct()
+    placed = rank_sorted(pairs, ks, [F.col(col).asc()], "_rank")
+    part = F.floor((F.col("_rank") - 1) / size).cast("bigint").alias("part")
+    return placed.groupBy(*ks, part).agg(
+        F.count(F.lit(1)).alias("texts_n"), F.array_join(F.array_sort(F.collect_list(col)), sep).alias(col)
+    )
+
+
+def joined_texts(parts: DataFrame, ks: Sequence[str], col: str, sep: str = " | ") -> DataFrame:
+    """(keys, col): the parts of each key as one text, for a sink that wants it on one row.
+
+    The text is as long as its key's values; what is gathered is one entry per part."""
+    inorder = F.array_sort(F.collect_list(F.struct("part", col)))
+    return parts.groupBy(*ks).agg(F.array_join(F.transform(inorder, lambda p: p[col]), sep).alias(col))
+
+
 def join_unique(df: DataFrame, key: str, col: str, sep: str = " | ") -> DataFrame:
-    """Sorted distinct non-blank values per key. Repeats are removed before gathering."""
-    text = null_tokens(col, T.BLANK)
-    pairs = df.select(key, text.alias(col)).where(F.col(col).isNotNull()).distinct()
-    return pairs.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(col)), sep).alias(col))
+    """Sorted distinct non-blank values per key, by way of bounded parts."""
+    cleaned = df.select(key, null_tokens(col, T.BLANK).alias(col))
+    return joined_texts(text_parts(cleaned, [key], col, sep), [key], col, sep)
 
 
 def merge_by_key(
     df: DataFrame, key: str, sums: Sequence[str], texts: Sequence[str], distinct_of: str
 ) -> DataFrame:
-    """One row per key: sums, distinct inputs and merged texts.
+    """One row per key: sums, distinct inputs and merged texts (empty if a key has none).
 
-    One aggregate per distinct (key, texts) combination removes repeats before the sets of
-    texts are formed, so the sets hold distinct names, not rows.
+    Sums are an aggregate of their own. The texts of all columns go through bounded parts
+    together, as (key, column, value), and join the sums as one row per key.
     """
     cleaned = df.withColumns({c: null_tokens(c, T.BLANK) for c in texts})
-    combos = cleaned.groupBy(key, *texts).agg(*[F.sum(s).alias(s) for s in sums])
-    return combos.groupBy(key).agg(
-        F.count_distinct(distinct_of).alias("inputs_n"),
-        *[F.sum(s).alias(s) for s in sums],
-        *[F.array_join(F.array_sort(F.collect_set(c)), " | ").alias(c) for c in texts],
+    totals = cleaned.groupBy(key).agg(
+        F.count_distinct(distinct_of).alias("inputs_n"), *[F.sum(s).alias(s) for s in sums]
+    )
+    long = cleaned.select(key, *texts).unpivot([key], list(texts), "_column", "_text")
+    merged = joined_texts(text_parts(long, [key, "_column"], "_text"), [key, "_column"], "_text")
+    wide = merged.groupBy(key).agg(
+        *[F.coalesce(F.max(F.when(F.col("_column") == c, F.col("_text"))), F.lit("")).alias(c) for c in texts]
     )
+    met = null_safe(totals, wide, [key], "left")
+    return met.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
 
 
 def species_counters(df: DataFrame, species: str, band: str, auto: str) -> DataFrame:
