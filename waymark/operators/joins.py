@@ -12,31 +12,40 @@ from pyspark.sql import functions as F
 SHARES = 8
 
 
-def hot_keys(df: DataFrame, key: str, shares: int) -> DataFrame:
-    """(key, _salts) of the keys with more than one in `shares` of all rows.
+def hot_keys(df: DataFrame, ks: Sequence[str], shares: int | None = None) -> DataFrame:
+    """(_key, _salts) of the key combinations with more than one in `shares` of all rows; by
+    default `SHARES` times the shuffle partitions. Rows with a null key do not count.
 
     There are fewer than `shares` of them and their salts add up to less than twice that, which
-    is what makes this table safe to broadcast whatever the size of `df`.
+    is what makes this table safe to broadcast whatever the size of `df`. Counting reads the keys
+    of all rows once more: count on the frame from which the keys come, before joins.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    shares = shares or SHARES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.where(_every([F.col(k).isNotNull() for k in ks]))
+    counts = keyed.groupBy(F.xxhash64(*ks).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    salts = F.ceil(F.col("_n") * shares / total).cast("int").alias("_salts")
-    return counts.where(F.col("_n") * shares > total).select(key, salts)
+    salts = F.ceil(F.col("_n") * shares / total).cast("long").alias("_salts")
+    return counts.where(F.col("_n") * shares > total).select("_key", salts)
+
+
+def _every(conds: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conds)
 
 
 def spread_left(
     df: DataFrame, ref: DataFrame, ks: Sequence[str], cols: Sequence[str],
-    by: Sequence[str] | None = None,
+    hot: DataFrame | None = None, by: Sequence[str] | None = None,
 ) -> DataFrame:
     """`df` with the columns `cols` of the row of `ref` that has its keys, else nulls.
 
     ref has at most one row per combination of keys, and the keys have equal types on both sides.
-    A null key meets nothing. Three kinds of rows are dealt apart, so that no task gets more of a
-    key than its share, without session flags:
+    A null key meets nothing. Rows are dealt so that no task gets all of a frequent key, without
+    session flags:
 
-    * rows whose keys are all empty text take the one empty-keyed row of ref as a scalar;
+    * rows whose keys are all empty text get salts by their content, and the one empty-keyed row
+      of ref is repeated per salt; this and the next need no pass over the rows;
     * rows with a null key are spread by their content and meet nothing;
-    * rows of hot keys, counted over all of df, get salts, and ref's row is repeated per salt.
+    * rows of the keys in `hot` (from `hot_keys`) get salts, and ref's row is repeated per salt.
 
     `by` names columns that tell rows apart for this purpose; all columns by default. Rows that
     are equal in all of them stay together.
@@ -47,30 +56,23 @@ def spread_left(
         raise ValueError(f"keys of different types: {unlike}")
     texts = all(types[k] == "string" for k in ks)
     content = by or [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    shares = SHARES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def every(conds: list[Column]) -> Column:
-        return reduce(lambda a, b: a & b, conds)
-
-    empty = F.coalesce(every([F.col(k) == "" for k in ks]), F.lit(False)) if texts else F.lit(False)
-    apart = empty | ~every([F.col(k).isNotNull() for k in ks])
-    key = F.xxhash64(*ks).alias("_key")
-    hot = F.broadcast(hot_keys(df.where(~apart).select(key), "_key", shares))
+    empty = F.coalesce(_every([F.col(k) == "" for k in ks]), F.lit(False)) if texts else F.lit(False)
+    apart = empty | ~_every([F.col(k).isNotNull() for k in ks])
 
     own = F.xxhash64(*[F.col(f"`{c}`") for c in content])
-    salted = df.withColumn("_key", key).join(hot, "_key", "left").withColumn(
-        "_salt", F.when(apart, own).when(F.col("_salts") > 1, F.pmod(own, F.col("_salts"))).otherwise(0).cast("long")
-    )
+    blank_salts = F.lit(SHARES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).cast("long")
+    salt, salts = F.when(empty, F.pmod(own, blank_salts)).when(apart, own), F.when(empty, blank_salts)
+    left, right = df, ref
+    if hot is not None:
+        few, key = F.broadcast(hot), F.xxhash64(*ks)
+        left, right = (x.withColumn("_key", key).join(few, "_key", "left") for x in (left, right))
+        salt = salt.when(F.col("_salts") > 1, F.pmod(own, F.col("_salts")))
+        salts = salts.when(F.col("_salts") > 1, F.col("_salts"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), salts.otherwise(F.lit(1)) - 1))
     values = [F.col(c).alias(f"_v{i}") for i, c in enumerate(cols)]
-    last = (F.coalesce("_salts", F.lit(1)) - 1).cast("long")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), last))
-    sides = ref.where(~apart).withColumn("_key", key).join(hot, "_key", "left").select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], *values, copies.alias("_copy")
-    )
-    on = every([F.col(k) == F.col(f"_k{i}") for i, k in enumerate(ks)] + [F.col("_salt") == F.col("_copy")])
-    met = salted.join(sides, on, "left")
+    sides = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(ks)], *values, copies.alias("_copy"))
+    salted = left.withColumn("_salt", salt.otherwise(F.lit(0)).cast("long"))
+    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(ks)]
+    met = salted.join(sides, _every([*on, F.col("_salt") == F.col("_copy")]), "left")
     found = [F.col(f"_v{i}") for i in range(len(cols))]
-    if texts and cols:
-        row = ref.where(empty).agg(F.first(F.struct(*values))).scalar()
-        found = [F.when(empty, row[f"_v{i}"]).otherwise(v) for i, v in enumerate(found)]
     return met.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(c) for v, c in zip(found, cols)])

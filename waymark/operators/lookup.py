@@ -1,7 +1,7 @@
 """Lookups, hierarchies, entity and alias resolution, virtual updates, journals.
 
 No lookup is broadcast by hand: Spark does it when its measured size allows and otherwise
-shuffles; blank and hot keys are dealt apart (`operators.joins`).
+shuffles; blank keys, and hot ones if counted, are dealt apart (`operators.joins`).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from waymark.functions import tokens as T
 from waymark.functions.text import fold_key, match_text, null_tokens
 from waymark.functions.coords import in_range, valid_coord
-from waymark.operators.joins import spread_left
+from waymark.operators.joins import hot_keys, spread_left
 from waymark.operators.ranking import null_safe, pick_one
 
 
@@ -71,11 +71,16 @@ def prepare_lookup(
     return best_lookup(blanked, [f"_key_{k}" for k in ks], success, source, tie)
 
 
-def lookup_left(df: DataFrame, ref: DataFrame, ks: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """N:1 left lookup on normalised text keys prepared in ref as _key_<name>."""
+def lookup_left(
+    df: DataFrame, ref: DataFrame, ks: Sequence[str], cols: Sequence[str], hot: bool = False
+) -> DataFrame:
+    """N:1 left lookup on normalised text keys prepared in ref as _key_<name>.
+
+    `hot` counts the keys first and salts those that hold a large share of the rows.
+    """
     keys = [f"_key_{k}" for k in ks]
     keyed = df.withColumns({f"_key_{k}": match_text(k) for k in ks})
-    return spread_left(keyed, ref, keys, cols).drop(*keys)
+    return spread_left(keyed, ref, keys, cols, hot_keys(keyed, keys) if hot else None).drop(*keys)
 
 
 def enrich(

@@ -12,7 +12,7 @@ from waymark.functions.names import (
     REVIEW_ACTIONS, evidence_band, first_present, is_binomial, match_decision, name_class,
     preferred_key, review_type, screen_name,
 )
-from waymark.functions.text import let, map_values, null_tokens, squash
+from waymark.functions.text import map_values, null_tokens, squash
 from waymark.operators.ranking import cumulative_share, pick_one, priority_band
 from waymark.operators.reporting import merge_by_key, species_counters, species_evidence
 from waymark.operators.sampling import equal_per_stratum
@@ -92,12 +92,16 @@ def exclusions(candidates: DataFrame) -> DataFrame:
 
 def flatten_response(df: DataFrame, body: str, schema: ST.StructType = ANSWER_SCHEMA) -> DataFrame:
     """Columns from the JSON answer; alternatives are counted and re-serialised."""
-    parsed = df.withColumn("_a", F.from_json(body, schema))
+    return _flattened(df.withColumn("_a", F.from_json(body, schema)), schema)
+
+
+def _flattened(parsed: DataFrame, schema: ST.StructType) -> DataFrame:
+    """The answer's fields as columns instead of the parsed answer `_a`."""
     flat = [F.col(f"_a.`{f.name}`").alias(f.name) for f in schema.fields if f.name != "alternatives"]
     alts = F.coalesce(F.col("_a.alternatives"), F.array().cast(schema["alternatives"].dataType))
     return parsed.select(
-        *df.columns, *flat, F.size(alts).cast("bigint").alias("alternatives_n"),
-        F.to_json(alts).alias("alternatives_json"),
+        *[F.col(f"`{c}`") for c in parsed.columns if c != "_a"], *flat,
+        F.size(alts).cast("bigint").alias("alternatives_n"), F.to_json(alts).alias("alternatives_json"),
     )
 
 
@@ -105,8 +109,8 @@ def match_names(
     responses: DataFrame, name: str = "query_name", body: str = "body",
     status: str = "request_status", min_confidence: int = 95,
 ) -> DataFrame:
-    """Decision, reason and preferred key for every answered name."""
-    flat = flatten_response(responses, body).withColumns(
+    """Decision, reason and preferred key for every answered name; each answer is parsed once."""
+    parsed = responses.withColumn("_a", F.from_json(body, ANSWER_SCHEMA)).withColumns(
         {"name_flag": screen_name(name), "query_name": squash(F.coalesce(F.col(name), F.lit("")))}
     )
 
@@ -118,7 +122,7 @@ def match_names(
         }
         return match_decision("name_flag", status, answer, min_confidence)
 
-    decided = flat.withColumn("_d", let(F.from_json(body, ANSWER_SCHEMA), decide))
+    decided = _flattened(parsed.withColumn("_d", decide(F.col("_a"))), ANSWER_SCHEMA)
     return decided.withColumns(
         {
             "match_decision": F.col("_d.decision"), "match_reason": F.col("_d.reason"),
