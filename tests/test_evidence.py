@@ -100,3 +100,11 @@ def test_cumulative_share_of_nothing(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0)], "k string, v long")
     out = cumulative_share(df, [F.col("v").desc(), F.col("k").asc()], "v").orderBy("priority_rank").collect()
     assert [(r["priority_rank"], r["cumulative_share"], r["cumulative_share_before"]) for r in out] == [(1, 0.0, 0.0), (2, 0.0, 0.0)]
+
+
+def test_holdout_checks_hide_twenty_locations_or_one_of_every_cluster(spark):
+    from waymark.checks.evidence import hidden_and_evidence
+
+    for sf, hidden_n in (("/root/testdata/sf0.001", 11), ("/root/testdata/sf0.01", 20)):
+        hidden = hidden_and_evidence(spark, sf)[1]
+        assert hidden.count() == hidden.select("cluster_id").distinct().count() == hidden_n

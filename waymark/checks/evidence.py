@@ -21,13 +21,13 @@ from waymark.operators.validation import (
     accuracy, assemble, confusion, exclude, keep_keys, key_diff, leakage, pivot_confusion,
 )
 from waymark.plans.labels import (
-    automatic_updates, cluster_predictions, direct_labels, draw_holdout, effective_labels, evidence_pool,
+    automatic_updates, cluster_predictions, direct_labels, draw_candidates, effective_labels, evidence_pool,
     holdout_candidates, one_candidate_per_cluster, pool_eligibility, record_predictions, score_hidden, update_table,
 )
 from waymark.session import cut_lineage
 
-#: Hidden locations: no more than the smallest table has eligible clusters.
-HIDDEN_N = 10
+#: Hidden locations wanted; a table with fewer eligible clusters hides one of each.
+HIDDEN_N = 20
 SEED = 42
 
 VIEWS["o_location"] = """
@@ -253,7 +253,7 @@ FROM (SELECT true_label, capacity, {n} * capacity // total AS f, ({n} * capacity
   FROM (SELECT true_label, capacity, CAST(sum(capacity) OVER () AS bigint) AS total FROM {caps}) a) b"""
 
 
-VIEWS["o_quota"] = _proportional("o_cap", str(HIDDEN_N))
+VIEWS["o_quota"] = _proportional("o_cap", f"least({HIDDEN_N}, CAST((SELECT sum(capacity) FROM o_cap) AS bigint))")
 VIEWS["o_hidden"] = f"""
 SELECT printf('H%04d', row_number() OVER (ORDER BY md5(concat_ws('#', '{SEED + 2}', cluster_id)), cluster_id)) AS hidden_id, h.*
 FROM (SELECT s.*, q.quota, row_number() OVER (PARTITION BY s.true_label ORDER BY md5(concat_ws('#', '{SEED + 1}', cluster_id)), cluster_id) AS turn
@@ -296,7 +296,8 @@ FROM (SELECT h.hidden_id, h.cluster_id, h.true_label, h.records_at_location_n AS
 
 def hidden_and_evidence(spark, sf):
     pool = cut_lineage(evidence(spark, sf))
-    return pool, draw_holdout(pool, pool_eligibility(records(spark, sf), pool), HIDDEN_N, SEED)
+    single = cut_lineage(one_candidate_per_cluster(pool, pool_eligibility(records(spark, sf), pool), SEED))
+    return pool, draw_candidates(single, min(HIDDEN_N, single.count()), SEED)
 
 
 def scored(spark, sf):

@@ -171,6 +171,11 @@ def draw_holdout(
     """
     # one row per cluster, read by the allocation and by the draw
     single = cut_lineage(one_candidate_per_cluster(evidence, eligibility, seed, min_remaining))
+    return draw_candidates(single, n, seed, mode)
+
+
+def draw_candidates(single: DataFrame, n: int, seed: int, mode: str = "proportional") -> DataFrame:
+    """n of the candidates, which have one row per eligible cluster; more is an error."""
     available = single.count()
     if n > available:
         raise ValueError(f"asked for {n} locations, but only {available} clusters are eligible")
