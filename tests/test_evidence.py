@@ -108,3 +108,22 @@ def test_holdout_checks_hide_twenty_locations_or_one_of_every_cluster(spark):
     for sf, hidden_n in (("/root/testdata/sf0.001", 11), ("/root/testdata/sf0.01", 20)):
         hidden = hidden_and_evidence(spark, sf)[1]
         assert hidden.count() == hidden.select("cluster_id").distinct().count() == hidden_n
+
+
+def test_answers_are_parsed_and_decided_once_below_filters(spark):
+    from waymark.plans.species import match_names
+
+    good = '{"usageKey": 7, "rank": "SPECIES", "status": "ACCEPTED", "matchType": "EXACT", "confidence": 97, "order": "Coleoptera"}'
+    rows = [(1, "Carabus alpha", good, "success"), (2, "Carabus beta", None, "success"), (3, "Carabus gamma", "{broken", "success"),
+            (4, None, good, "success"), (5, "Carabus delta", good, None), (6, "Carabus cf. eta", good, "success")]
+    df = spark.createDataFrame(rows, "seq int, query_name string, body string, request_status string")
+    out = match_names(df)
+    got = {r["seq"]: (r["match_decision"], r["rank"], r["taxon_key"]) for r in out.collect()}
+    assert got == {
+        1: ("accepted_exact", "SPECIES", 7), 2: ("no_match", None, None), 3: ("no_match", None, None),
+        4: ("review", "SPECIES", 7), 5: ("api_failed", "SPECIES", 7), 6: ("review", "SPECIES", 7),
+    }
+    picked = out.where(F.col("match_decision").isin("accepted_exact", "accepted_synonym")).select("seq", "rank", "order")
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("higher rank only") == 1
+    assert [r["seq"] for r in picked.collect()] == [1]

@@ -32,6 +32,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(df: DataFrame, out: str, value: Column) -> DataFrame:
+    """df with the column `out`, evaluated once per row whatever later steps make of it.
+
+    A column of a projection is inlined into filters, and each field that is read of a parsed
+    text becomes a parse of its own; neither passes a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(out))
+
+
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(_col(c), _EDGE_WS, "")

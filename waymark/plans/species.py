@@ -12,7 +12,7 @@ from waymark.functions.names import (
     REVIEW_ACTIONS, evidence_band, first_present, is_binomial, match_decision, name_class,
     preferred_key, review_type, screen_name,
 )
-from waymark.functions.text import map_values, null_tokens, squash
+from waymark.functions.text import map_values, null_tokens, once, squash
 from waymark.operators.ranking import cumulative_share, pick_one, priority_band
 from waymark.operators.reporting import merge_by_key, species_counters, species_evidence
 from waymark.operators.sampling import equal_per_stratum
@@ -92,7 +92,7 @@ def exclusions(candidates: DataFrame) -> DataFrame:
 
 def flatten_response(df: DataFrame, body: str, schema: ST.StructType = ANSWER_SCHEMA) -> DataFrame:
     """Columns from the JSON answer; alternatives are counted and re-serialised."""
-    return _flattened(df.withColumn("_a", F.from_json(body, schema)), schema)
+    return _flattened(once(df, "_a", F.from_json(body, schema)), schema)
 
 
 def _flattened(parsed: DataFrame, schema: ST.StructType) -> DataFrame:
@@ -109,8 +109,9 @@ def match_names(
     responses: DataFrame, name: str = "query_name", body: str = "body",
     status: str = "request_status", min_confidence: int = 95,
 ) -> DataFrame:
-    """Decision, reason and preferred key for every answered name; each answer is parsed once."""
-    parsed = responses.withColumn("_a", F.from_json(body, ANSWER_SCHEMA)).withColumns(
+    """Decision, reason and preferred key for every answered name; each answer is parsed and
+    decided once, also below filters on the decision."""
+    parsed = once(responses, "_a", F.from_json(body, ANSWER_SCHEMA)).withColumns(
         {"name_flag": screen_name(name), "query_name": squash(F.coalesce(F.col(name), F.lit("")))}
     )
 
@@ -122,7 +123,7 @@ def match_names(
         }
         return match_decision("name_flag", status, answer, min_confidence)
 
-    decided = _flattened(parsed.withColumn("_d", decide(F.col("_a"))), ANSWER_SCHEMA)
+    decided = _flattened(once(parsed, "_d", decide(F.col("_a"))), ANSWER_SCHEMA)
     return decided.withColumns(
         {
             "match_decision": F.col("_d.decision"), "match_reason": F.col("_d.reason"),
@@ -180,7 +181,8 @@ def prioritise_review(review: DataFrame) -> DataFrame:
         F.col("incremental_records_n").desc(), F.col("candidate_records_n").desc(),
         F.col("species").asc(),
     ]
-    ranked = cumulative_share(typed, order, "incremental_records_n")
+    # the range partitioning reads its input twice, to sample it and to deal it out
+    ranked = cumulative_share(cut_lineage(typed), order, "incremental_records_n")
     return ranked.withColumn(
         "priority_band", priority_band("incremental_records_n", "cumulative_share_before")
     )
