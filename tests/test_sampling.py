@@ -161,3 +161,18 @@ def test_exact_quantiles(spark):
             want = [np.quantile([r[k] for r in mine if r[k] is not None], q) for k in (1, 2)]
             assert np.allclose(got[(1, None) if g == "all" else (0, g)], want)
     assert quantiles(df.limit(0), ["a"], 0.5).count() == 0
+
+
+def test_quotas_meet_buckets_and_not_rows(spark, monkeypatch):
+    monkeypatch.setattr("waymark.operators.ranking.BUCKET_ROWS", 50)
+    stratum = F.when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string")))
+    df = spark.range(6000).select(F.col("id").cast("string").alias("k"), stratum.alias("s"), (F.col("id") % 3).alias("quota"))
+    caps = {"s0": 0, "s1": 1, "s2": 700, "s3": 10**9, None: 60, "absent": 4}
+    quotas = spark.createDataFrame([*caps.items(), ("s4", None)], "s string, quota long")
+    out = stratified_sample(df, "s", quotas, ["k"], 3)
+    drawn = hash_rank(df, ["s"], ["k"], 3, "_rank").collect()
+    want = sorted((r["k"], r["s"] or "", r["quota"]) for r in drawn if r["s"] != "s4" and r["_rank"] <= caps[r["s"]])
+    assert out.columns == ["k", "s", "quota"]
+    assert sorted((r["k"], r["s"] or "", r["quota"]) for r in out.collect()) == want
+    # one join of limits with buckets, one of buckets with rows, none that gathers rows by stratum
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2

@@ -86,16 +86,16 @@ def duplicates(df: DataFrame, ks: Sequence[str]) -> DataFrame:
 
 def hash_rank(
     df: DataFrame, strata: Sequence[str], key: Sequence[str], seed: int, out: str = "draw_rank",
-    at_most: Column | int | None = None,
+    at_most: Column | int | None = None, limits: DataFrame | None = None,
 ) -> DataFrame:
     """Rank of every row inside its stratum in hash order."""
     drawn = df.withColumn("_draw", draw_key(seed, *key))
-    return bucket_rank(drawn, strata, F.col("_draw"), ["_draw", *key], out, at_most).drop("_draw")
+    return bucket_rank(drawn, strata, F.col("_draw"), ["_draw", *key], out, at_most, limits=limits).drop("_draw")
 
 
 def bucket_rank(
     df: DataFrame, strata: Sequence[str], digest: Column, order: Sequence[str], out: str,
-    at_most: Column | int | None = None, lead: int = 0,
+    at_most: Column | int | None = None, lead: int = 0, limits: DataFrame | None = None,
 ) -> DataFrame:
     """Rank of every row inside its stratum along `order`, which begins as `digest` does.
 
@@ -103,6 +103,10 @@ def bucket_rank(
     buckets of equal expected size. Their number follows from the largest stratum, so that a
     bucket holds about `BUCKET_ROWS` rows. Buckets wholly beyond at_most are dropped before
     any row is sorted.
+
+    limits(strata, _at_most) gives every stratum, one row each, a limit of its own; it meets the
+    buckets and not the rows, which would gather by stratum. Rows of other strata are left out,
+    those returned carry _at_most.
     """
     most = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_most")).scalar()
     digits = F.greatest(F.lit(1), F.ceil(F.log(16.0, F.coalesce(most, F.lit(1)) / BUCKET_ROWS)).cast("int"))
@@ -113,6 +117,10 @@ def bucket_rank(
         Window.unboundedPreceding, -1
     )
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    if limits is not None:
+        wanted = null_safe(offsets, limits, strata, "inner").where(F.col("_before") < F.col("_at_most"))
+        # few buckets are left: they are looked up, and rows are not sorted to meet them
+        offsets = wanted.hint("shuffle_hash")
     placed = null_safe(drawn, offsets.drop("_size"), ks, "inner")
     if at_most is not None:
         placed = placed.where(F.col("_before") < at_most)

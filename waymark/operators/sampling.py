@@ -83,9 +83,9 @@ def stratified_sample(
     df: DataFrame, stratum: str, quotas: DataFrame, key: Sequence[str], seed: int
 ) -> DataFrame:
     """Draw each stratum's quota; quotas(stratum, quota) has one row per stratum."""
-    limited = null_safe(df, quotas.select(stratum, "quota"), [stratum], "inner")
-    ranked = hash_rank(limited, [stratum], key, seed, "_rank", at_most=F.col("quota"))
-    return ranked.where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
+    limits = quotas.select(stratum, F.col("quota").alias("_at_most"))
+    ranked = hash_rank(df, [stratum], key, seed, "_rank", limits=limits)
+    return ranked.where(F.col("_rank") <= F.col("_at_most")).drop("_rank", "_at_most")
 
 
 def equal_per_stratum(
