@@ -127,3 +127,14 @@ def test_answers_are_parsed_and_decided_once_below_filters(spark):
     plan = picked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1 and plan.count("higher rank only") == 1
     assert [r["seq"] for r in picked.collect()] == [1]
+
+
+def test_safe_acceptances_parse_each_answer_once_per_read(spark):
+    from waymark.checks import load_all
+    from waymark.checks.base import QUERIES
+
+    load_all()
+    out = QUERIES["v12_automatic_acceptances_safe"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the rows are read for their count and for the violations among them
+    assert plan.count("from_json(") == plan.count("higher rank only") == 2
