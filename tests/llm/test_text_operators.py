@@ -194,3 +194,23 @@ def test_unigram_search_finds_the_best_sum():
         ids = np.frombuffer(sentence_pieces.encode_words(model, [word], sentence_pieces.Known(model))[0], "<i4")
         by_id = dict(zip(model.ids.tolist(), model.score))
         assert sum(by_id[i] for i in ids.tolist()) == pytest.approx(best[len(word)])
+
+
+def test_classifier_scores_in_small_pieces_of_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from waymark.llm import quality_classifier as q
+
+    model = q.fit(np.zeros((2, q.SHAPES + q.HASHED)), np.arange(2), np.array([0.0, 1.0]), 0.5, epochs=0)
+    texts = [" ".join(f"w{(i * j) % 977}" for j in range(1500)) for i in range(600)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": texts})
+    tracemalloc.start()
+    got = pa.Table.from_batches(q.scored([batch], model))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 600 and peak < 40e6
+    one = [model.score(*reversed(q.encode(pa.array([t]))), 1)[0] for t in texts[:5]]
+    assert np.allclose(one, got.column("quality_score").to_pylist()[:5], atol=1e-12)

@@ -25,6 +25,9 @@ SHAPES = 14
 SAMPLE_PER_CLASS = 1200
 #: Passages of a sampled document that enter the fit, spread over the whole text.
 SAMPLE_PASSAGES = 24
+#: Bytes of text that are encoded at a time: a worker's arrays take some twenty times as much, and
+#: what a worker once took stays with it while later steps run.
+TEXT_BYTES = 1 << 20
 #: A document is predicted good from this score on.
 CUT = 0.3
 
@@ -175,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     bags = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def encoded(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             rows, x = encode(batch.column("text"))
             starts = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             picked = []
@@ -203,17 +206,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(np.concatenate(bags_x), rows, y, float(share))
 
 
+def scored(batches, model: Model):
+    """The batches with `quality_score`."""
+    for batch in slices(batches, "text", TEXT_BYTES):
+        rows, x = encode(batch.column("text"))
+        s = model.score(x, rows, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "quality_score"])
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of `docs` with `quality_score`, from whole texts; null counts as empty."""
     schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
-
-    def scored(batches):
-        for batch in slices(batches, "text"):
-            rows, x = encode(batch.column("text"))
-            s = model.score(x, rows, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "quality_score"])
-
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(lambda batches: scored(batches, model), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
