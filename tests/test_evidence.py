@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions.stats import wilson
@@ -138,3 +139,18 @@ def test_safe_acceptances_parse_each_answer_once_per_read(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # the rows are read for their count and for the violations among them
     assert plan.count("from_json(") == plan.count("higher rank only") == 2
+
+
+#: Query: the hidden locations that its result tells of.
+HIDDEN = {
+    "r06_hidden_sample": len,
+}
+
+
+@pytest.mark.parametrize("name", HIDDEN)
+def test_holdout_queries_cover_every_eligible_cluster_of_a_small_table(spark, small, name):
+    from waymark.checks import load_all
+    from waymark.checks.base import QUERIES
+
+    load_all()
+    assert HIDDEN[name](QUERIES[name](spark, small).collect()) == 11
