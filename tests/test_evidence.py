@@ -144,6 +144,7 @@ def test_safe_acceptances_parse_each_answer_once_per_read(spark):
 #: Query: the hidden locations that its result tells of.
 HIDDEN = {
     "r06_hidden_sample": len,
+    "j10_exclude_hidden": lambda rows: len({r["cluster_id"] for r in rows}),
 }
 
 
