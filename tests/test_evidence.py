@@ -146,6 +146,7 @@ HIDDEN = {
     "r06_hidden_sample": len,
     "j10_exclude_hidden": lambda rows: len({r["cluster_id"] for r in rows}),
     "j11_leakage_probe": lambda rows: rows[0]["probed_n"],
+    "a06_remaining_evidence": len,
 }
 
 
