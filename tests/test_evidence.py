@@ -147,6 +147,7 @@ HIDDEN = {
     "j10_exclude_hidden": lambda rows: len({r["cluster_id"] for r in rows}),
     "j11_leakage_probe": lambda rows: rows[0]["probed_n"],
     "a06_remaining_evidence": len,
+    "a13_holdout_accuracy": lambda rows: rows[0]["rows_n"],
 }
 
 
