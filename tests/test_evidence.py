@@ -148,6 +148,7 @@ HIDDEN = {
     "j11_leakage_probe": lambda rows: rows[0]["probed_n"],
     "a06_remaining_evidence": len,
     "a13_holdout_accuracy": lambda rows: rows[0]["rows_n"],
+    "a14_accuracy_by_group": lambda rows: sum(r["rows_n"] for r in rows),
 }
 
 
