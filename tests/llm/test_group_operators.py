@@ -156,6 +156,29 @@ def test_shingle_bits_differ_in_no_more_places_than_the_sets():
             assert apart <= len(sets[i] ^ sets[j])
 
 
+def test_bands_of_the_same_nodes_are_told_once():
+    hashes = {11: [5, -7, 5], 12: [-7, 5], 13: [9], 14: [9, 5, -7], 15: [3, 4]}
+    rows = [(h, n) for h, nodes in hashes.items() for n in nodes]
+    cuts = np.array([0, 1, 4, len(rows)])
+    one = line_dedup._blobs(np.array([h for h, _ in rows], "<u8").view(np.uint8).reshape(-1, 8)[:, :line_dedup.KEY], cuts)
+    two = line_dedup._blobs(np.array([n for _, n in rows], "<i8"), cuts)
+    found = collections.defaultdict(set)
+    for r in line_dedup.same_bands(pa.table({"hashes": one, "nodes": two})).to_pylist():
+        found[r["key"]].add((r["node"], r["p1"], r["p2"]))
+    want = [{(n, min(x), max(x)) for n in x} for x in ([5, -7], [3, 4], [9, 5, -7])]
+    assert len(found) == 3 and all(x in want for x in found.values())
+
+
+def test_bands_travel_in_packed_rows(spark):
+    """A row for each batch and group of hashes, not one for each line and band."""
+    rows = [(i, "\n".join(f"line {j} of {i} {j * 7919 % 1009}" for j in range(40))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) content", "text")
+    lines = line_dedup.occurrences(docs, 1)
+    assert lines.count() == 2000 and {"t0", "t1"} < set(lines.columns)
+    members = line_dedup.shared_bands(lines.where("line is not null"), 2000)
+    assert members.count() == members.distinct().count() and members.where("p1 >= p2").count() == 0
+
+
 def test_lone_pairs_of_short_lines_are_linked(spark):
     """Nothing but the pair shares its bands, so no third line can stand in for a lost link."""
     rng = np.random.default_rng(4)

@@ -30,8 +30,12 @@ NOT_BLANK = 1
 BINS, BANDS, ROWS = 64, 16, 4
 #: Words of 64 bits for the shingles that a line holds.
 WORDS = 8
-#: Turns in which the bands are grouped.
-PARTS = 2
+#: Turns in which the bands are grouped, and bytes of a band's hash that are kept.
+PARTS, KEY = 2, 6
+#: Bytes of hashes and nodes that are grouped at a time.
+GROUP_BYTES = 4 << 20
+#: Documents that are cut into lines at a time.
+DOCUMENTS = 1000
 #: Lines that are hashed at a time.
 LINES = 500
 PERCENT = 80
@@ -53,18 +57,17 @@ def key_lines(texts: pa.Array, min_chars: int = MIN_CHARS) -> tuple[np.ndarray,
 def rolling(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all shingles of the keys, repeats included, and the key of each. Every
     key has at least `SHINGLE` characters."""
-    codes = np.frombuffer("".join(keys.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
-    ends = np.cumsum(np.asarray(pc.utf8_length(keys), dtype=np.int64))
     if not len(keys):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.frombuffer("".join(keys.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
     with np.errstate(over="ignore"):
-        h, power, width = codes, np.uint64(0x9E3779B97F4A7C15), 1
+        power, width = np.uint64(0x9E3779B97F4A7C15), 1
         while width < SHINGLE:  # a power of two
-            h = h[:-width] * power + h[width:]
-            power, width = power * power, 2 * width
-    line = np.repeat(np.arange(len(keys)), np.diff(np.concatenate([[0], ends])))[:len(h)]
-    inside = np.flatnonzero(np.arange(len(h)) + SHINGLE <= ends[line])
-    return mix(h[inside]), line[inside]
+            wider = h[:-width] * power
+            wider += h[width:]
+            h, power, width = wider, power * power, 2 * width
+    line = np.repeat(np.arange(len(keys)), np.asarray(pc.utf8_length(keys), dtype=np.int64) - (SHINGLE - 1))
+    return mix(h[np.arange(len(line)) + (SHINGLE - 1) * line]), line
 
 
 def bin_minima(keys: pa.Array) -> np.ndarray:
@@ -112,14 +115,16 @@ def band_hashes(low: np.ndarray) -> np.ndarray:
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, content, place, node) of every line that takes part, stored. A line of at least
     `SHINGLE` characters that is the first of its kind in a slice of the texts carries its key
-    (`line`) and its bands (`b0`, …), so the texts are cut into lines once."""
-    names = [f"b{k}" for k in range(BANDS)]
+    (`line`) and, turn by turn, its bands (`t0`, …: `KEY` bytes of each hash), so the texts are
+    cut into lines once."""
+    names = [f"t{k}" for k in range(PARTS)]
 
     def bands(keys: pa.Array) -> list[pa.Array]:
         parts = [np.zeros((0, BANDS), np.uint64)]
         for lo in range(0, len(keys), LINES):
             parts.append(band_hashes(bin_minima(keys.slice(lo, LINES))))
-        return [pa.array(x) for x in np.concatenate(parts).view(np.int64).T]
+        hashes = np.concatenate(parts).astype("<u8").view(np.uint8).reshape(len(keys), BANDS, 8)[:, :, :KEY]
+        return [_blobs(hashes[:, k::PARTS].reshape(len(keys), BANDS // PARTS * KEY)) for k in range(PARTS)]
 
     def describe(batches):
         for batch in slices(batches, "text"):
@@ -139,24 +144,92 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 ["doc_id", "content", "place", "node", "line", *names],
             )
 
-    schema = "doc_id long, content long, place int, node long, line string, " + ", ".join(f"{c} long" for c in names)
-    return stored(docs.select("doc_id", "content", "text").mapInArrow(describe, schema), "lines")
-
-
-def shared_bands(leads: DataFrame) -> list[DataFrame]:
-    """(key, node, p1, p2) of every node in a band of two or more nodes, in `PARTS` stored steps;
-    p1 and p2 are the band's smallest and largest. `leads` has (node, b0, …), repeats allowed.
-
-    A band meets no other band, so the parts take turns on the disk. The rows of a part are dealt
-    by key once; the bounds and the join read the same shuffle, and the bounds, the fewer, are hashed."""
-    out = []
-    for part in range(PARTS):
-        names = [f"b{k}" for k in range(part, BANDS, PARTS)]
-        nodes = leads.groupBy("node").agg(*(F.first(c).alias(c) for c in names))
-        dealt = nodes.select("node", F.explode(F.array(*names)).alias("key")).repartition("key")
-        bounds = dealt.groupBy("key").agg(F.min("node").alias("p1"), F.max("node").alias("p2")).where("p1 < p2")
-        out.append(stored(dealt.join(bounds.hint("shuffle_hash"), "key"), "band-members"))
-    return out
+    schema = "doc_id long, content long, place int, node long, line string, " + ", ".join(f"{c} binary" for c in names)
+    return stored(docs.select("doc_id", "content", "text").mapInArrow(describe, schema), "lines", DOCUMENTS, "zstd")
+
+
+def _blobs(rows: np.ndarray, cuts: np.ndarray | None = None) -> pa.Array:
+    """The bytes of each row, or of the rows between the cuts, as one binary value."""
+    rows = np.ascontiguousarray(rows)
+    cuts = np.arange(len(rows) + 1) if cuts is None else cuts
+    offsets = (cuts * (rows.nbytes // max(1, len(rows)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+
+
+def _joined_bytes(values) -> np.ndarray:
+    return np.frombuffer(b"".join(values.to_pylist()), np.uint8)
+
+
+def same_bands(table: pa.Table) -> pa.Table:
+    """(key, node, p1, p2) of the nodes that share a hash with another node; `table` has hashes and
+    their nodes in packed rows. Hashes that hold the same nodes are told once, so the key is a hash
+    of the nodes; p1 and p2 are the smallest and the largest."""
+    raw = _joined_bytes(table.column("hashes")).reshape(-1, KEY)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :KEY] = raw
+    key, node = wide.reshape(-1).view("<u8"), _joined_bytes(table.column("nodes")).view("<i8")
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    again = key[1:] == key[:-1]
+    near = np.zeros(len(key), bool)
+    near[1:] |= again
+    near[:-1] |= again
+    key, node = key[near], node[order][near]  # most hashes stand alone
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[new], node[new]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+    size = np.diff(np.append(first, len(key)))
+    with np.errstate(over="ignore"):
+        name = np.add.reduceat(mix(node.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+        name = mix(name + size.astype(np.uint64))
+    told = np.zeros(len(first), bool)
+    told[np.unique(name, return_index=True)[1]] = True
+    told &= size > 1
+    p1, p2, rows = node[first], node[first + size - 1], np.repeat(told, size)
+    columns = [np.repeat(x, size)[rows] for x in (name.view(np.int64), p1, p2)]
+    return pa.table({"key": columns[0], "node": node[rows], "p1": columns[1], "p2": columns[2]})
+
+
+def shared_bands(leads: DataFrame, rows: int) -> DataFrame:
+    """(key, node, p1, p2) of every node in a band of two or more nodes, stored; p1 and p2 are the
+    smallest and largest of the band, and bands of the same nodes are one. `leads` has (node, t0, …),
+    about `rows` of them, repeats allowed.
+
+    A band meets no other band, so `PARTS` turns follow each other on the disk. Hashes and nodes
+    travel in packed rows, one for each batch and group of hashes."""
+    groups = max(1, -(-rows * (BANDS // PARTS) * (KEY + 8) // GROUP_BYTES))
+
+    def packed(column: str):
+        def pack(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                raw = _joined_bytes(batch.column(column)).reshape(-1, KEY)
+                node = np.repeat(np.asarray(batch.column("node")), len(raw) // batch.num_rows)
+                wide = np.zeros((len(raw), 8), np.uint8)
+                wide[:, :KEY] = raw
+                part = (wide.reshape(-1).view("<u8") % np.uint64(groups)).astype(np.uint16 if groups < 1 << 16 else np.int64)
+                order = np.argsort(part, kind="stable")
+                size = np.bincount(part)
+                held = np.flatnonzero(size)
+                cuts = np.concatenate([[0], np.cumsum(size[held])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held), _blobs(raw[order], cuts), _blobs(node[order], cuts)], ["part", "hashes", "nodes"]
+                )
+
+        return pack
+
+    turns = []
+    for column in (f"t{k}" for k in range(PARTS)):
+        dealt = leads.select("node", column).mapInArrow(packed(column), "part long, hashes binary, nodes binary")
+        found = dealt.groupBy("part").applyInArrow(same_bands, "key long, node long, p1 long, p2 long")
+        turns.append(stored(found, "band-turn"))
+    members = stored(reduce(DataFrame.unionByName, turns).distinct(), "band-members")
+    discard(*turns)
+    return members
 
 
 def _with_bits(texts: DataFrame) -> DataFrame:
@@ -175,17 +248,24 @@ def _with_bits(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(describe, "node long, line string, " + ", ".join(f"{c} long" for c in names))
 
 
+def distinct_shingles(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of each key's distinct shingles, ascending, one key after the other, and
+    where each key's hashes begin (keys + 1 entries)."""
+    h, line = rolling(keys)
+    ends = np.cumsum(np.bincount(line, minlength=len(keys)))
+    for part in np.split(h, ends[:-1]) if len(keys) else []:
+        part.sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(line[new], minlength=len(keys)))])
+
+
 def _line_sets(texts: DataFrame) -> DataFrame:
     """(node, shingles): 64-bit hashes of the distinct shingles of the lines."""
     def sets(batches):
         for batch in slices(batches, "line"):
-            h, line = rolling(batch.column("line"))
-            order = np.lexsort((h, line))
-            h, line = h[order], line[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(line[new], minlength=batch.num_rows))])
-            found = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h[new].view(np.int64)))
+            h, offsets = distinct_shingles(batch.column("line"))
+            found = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), found], ["node", "shingles"])
 
     return texts.select("node", "line").mapInArrow(sets, "node long, shingles array<long>")
@@ -203,9 +283,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             coded = pa.concat_arrays([batch.column("la"), batch.column("lb")]).dictionary_encode()
             sets = []
             for lo in range(0, len(coded.dictionary), LINES):
-                h, line = rolling(coded.dictionary.slice(lo, LINES))
-                ends = np.cumsum(np.bincount(line))
-                sets += map(np.unique, np.split(h, ends[:-1]))
+                h, offsets = distinct_shingles(coded.dictionary.slice(lo, LINES))
+                sets += np.split(h, offsets[1:-1])
             pick, keep = coded.indices.to_pylist(), []
             for x, y in zip(pick[:batch.num_rows], pick[batch.num_rows:]):
                 one, two = sets[x], sets[y]
@@ -223,8 +302,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     doc_id, content (a hash of the text) and text."""
     lines = occurrences(docs, min_chars)
     leads = lines.where("line is not null")
-    parts = shared_bands(leads)
-    members = reduce(DataFrame.unionByName, parts)
+    members = shared_bands(leads, lines.count())
     held = leads.select("node", "line").join(members.select("node").distinct(), "node")
     texts = stored(_with_bits(held.dropDuplicates(["node"])), "line-texts")
     group = link_groups(
@@ -239,7 +317,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keep = named.groupBy("component").agg(F.min(at).alias("keep"), F.max(at).alias("last")).where("keep <> last").drop("last")
     gone = named.join(keep, "component").where(~at.eqNullSafe(F.col("keep")))
     out = stored(gone.groupBy("doc_id", "content").agg(F.collect_set("place").alias("places")), "dropped-lines")
-    discard(lines, *parts, texts, named)
+    discard(lines, members, texts, named)
     return out
 
 

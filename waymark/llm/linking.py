@@ -62,9 +62,8 @@ def link_groups(
     likely = stars.join(x, "a").join(y, "b").where(may_link("x", "y")).select("a", "b")
     group = components(stored(verify(likely), "star-links"))
 
-    where = stored(members.select("key", "node").distinct(), "band-nodes")
+    rest = _open_bands(stored(members.select("key", "node").distinct(), "band-nodes"), light, group, facts)
     for turn in range(ROUNDS):
-        rest = _open_bands(where, light, group, facts)
         minors = rest.where("component <> major").select("key", "node", "x")
         salted = F.struct(F.xxhash64("node", F.lit(turn)), "node", F.col("x").alias("y"))
         major = rest.where("component = major").groupBy("key").agg(F.min(salted).alias("lo"), F.max(salted).alias("hi"))
@@ -76,8 +75,8 @@ def link_groups(
         if not new.head(1):
             break
         group = stored(_joined(group, new), "groups")
+        rest = _open_bands(rest.select("key", "node"), light, group, facts)  # a closed group stays closed
 
-    rest = _open_bands(where, light, group, facts)
     sizes = rest.groupBy("key").agg(F.count("*").alias("size"))
     rest = rest.join(sizes, "key")
     small = rest.where(F.col("size") <= SMALL)
