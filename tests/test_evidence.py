@@ -159,3 +159,13 @@ def test_holdout_queries_cover_every_eligible_cluster_of_a_small_table(spark, sm
 
     load_all()
     assert HIDDEN[name](QUERIES[name](spark, small).collect()) == 11
+
+
+@pytest.mark.parametrize("name", ["w10_top_n_coverage"])
+def test_ranked_review_reads_written_names_and_parses_no_answer(spark, small, name):
+    from waymark.checks import load_all
+    from waymark.checks.base import QUERIES
+
+    load_all()
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json(" not in plan
