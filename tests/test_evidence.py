@@ -161,7 +161,7 @@ def test_holdout_queries_cover_every_eligible_cluster_of_a_small_table(spark, sm
     assert HIDDEN[name](QUERIES[name](spark, small).collect()) == 11
 
 
-@pytest.mark.parametrize("name", ["w10_top_n_coverage", "w09_priority_band", "a20_category_summary"])
+@pytest.mark.parametrize("name", ["w10_top_n_coverage", "w09_priority_band", "a20_category_summary", "p09_review_order"])
 def test_ranked_review_reads_written_names_and_parses_no_answer(spark, small, name):
     from waymark.checks import load_all
     from waymark.checks.base import QUERIES
